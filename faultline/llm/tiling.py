@@ -160,6 +160,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """``docs`` (any columns, among them doc_id and text) without the rows that cover a benchmark item."""
+    spark = docs.sparkSession
+    store.small_batches(spark)
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.length("text") + 50), F.lit(0))).head()[0]
+    if size > broadcast_chars:
+        found = leaks(docs, benchmark, least, coverage, broadcast_chars).select("doc_id").distinct()
+        return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = [(r[0], r[1]) for r in items.collect()]  # of a size just checked
+
+    def run(batches):
+        import pyarrow as pa
+
+        index = Index(rows, least)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.take(pa.array([k for k, t in enumerate(texts) if next(index.scan(t, coverage), None) is None], pa.int32()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _table(pa, out):
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
     names = [x.split()[0] for x in SCHEMA.split(", ")]
