@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .tokens import encoder, groups_of, vocabulary
+from .tokens import array_groups, encoder, vocabulary
 
 CAPACITY, FAN_IN, NEARLY_FULL = 1024, 8, 1.0
 
@@ -51,17 +51,17 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): documents over the capacity are cut, the first piece may be shorter."""
-    store.small_batches(docs.sparkSession)
+    store.small_batches(docs.sparkSession, 5000)
 
     def cut(batches):
         import pyarrow as pa
 
         enc = encoder(tokenizer, kind, end_id)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in groups_of(texts):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in array_groups(texts):
                 rows = []
-                for doc, raw in zip(ids[a:b], enc.encode(texts[a:b])):
+                for doc, raw in zip(ids[a:b], enc.encode(texts.slice(a, b - a))):
                     n, start = len(raw) // 4, 0
                     size = n % capacity or capacity
                     for k in range(-(-n // capacity)):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .tokens import encoder, groups_of, vocabulary
+from .tokens import array_groups, encoder, vocabulary
 
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 16 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -173,7 +173,7 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str, end_id: int, shards
     spark = docs.sparkSession
     folder = store.shared_dir(spark)
     n = shards or store.partitions(spark)
-    store.small_batches(spark)
+    store.small_batches(spark, 5000)
 
     def write(batches):
         import pyarrow as pa
@@ -190,9 +190,9 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str, end_id: int, shards
             made.append((part, seq, name, len(writer.keys), writer.tokens))
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in groups_of(texts):
-                for doc, raw in zip(ids[a:b], enc.encode(texts[a:b])):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in array_groups(texts):
+                for doc, raw in zip(ids[a:b], enc.encode(texts.slice(a, b - a))):
                     writer.add(doc, raw)
                     held += len(raw)
                     if held >= shard_bytes * 4 // writer.width:

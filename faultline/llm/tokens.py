@@ -1,27 +1,45 @@
-"""Token ids of whole texts, by the ``tokenizers`` library, one library call per distinct piece.
+"""Token ids of whole texts, by the ``tokenizers`` library, one library call per many distinct units.
 
 Both vocabularies split a text into words before they merge bytes, so the ids of a text are the ids
 of its pieces, if it is cut only where the splitting pattern cannot match across:
 
 * ``word``: white space is dropped, so any blank or line feed is a cut;
 * ``byte``: a blank belongs to the word after it. A cut is right before a single blank, and on both
-  sides of a single line feed, if neither has white space around it. Lines in which that does not
-  hold are given to the library whole.
-
-A worker keeps the ids of the pieces it has met, as packed bytes, in a table of bounded size.
+  sides of a single line feed, if neither has white space around it. Texts in which that does not
+  hold are cut only before single blanks between other characters.
+
+Distinct pieces are cut further into units, between a Latin letter and an ASCII digit or mark other than the
+apostrophe, where both patterns always split. Cutting, finding distinct pieces and putting ids together
+are Arrow and numpy kernels over many texts. Units that are one run of letters, met for the first
+time, go to the library as one text, whose word numbers tell their ids apart; other units go one by
+one. A worker keeps the units' ids, as packed bytes, in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces that a worker remembers before it begins anew.
-CACHE_PIECES = 300_000
-_ODD = re.compile(r"[^\S \n]|  |(?:^| )\n|\n(?: |\n|$)|^ | $|^\n|[\x1c-\x1f]")
+#: Distinct units that a worker remembers before it begins anew.
+CACHE_UNITS = 800_000
+_ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| {2}| \n|\n |\n\n|\A[ \n]|[ \n]\z"
+_L, _P = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-@\[-`{-~]"
+_LETTERS = re.compile(f" ?{_L}+")
+_JOIN = 4000
+
+
+def _gather(values, sizes, index):
+    """The runs of ``values`` (of these sizes, one after another) that ``index`` names, and where each ends."""
+    import numpy as np
+
+    n = sizes[index]
+    ends = np.cumsum(n)
+    if not len(n):
+        return values[:0], ends
+    shift = (np.cumsum(sizes) - sizes)[index] - (ends - n)
+    return values[np.repeat(shift, n) + np.arange(ends[-1])], ends
 
 
 class Encoder:
@@ -36,37 +54,117 @@ class Encoder:
         self.lib.encode_special_tokens = True
         self.kind = kind
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _one_by_one(self, units: list[str]) -> None:
         import numpy as np
 
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
-            for piece, got in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.asarray(got.ids, "<u4").tobytes()
+        for a in range(0, len(units), _JOIN):
+            part = units[a : a + _JOIN]
+            for unit, got in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+                self.units[unit] = np.asarray(got.ids, "<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
+    def _together(self, units: list[str], between: str) -> None:
+        """Units that are one word each to the library; ``between`` is one more word, or none if blank or empty."""
+        import numpy as np
+
+        step = 2 if between == "\n" else 1
+        for a in range(0, len(units), _JOIN):
+            part = units[a : a + _JOIN]
+            got = self.lib.encode(between.join(part), add_special_tokens=False)
+            counts = np.bincount(np.asarray(got.word_ids, np.int64))
+            if len(counts) != step * (len(part) - 1) + 1:
+                self._one_by_one(part)
+                continue
+            ends = (np.cumsum(counts) * 4)[::step]
+            starts = ends - counts[::step] * 4
+            raw = np.asarray(got.ids, "<u4").tobytes()
+            for unit, x, y in zip(part, starts.tolist(), ends.tolist()):
+                self.units[unit] = raw[x:y]
+
+    def _learn(self, units: list[str]) -> None:
+        letters = list(filter(_LETTERS.fullmatch, units))
+        if len(letters) < len(units):
+            self._one_by_one(list(set(units).difference(letters)))
         if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            return self._odd_pieces(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+            self._together(letters, " ")
+        else:
+            self._together([u for u in letters if u[0] == " "], "")
+            self._together([u for u in letters if u[0] != " "], "\n")
 
     @staticmethod
     def _odd_pieces(text: str) -> list[str]:
         """Cut only before a single blank that stands between two characters that aren't white space."""
         return re.split(r"(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])", text)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._pieces(t) if t else [] for t in texts]
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list(set(chain.from_iterable(cut)))
-        self._learn(new)
-        get, end = self.known.__getitem__, self.end
-        return [b"".join(map(get, pieces)) + end for pieces in cut]
+    def _cut(self, texts):
+        """Each text's pieces, as an Arrow list array; None for texts that hold the separator."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.kind == "word":
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        odd = pc.match_substring_regex(texts, _ODD)
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+        if pc.any(odd).as_py():
+            slow = ["\0".join(self._odd_pieces(t)) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist())]
+            marked = pc.if_else(odd, pa.array(slow, texts.type), marked)
+        return pc.split_pattern(marked, "\0")
+
+    def encode(self, texts) -> list[bytes]:
+        """``texts``: an Arrow string array or a list; nulls are empty texts."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        whole = {}
+        if pc.any(pc.match_substring(texts, "\0")).as_py():
+            whole = {k: self._whole(t) for k, t in enumerate(texts.to_pylist()) if "\0" in t}
+            texts = pc.if_else(pc.match_substring(texts, "\0"), "", texts)
+        cut = self._cut(texts)
+        bounds = cut.offsets.to_numpy()
+        pieces = pc.dictionary_encode(cut.flatten())
+        values, sizes = self._pieces(pieces.dictionary)
+        ids, ends = _gather(values, sizes, pieces.indices.to_numpy())
+        raw = ids.tobytes()
+        at = (np.concatenate([[0], ends])[bounds - bounds[0]] * 4).tolist()
+        out = [raw[a:b] + self.end for a, b in zip(at, at[1:])]
+        for k, ids in whole.items():
+            out[k] = ids
+        return out
+
+    def _pieces(self, pieces):
+        """Ids of distinct pieces, one after another, and how many each has."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if self.kind == "word":
+            pieces = pc.if_else(pc.match_substring_regex(pieces, r"[^\x00-\x{ff}]"), pieces, pc.utf8_lower(pieces))
+        for a, b in ((_L, _P), (_P, _L)):
+            pieces = pc.replace_substring_regex(pieces, f"({a})({b})", "\\1\0\\2")
+        cut = pc.split_pattern(pieces, "\0")
+        bounds = cut.offsets.to_numpy()
+        units = pc.dictionary_encode(cut.flatten())
+        names = units.dictionary.to_pylist()
+        get = self.units.get
+        got = list(map(get, names))
+        if None in got:
+            new = [u for u, x in zip(names, got) if x is None]
+            if len(self.units) + len(new) > CACHE_UNITS:
+                self.units.clear()
+                new = names
+            self._learn(new)
+            got = list(map(get, names))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        ids, ends = _gather(np.frombuffer(b"".join(got), "<u4"), sizes, units.indices.to_numpy())
+        return ids, np.diff(np.concatenate([[0], ends])[bounds - bounds[0]])
+
+    def _whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -86,7 +184,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def groups_of(texts: list, limit: int = 8_000_000):
+def array_groups(texts, limit: int = 8_000_000):
+    """Index ranges of an Arrow string array, of at most ``limit`` bytes (or one text)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    yield from ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def groups_of(texts: list, limit: int = 4_000_000):
     """Index ranges of at most ``limit`` characters (or one text), to bound a worker's memory."""
     a = n = 0
     for i, t in enumerate(texts):
