@@ -4,10 +4,10 @@ Two documents link if the Jaccard index of their sets of word n-grams is at leas
 steps, each exact:
 
 1. Documents with equal sets are one class (by a 64-bit fingerprint of the sorted set), and one row
-   from there on. Common n-grams are found with a counting sketch of fixed size and ordered last.
+   from there on. N-grams are ordered by their rarest word, by a sketch of word counts of fixed size.
 2. Linked sets share an n-gram among their first ``size - ceil(t * size) + 1`` in any common order, so
-   classes meet in the groups of those n-grams. With common n-grams last, only sets that consist
-   of them meet in their groups.
+   classes meet in the groups of those n-grams. With rare words first, texts that have only common
+   lines or passages in common hardly meet.
 3. In a group, a signature tree is built over classes sorted by size: nodes hold OR-combined bitmaps
    and size ranges. Pairs of nodes, then of classes, are dropped if their sizes, places or bitmaps
    bound the overlap below what the index asks for, or if both are in one component already.
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .words import gram_set, hashes, words
+from .words import commonness, gram_set, hashes, ordered_grams, words
 
 WORDS, NUM, DEN = 4, 85, 100
 BITS, LEAF, FAN, GROUP = 1024, 16, 16, 20_000
-SKETCH = 20
 ROUNDS = 60
+#: Up to so many candidates (8 bytes each), their ids are sent to all tasks to fetch their texts; beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def required(a, b, num: int, den: int):
@@ -42,9 +43,6 @@ def _first(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _sets(texts, n: int):
-    return [gram_set(hashes(words(t)), n) for t in texts]
-
 
 def _bitmap(grams):
     import numpy as np
@@ -54,57 +52,32 @@ def _bitmap(grams):
     return np.packbits(bits).tobytes()
 
 
-def fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, cid (fingerprint of the set, null if empty), bitmap; and rows of the sketch: bucket, hits."""
-    store.small_batches(docs.sparkSession)
+def _fingerprint(grams) -> int:
+    import xxhash
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
-        def rows(ids, size, cid, bitmap, bucket, hits):
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, size, cid, bitmap, bucket, hits), types)], ["doc_id", "size", "cid", "bitmap", "bucket", "hits"])
 
-        sketch = np.zeros(1 << SKETCH, np.int64)
-        for batch in batches:
-            sets = _sets(batch.column(1).to_pylist(), n)
-            for s in sets:
-                np.add.at(sketch, (s >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
-            m = len(sets)
-            cid = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            yield rows(batch.column(0).to_pylist(), [len(s) for s in sets], cid, [_bitmap(s) if len(s) else None for s in sets], [None] * m, [None] * m)
-        mean = sketch.mean()
-        hot = np.flatnonzero(sketch > mean + 6 * mean**0.5 + 8)
-        if len(hot):
-            none = [None] * len(hot)
-            yield rows(none, [-1] * len(hot), none, none, hot.tolist(), sketch[hot].tolist())
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, cid long, bitmap binary, bucket int, hits long")
-
-
-def _prefixes(docs: DataFrame, n: int, num: int, den: int, hot) -> DataFrame:
-    """doc_id, cid, size, grams: each set's first n-grams, common ones last."""
+def fingerprints(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFrame:
+    """doc_id, size, cid (fingerprint of the set, null if empty), bitmap, grams (the first, in order)."""
+    store.small_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        common = np.zeros(1 << SKETCH, bool)
-        common[hot] = True
         for batch in batches:
             out = []
-            for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist(), n)):
-                if len(s) and doc is not None:
-                    late = common[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
-                    first = np.concatenate([s[~late], s[late]])[: _first(len(s), num, den)]
-                    out.append((doc, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), len(s), first.view(np.int64)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, types)], ["doc_id", "cid", "size", "grams"])
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.unique(ordered_grams(hashes(words(t)), n, levels))
+                if len(s):
+                    out.append((doc, len(s), _fingerprint(s), _bitmap(s), s[: _first(len(s), num, den)].view(np.int64)))
+                else:
+                    out.append((doc, 0, None, None, None))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, types)], ["doc_id", "size", "cid", "bitmap", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cid long, size long, grams array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, cid long, bitmap binary, grams array<long>")
 
 
 def _shared(rows: DataFrame, parts: int) -> DataFrame:
@@ -310,24 +283,17 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
     spark = docs.sparkSession
     parts = store.partitions(spark)
     docs = docs.select("doc_id", "text")
-    first = store.written(fingerprints(docs, n))
-    own = first.filter(F.col("size") >= 0)
-    total = own.count()
-    # at most 2 ** SKETCH rows
-    hot = sorted(r[0] for r in first.filter(F.col("size") < 0).groupBy("bucket").agg(F.sum("hits").alias("h")).filter(F.col("h") > max(32, total // 2000)).collect())
+    levels = commonness(docs)
+    own = store.written(fingerprints(docs, n, num, den, levels))
     sets = own.filter(F.col("cid").isNotNull() & F.col("doc_id").isNotNull())
     classes = store.written(sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.first("bitmap").alias("bitmap")))
     reps = classes.select(F.col("rep").alias("doc_id"), "cid")
-    grams = _prefixes(docs, n, num, den, hot).join(reps, ["doc_id", "cid"]).dropDuplicates(["cid"])
-    rows = grams.select("cid", "size", F.posexplode("grams").alias("pos", "gram"))
+    first = sets.select("doc_id", "cid", "size", "grams").join(reps, ["doc_id", "cid"]).dropDuplicates(["cid"])
+    rows = first.select("cid", "size", F.posexplode("grams").alias("pos", "gram"))
     shared = store.written(_shared(rows, parts))
-    nodes = store.written(shared.select("cid").distinct())
-    met = reps.join(nodes, "cid", "left_semi")
-    fp = docs.join(met, "doc_id")
-    texts = store.written(_same_set(fp, n))
     groups = store.written(shared.withColumn("side", F.lit(3)).join(classes.select("cid", "bitmap"), "cid").withColumn("start", F.lit(0)))
     store.dropped(shared)
-    links = _search(groups, texts, classes, parts, n, num, den)
+    links = _search(groups, lambda nodes: _texts(docs, nodes, reps, n, levels), classes, parts, n, num, den)
     # a doc_id with several sets ties their classes together
     several = sets.join(classes.select("cid", "rep"), "cid").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter(F.col("a") != F.col("b"))
     extra = sets.join(several.select("doc_id", "a"), "doc_id").join(classes.select("cid", "rep"), "cid").select("a", F.col("rep").alias("b"))
@@ -348,22 +314,24 @@ def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return kept.withColumn("_alone", alone).dropDuplicates(["doc_id", "_alone"]).drop("_alone")
 
 
-def _same_set(rows: DataFrame, n: int) -> DataFrame:
-    """Of rows (doc_id, text, cid): those whose text has the fingerprint, one for each."""
+def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame, n: int, levels) -> DataFrame:
+    """cid, text of the representatives of these classes (cid)."""
+    met = store.written(reps.join(nodes, "cid", "left_semi"))
+    rows = docs.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "doc_id")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
-            texts = batch.column(1)
-            keep = [k for k, (c, s) in enumerate(zip(batch.column(0).to_pylist(), _sets(texts.to_pylist(), n))) if xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == c]
+            # a doc_id may have several texts
+            keep = [k for k, (c, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if _fingerprint(np.unique(ordered_grams(hashes(words(t)), n, levels))) == c]
             yield batch.take(pa.array(keep, pa.int32()))
 
-    return rows.select("cid", "text").mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
+    return store.written(rows.select("cid", "text").mapInArrow(run, "cid long, text string").dropDuplicates(["cid"]))
 
 
-def _search(groups: DataFrame, texts: DataFrame, classes: DataFrame, parts: int, n: int, num: int, den: int) -> DataFrame:
+def _search(groups: DataFrame, texts_of, classes: DataFrame, parts: int, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between class representatives, enough of them to connect every component."""
     spark = groups.sparkSession
     reps = classes.select("cid", "rep")
@@ -381,9 +349,11 @@ def _search(groups: DataFrame, texts: DataFrame, classes: DataFrame, parts: int,
         together = labelled.select(cols).repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "size", "cid")
         found = store.written(_candidates(together, factor, num, den))
         pairs = found.filter(F.col("a").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        texts = texts_of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
         new = _verified(pairs, texts, n, num, den)
         named = new.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
         links = store.written(links.unionByName(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        store.dropped(texts)
         more = found.filter(F.col("gram").isNotNull()).select("gram", "i", "j", F.col("next").alias("start"))
         if more.isEmpty():
             if crossed:

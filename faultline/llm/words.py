@@ -63,3 +63,72 @@ def gram_set(h, n: int):
     if 0 < len(h) < n:
         return grams(h, len(h))
     return np.unique(grams(h, n))
+
+
+#: Buckets (as a power of two) of the sketch of word frequencies, and levels of commonness.
+SKETCH, LEVELS, _SLICE = 20, 32, 4096
+
+
+def commonness(docs, lower: bool = True):
+    """A level from 0 (rare) to LEVELS - 1 for each bucket of word hashes, from counts over all texts.
+
+    Each task counts into a table of fixed size; slices of the tables are added up in parallel, and one byte a
+    bucket comes to the driver (1 MB, whatever the input). The levels only order n-grams, so
+    words that share a bucket cost time at most, never a result.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from . import store
+
+    def count(batches):
+        import pyarrow as pa
+
+        table = np.zeros(1 << SKETCH, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                h = hashes(words(t, lower))
+                if len(h):
+                    np.add.at(table, bucket(h), 1)
+        rows = [(k, s.tobytes()) for k, s in enumerate(table.reshape(-1, _SLICE)) if s.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([s for _, s in rows], pa.binary())], ["slice", "counts"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a = np.frombuffer(s, np.int64)
+                sums[k] = sums[k] + a if k in sums else a
+        # an eighth of an octave a step
+        small = {k: np.floor(8 * np.log2(1 + a)).astype(np.uint16).tobytes() for k, a in sums.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(small), pa.int32()), pa.array(list(small.values()), pa.binary())], ["slice", "logs"])
+
+    store.small_batches(docs.sparkSession)
+    parts = min(64, store.partitions(docs.sparkSession))
+    slices = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(parts, F.col("slice")).mapInArrow(add, "slice int, logs binary")
+    out = np.zeros(1 << SKETCH, np.float64)
+    for k, logs in slices.collect():
+        out[k * _SLICE : (k + 1) * _SLICE] = np.frombuffer(logs, np.uint16)
+    return np.floor(out * (LEVELS - 1) / max(1.0, out.max())).astype(np.uint8)
+
+
+def bucket(h):
+    import numpy as np
+
+    return (h >> np.uint64(64 - SKETCH)).astype(np.int64)
+
+
+def ordered_grams(h, n: int, levels):
+    """Each gram of n words as a number whose top five bits are the level of its rarest word: rare grams are small."""
+    import numpy as np
+
+    n = min(n, len(h))
+    g = grams(h, n) if n else h
+    least, width = levels[bucket(h)], 1
+    while width < n:
+        step = min(width, n - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    return (least.astype(np.uint64) << np.uint64(59)) | (g >> np.uint64(5))
