@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .words import grams, hashes, mix, words
+from .words import grams, mix, text_hashes, words
 
 WINDOW, GRAM = 35, 12
 SKETCH, SHARD_WORDS, OWNER_SEGMENTS = 20, 400_000, 20_000
@@ -43,7 +43,7 @@ def common_grams(docs: DataFrame, gram: int = GRAM) -> list[int]:
         sketch = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                b = _bucket(grams(hashes(words(t, lower=False)), gram))
+                b = _bucket(grams(text_hashes(t, lower=False), gram))
                 if len(b):
                     np.add.at(sketch, b, 1)
         mean = sketch.mean()
@@ -192,7 +192,7 @@ def _parts(docs: DataFrame, common: list[int], window: int, gram: int) -> DataFr
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = words(text, lower=False)
-                h = hashes(ws)
+                h = text_hashes(text, lower=False)
                 owner, start, n = segments(h, flags, window, gram)
                 if len(owner):
                     # a segment's fingerprint from prefix sums of h * B ** i, taken back to power 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .words import commonness, gram_set, hashes, ordered_grams, words
+from .words import commonness, gram_set, ordered_grams, text_hashes
 
 WORDS, NUM, DEN = 4, 85, 100
 BITS, LEAF, FAN, GROUP = 1024, 16, 16, 20_000
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFra
         for batch in batches:
             out = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.unique(ordered_grams(hashes(words(t)), n, levels))
+                s = np.unique(ordered_grams(text_hashes(t), n, levels))
                 if len(s):
                     out.append((doc, len(s), _fingerprint(s), _bitmap(s), s[: _first(len(s), num, den)].view(np.int64)))
                 else:
@@ -261,8 +261,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
             keep = []
             for k, (a, _, ta, tb) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 if a != last:
-                    last, s = a, gram_set(hashes(words(ta)), n)
-                t = gram_set(hashes(words(tb)), n)
+                    last, s = a, gram_set(text_hashes(ta), n)
+                t = gram_set(text_hashes(tb), n)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if den * both >= num * (len(s) + len(t) - both):
                     keep.append(k)
@@ -325,7 +325,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame, n: int, levels) -
 
         for batch in batches:
             # a doc_id may have several texts
-            keep = [k for k, (c, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if _fingerprint(np.unique(ordered_grams(hashes(words(t)), n, levels))) == c]
+            keep = [k for k, (c, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if _fingerprint(np.unique(ordered_grams(text_hashes(t), n, levels))) == c]
             yield batch.take(pa.array(keep, pa.int32()))
 
     return store.written(rows.select("cid", "text").mapInArrow(run, "cid long, text string").dropDuplicates(["cid"]))

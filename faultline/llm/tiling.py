@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .words import grams, hashes, words
+from .words import grams, text_hashes
 
 MIN_MATCH, COVERAGE, START = 5, 0.8, 32
 #: Benchmarks of at most so many characters are sent to every task; larger ones are joined by seed.
@@ -99,7 +99,7 @@ class Index:
 
         self.least, self.items, by = least, {}, {}
         for item, text in items:
-            h = hashes(words(text))
+            h = text_hashes(text)
             if len(h):
                 self.items[item] = [int(x) for x in h]
                 n = min(least, len(h))
@@ -114,7 +114,7 @@ class Index:
     def scan(self, text: str | None, coverage: float):
         import numpy as np
 
-        h = hashes(words(text))
+        h = text_hashes(text)
         for n, (keys, owner) in self.by.items():
             g = grams(h, n)
             lo = np.searchsorted(keys, g)
@@ -195,7 +195,7 @@ def _seeds(rows: DataFrame, key: str, least: int) -> DataFrame:
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = hashes(words(t))
+                h = text_hashes(t)
                 # short items are rare and short seeds too: one set for each length below the least
                 g = [np.unique(grams(h, n)) for n in range(1, least + 1)] if key == "doc_id" else [np.unique(grams(h, min(least, len(h))))] if len(h) else []
                 sizes = range(1, least + 1) if key == "doc_id" else [min(least, len(h))]

@@ -5,21 +5,29 @@ A word is a run of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased
 
 from __future__ import annotations
 
-WORDS_KEPT = 400_000
-_MASK = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C17  # odd, so powers have inverses; _BASE - 1 is 2 mod 4, so order counts in all bits but one
+_tables: dict = {}
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers(n: int):
+    """Powers of the base and their inverses, mod 2 ** 64."""
+    import numpy as np
+
+    if len(_tables.get("powers", ((),))[0]) < n:
+        m = max(4096, 2 * n)
+        up = np.cumprod(np.full(m, _BASE, np.uint64))
+        down = np.cumprod(np.full(m, pow(_BASE, -1, 1 << 64), np.uint64))
+        _tables["powers"] = up, down
+    return _tables["powers"]
 
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _bytes():
+    """A fixed 64-bit number for each byte value, and whether it ends words."""
+    import numpy as np
 
-_hashes = _Hashes()
+    if "bytes" not in _tables:
+        _tables["bytes"] = mix(np.arange(1, 257, dtype=np.uint64)), np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+    return _tables["bytes"]
 
 
 def words(text: str | None, lower: bool = True) -> list[bytes]:
@@ -27,10 +35,21 @@ def words(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def hashes(ws: list[bytes]):
+def text_hashes(text: str | None, lower: bool = True):
+    """A 64-bit hash of each word of a text: a polynomial in its bytes, by prefix sums over the whole text."""
     import numpy as np
 
-    return np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    x = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+    codes, blank = _bytes()
+    edge = np.flatnonzero(np.diff(blank[x], prepend=True, append=True))
+    if not len(edge):
+        return np.empty(0, np.uint64)
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _powers(len(x))
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(codes[x] * up[: len(x)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
 
 
 def mix(h):
@@ -87,7 +106,7 @@ def commonness(docs, lower: bool = True):
         table = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                h = hashes(words(t, lower))
+                h = text_hashes(t, lower)
                 if len(h):
                     np.add.at(table, bucket(h), 1)
         rows = [(k, s.tobytes()) for k, s in enumerate(table.reshape(-1, _SLICE)) if s.any()]
