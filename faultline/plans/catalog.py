@@ -1,17 +1,561 @@
-"""All queries of the engine by operator handle, with their oracle SQL."""
+"""All queries of the engine by operator handle, each with DuckDB SQL for the same rows where SQL can say it.
+
+Series come from ``events`` by type, cut into chunks of HIST + ONLINE points. The index of breaks is a
+fixed rule on the series' name; no feature reads it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions.normal import for_duckdb, ndtri_sql
+from ..operators import fits, stats, windows
+from ..sources import series as src
 
-def queries() -> dict:
-    return {}
+HIST, ONLINE = 450, 150
+_Q: dict = {}
+_SQL: dict[str, str] = {}
 
+OBS = f"""
+WITH obs AS (
+  SELECT event_type || '-' || chunk AS id, chunk, event_type AS kind, CASE WHEN p <= {HIST} THEN 1 ELSE 2 END AS period, p AS pos,
+         CASE WHEN p > {HIST} THEN p - {HIST + 1} END AS step, value
+  FROM (SELECT event_type, value, (rn - 1) // {HIST + ONLINE} AS chunk, (rn - 1) % {HIST + ONLINE} + 1 AS p,
+               count(*) OVER (PARTITION BY event_type, (rn - 1) // {HIST + ONLINE}) AS c
+        FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events))
+  WHERE c = {HIST + ONLINE}
+), brk AS (
+  SELECT DISTINCT id, CASE WHEN chunk % 2 = 0 THEN 30 + 7 * chunk + length(kind) ELSE -1 END AS tau FROM obs
+), ranked AS (
+  SELECT *, sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) AS br,
+         sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) - sum((period = 1)::INT) OVER (PARTITION BY id, value) AS bl,
+         sum((period = 1)::INT) OVER (PARTITION BY id) AS nh FROM obs
+), pit AS (
+  SELECT *, ((bl + br) / 2.0::DOUBLE + 0.5) / (nh + 1) AS u FROM ranked
+), sc AS (
+  SELECT id, period, pos, step, value, u, {for_duckdb(ndtri_sql("u"))} AS g,
+         (value - avg(CASE WHEN period = 1 THEN value END) OVER (PARTITION BY id)) / greatest(stddev_pop(CASE WHEN period = 1 THEN value END) OVER (PARTITION BY id), 1e-8) AS z FROM pit
+), onl AS (
+  SELECT id, pos, step, g, z, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM sc WHERE period = 2
+)
+"""
 
-def oracles() -> dict[str, str]:
-    return {}
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = (OBS + sql) if "FROM events" not in sql else sql
+        return f
+
+    return add
+
+
+def observations(spark: SparkSession, sf_dir: str, hist: int = HIST, online: int = ONLINE) -> DataFrame:
+    return src.chunked(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value", hist, online)
+
+
+def break_index(obs: DataFrame) -> DataFrame:
+    k = F.length(F.regexp_extract("id", "^(.*)-", 1))
+    return obs.select("id", "chunk").distinct().select("id", F.when(F.col("chunk") % 2 == 0, 30 + 7 * F.col("chunk") + k).otherwise(-1).alias("tau"))
+
+
+def scored(spark, sf_dir, **kw) -> DataFrame:
+    return windows.standardised(windows.normal_scores(observations(spark, sf_dir, **kw)))
+
+
+def online(spark, sf_dir) -> DataFrame:
+    return scored(spark, sf_dir).filter("period = 2").select("id", "pos", "step", "g", "z")
+
+
+def _r(*names):
+    return [F.round(n, 6).alias(n) for n in names]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Running two-sided CUSUM of the normal score of every event series."""
+    on = scored(spark, sf_dir, hist=100, online=50).filter("period = 2").select("id", "pos", "step", "g")
+    return windows.cusum(on, "g", 0.1).select("id", "step", *_r("g", "cusum_up", "cusum_dn"))
+
+
+# Scans, groups and alignment
+
+
+@query("src_01", "SELECT event_type AS id, event_id AS pos, value FROM events")
+def _(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("id"), F.col("event_id").alias("pos"), "value")
+
+
+@query("src_02", "SELECT DISTINCT id FROM obs")
+def _(s, d):
+    return observations(s, d).select("id").distinct()
+
+
+@query("src_03", "SELECT id, min(pos) AS first_pos, max(pos) + 1 AS end_pos FROM obs GROUP BY id")
+def _(s, d):
+    return observations(s, d).groupBy("id").agg(F.min("pos").alias("first_pos"), (F.max("pos") + 1).alias("end_pos"))
+
+
+@query("src_04_agg_06", "SELECT id, count_if(period = 1)::BIGINT AS hist_len, count_if(period = 2)::BIGINT AS online_len FROM obs GROUP BY id")
+def _(s, d):
+    return observations(s, d).groupBy("id").agg(F.count_if(F.col("period") == 1).alias("hist_len"), F.count_if(F.col("period") == 2).alias("online_len"))
+
+
+@query("src_05_jon_01", "SELECT id, tau FROM brk")
+def _(s, d):
+    obs = observations(s, d)
+    return src.with_breaks(obs.select("id").distinct(), break_index(obs))
+
+
+@query("src_06", "SELECT DISTINCT id, -1 AS tau FROM obs")
+def _(s, d):
+    return src.with_breaks(observations(s, d).select("id").distinct(), None)
+
+
+@query("src_07", "SELECT id, step, value FROM obs WHERE period = 2")
+def _(s, d):
+    return observations(s, d).filter("period = 2").select("id", "step", "value")
+
+
+@query("src_08", "SELECT id, count(*) AS n, round(list_sum(list(value ORDER BY pos)[1:10]), 6) AS head_sum, round(max_by(value, pos), 6) AS last_value FROM obs GROUP BY id")
+def _(s, d):
+    a = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    t = observations(s, d).groupBy("id").agg(a.alias("a"))
+    total = F.aggregate(F.slice("a", 1, 10), F.lit(0.0), lambda acc, x: acc + x["value"])
+    return t.select("id", F.size("a").cast("long").alias("n"), F.round(total, 6).alias("head_sum"), F.round(F.element_at("a", -1)["value"], 6).alias("last_value"))
+
+
+@query("src_09", "SELECT o.id, o.step, (tau <> -1 AND step >= tau)::INT AS label FROM obs o JOIN brk USING (id) WHERE period = 2")
+def _(s, d):
+    obs = observations(s, d)
+    return src.labels(obs, break_index(obs))
+
+
+@query("src_10", "SELECT id, pos, value FROM obs WHERE id = 'click-0'")
+def _(s, d):
+    return observations(s, d).filter(F.col("id") == "click-0").select("id", "pos", "value")
+
+
+@query("src_11", "SELECT count(*) AS n_series, count_if(tau <> -1)::BIGINT AS n_breaks FROM brk")
+def _(s, d):
+    return break_index(observations(s, d)).agg(F.count("*").alias("n_series"), F.count_if(F.col("tau") != -1).alias("n_breaks"))
+
+
+@query("src_validate", "SELECT id, '' AS reason FROM obs WHERE FALSE")
+def _(s, d):
+    obs = observations(s, d)
+    return src.validate(obs, break_index(obs))
+
+
+# Projections and filters
+
+
+@query("prj_01_02", "SELECT id, step, round(g * g, 6) AS g2, round(abs(g), 6) AS absg FROM onl")
+def _(s, d):
+    wide = windows.streams(scored(s, d)).filter("period = 2")
+    keep = [c for c in wide.columns if c in ("g2", "absg", "not_there")]
+    return wide.select("id", "step", *_r(*keep))
+
+
+@query("prj_03", "SELECT id, step, round(g, 6) AS g, round(z, 6) AS z FROM onl")
+def _(s, d):
+    on = online(s, d)
+    return on.select("id", "step", *_r("g")).join(on.select("id", "step", *_r("z")), ["id", "step"])
+
+
+@query("flt_01", "SELECT id, step, value FROM obs WHERE period = 2 AND step % 2 = 0")
+def _(s, d):
+    return observations(s, d).filter("period = 2 AND step % 2 = 0").select("id", "step", "value")
+
+
+@query("flt_02", "SELECT DISTINCT id FROM obs WHERE chunk % 2 = 0")
+def _(s, d):
+    return observations(s, d).filter("chunk % 2 = 0").select("id").distinct()
+
+
+@query("flt_03", f"SELECT id, {ONLINE} - tau AS n_post FROM brk WHERE tau <> -1 AND {ONLINE} - tau >= 100")
+def _(s, d):
+    return break_index(observations(s, d)).filter("tau <> -1").select("id", (F.lit(ONLINE) - F.col("tau")).alias("n_post")).filter("n_post >= 100")
+
+
+@query("flt_04", "SELECT id, pos FROM obs WHERE id IN (SELECT id FROM brk WHERE tau <> -1) AND pos <= 20")
+def _(s, d):
+    obs = observations(s, d)
+    return obs.filter("pos <= 20").join(break_index(obs).filter("tau <> -1"), "id", "left_semi").select("id", "pos")
+
+
+@query("flt_05", "SELECT id, step FROM onl WHERE n > 1 AND g IS NOT NULL")
+def _(s, d):
+    prev = F.lag("g").over(windows.BY_POS)
+    return online(s, d).withColumn("score", F.when(prev.isNotNull(), F.col("g"))).filter(F.col("score").isNotNull()).select("id", "step")
+
+
+@query("flt_06", "SELECT id, count(*) AS n FROM obs WHERE period = 1 AND pos > 200 GROUP BY id")
+def _(s, d):
+    return observations(s, d).filter("period = 1 AND pos > 200").groupBy("id").agg(F.count("*").alias("n"))
+
+
+# Rank join and normal scores
+
+
+@query("jon_02", "SELECT id, pos, bl::BIGINT AS bl, br::BIGINT AS br FROM ranked")
+def _(s, d):
+    return windows.rank_join(observations(s, d)).select("id", "pos", "bl", "br")
+
+
+@query("nsc_01", "SELECT id, pos, round(g, 6) AS g FROM sc")
+def _(s, d):
+    return windows.normal_scores(observations(s, d)).select("id", "pos", *_r("g"))
+
+
+@query("nsc_02", "SELECT id, pos, least(floor(u * 16), 15)::INT AS bin FROM sc")
+def _(s, d):
+    return windows.normal_scores(observations(s, d)).select("id", "pos", F.least(F.floor(F.col("u") * 16), F.lit(15)).cast("int").alias("bin"))
+
+
+# Aggregates
+
+
+@query("agg_01", "SELECT id, round(avg(value), 6) AS mu, round(greatest(stddev_pop(value), 1e-8), 6) AS sd FROM obs WHERE period = 1 GROUP BY id")
+def _(s, d):
+    return windows.history_moments(observations(s, d)).select("id", *_r("mu", "sd"))
+
+
+_SEG = """, seg AS (
+  SELECT id, period, value - avg(value) OVER (PARTITION BY id, period) AS d, value, lag(value) OVER (PARTITION BY id, period ORDER BY pos) - avg(value) OVER (PARTITION BY id, period) AS l FROM obs
+), st AS (SELECT id, period, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, sum(d * l) / sum(d * d) AS acf1 FROM seg GROUP BY id, period)"""
+
+
+@query("agg_02_agg_13", _SEG + " SELECT id, period, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(acf1, 6) AS acf1 FROM st")
+def _(s, d):
+    return stats.segment_stats(observations(s, d)).select("id", "period", "n", *_r("mean", "sd", "acf1"))
+
+
+@query("agg_03", _SEG + " SELECT a.id, round((b.mean - a.mean) / a.sd, 6) AS d_mean, round(ln(b.sd / a.sd), 6) AS d_sd, round(b.acf1 - a.acf1, 6) AS d_acf FROM st a JOIN st b ON a.id = b.id AND a.period = 1 AND b.period = 2")
+def _(s, d):
+    t = stats.segment_stats(observations(s, d))
+    p = lambda c, k: F.max(F.when(F.col("period") == k, F.col(c)))
+    return t.groupBy("id").agg(
+        F.round((p("mean", 2) - p("mean", 1)) / p("sd", 1), 6).alias("d_mean"), F.round(F.ln(p("sd", 2) / p("sd", 1)), 6).alias("d_sd"), F.round(p("acf1", 2) - p("acf1", 1), 6).alias("d_acf")
+    )
+
+
+@query("agg_04", """, a AS (SELECT id, count(*) AS n, avg(z) AS m, stddev_pop(z) AS s0, stddev_samp(z) AS s1 FROM sc WHERE period = 1 GROUP BY id)
+SELECT round(stddev_pop(m * sqrt(n)), 6) AS mean_spread, round(stddev_pop((s0 - 1) * sqrt(2 * n)), 6) AS sd0_spread, round(stddev_pop((s1 - 1) * sqrt(2 * n)), 6) AS sd1_spread FROM a""")
+def _(s, d):
+    a = scored(s, d).filter("period = 1").groupBy("id").agg(F.count("*").alias("n"), F.avg("z").alias("m"), F.stddev_pop("z").alias("s0"), F.stddev_samp("z").alias("s1"))
+    f = lambda c, x: F.round(F.stddev_pop(x), 6).alias(c)
+    return a.agg(f("mean_spread", F.col("m") * F.sqrt("n")), f("sd0_spread", (F.col("s0") - 1) * F.sqrt(2 * F.col("n"))), f("sd1_spread", (F.col("s1") - 1) * F.sqrt(2 * F.col("n"))))
+
+
+@query("agg_05_tst_06", ", b AS (SELECT least(floor(u * 10), 9)::INT AS bin FROM sc), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) SELECT bin, n, round(pow(n - t / 10.0, 2) / (t / 10.0), 6) AS chi FROM c, (SELECT sum(n) AS t FROM c)")
+def _(s, d):
+    c = windows.normal_scores(observations(s, d)).select(F.least(F.floor(F.col("u") * 10), F.lit(9)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    e = F.sum("n").over(Window.partitionBy(F.lit(1))) / 10  # ten rows
+    return c.select("bin", "n", F.round(F.pow(F.col("n") - e, F.lit(2)) / e, 6).alias("chi"))
+
+
+_LAB = ", lab AS (SELECT o.id, o.step, o.g, o.z, (tau <> -1 AND o.step >= tau)::INT AS label FROM onl o JOIN brk USING (id))"
+
+
+def labelled(s, d) -> DataFrame:
+    obs = observations(s, d)
+    return online(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"])
+
+
+@query("agg_07", _LAB + " SELECT step, count(*) AS n, sum(label)::BIGINT AS n_pos FROM lab GROUP BY step")
+def _(s, d):
+    return labelled(s, d).groupBy("step").agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"))
+
+
+@query("agg_08_jon_06_trn_08", _LAB + ", w AS (SELECT *, sum(label) OVER (PARTITION BY step) * (count(*) OVER (PARTITION BY step) - sum(label) OVER (PARTITION BY step)) / count(*) OVER (PARTITION BY step)::DOUBLE AS w FROM lab) SELECT id, step, round(w / (SELECT avg(w) FROM w), 6) AS weight FROM w")
+def _(s, d):
+    return stats.step_weights(labelled(s, d)).select("id", "step", *_r("weight"))
+
+
+_LRV = """, d AS (SELECT id, pos, g - avg(g) OVER (PARTITION BY id) AS d FROM sc WHERE period = 1),
+l AS (SELECT a.id, j, sum(a.d * b.d) / {h} AS gj FROM d a JOIN (SELECT unnest(range(0, {L} + 1)) AS j) ON TRUE JOIN d b ON a.id = b.id AND b.pos = a.pos - j GROUP BY a.id, j)
+SELECT id, round(sqrt(greatest(sum(CASE WHEN j = 0 THEN gj ELSE 2 * (1 - j / ({L} + 1.0)) * gj END), 0.1 * max(CASE WHEN j = 0 THEN gj END))), 6) AS lrsd FROM l GROUP BY id""".replace("{h}", str(HIST)).replace("{L}", str(-int(-(HIST ** (1 / 3)) // 1)))
+
+
+@query("agg_09", _LRV)
+def _(s, d):
+    return windows.long_run_sd(scored(s, d).filter("period = 1"), "g").select("id", *_r("lrsd"))
+
+
+@query("agg_10_agg_11", ", b AS (SELECT id, (pos - 1) // 25 AS b, count(*) AS n, avg(g) AS m FROM sc WHERE period = 1 GROUP BY ALL HAVING count(*) = 25) SELECT id, round(stddev_samp(m) * 5, 6) AS bm25 FROM b GROUP BY id")
+def _(s, d):
+    b = scored(s, d).filter("period = 1").groupBy("id", F.floor((F.col("pos") - 1) / 25).alias("b")).agg(F.count("*").alias("n"), F.avg("g").alias("m")).filter("n = 25")
+    return b.groupBy("id").agg(F.round(F.stddev_samp("m") * 5, 6).alias("bm25"))
+
+
+_HSD = """, c AS (SELECT id, pos, sum(g) OVER (PARTITION BY id ORDER BY pos) AS c FROM sc WHERE period = 1),
+k AS (SELECT unnest(range(0, 11)) AS h), r AS (SELECT a.id, h, stddev_pop(a.c - coalesce(b.c, 0)) AS sd FROM c a JOIN k ON a.pos >= 1 << h LEFT JOIN c b ON b.id = a.id AND b.pos = a.pos - (1 << h) WHERE %d / 2.0 > 1 << h GROUP BY a.id, h),
+m AS (SELECT id, max(h) AS mh, max_by(sd, h) AS msd FROM r GROUP BY id),
+hs AS (SELECT m.id, k.h, coalesce(r.sd, msd * pow(2.0, (k.h - mh) / 2.0)) AS sd FROM m JOIN k ON TRUE LEFT JOIN r ON r.id = m.id AND r.h = k.h)""" % HIST
+
+
+@query("agg_12_cal_01", _HSD + " SELECT id, h, round(sd, 6) AS sd FROM hs")
+def _(s, d):
+    return windows.horizon_sd(scored(s, d).filter("period = 1"), "g").select("id", "h", *_r("sd"))
+
+
+def calibration(s, d) -> DataFrame:
+    """id and the horizon curve as one array, to be looked up in log-log steps."""
+    h = windows.horizon_sd(scored(s, d).filter("period = 1"), "g")
+    return h.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "sd"))), lambda x: x["sd"]).alias("curve"))
+
+
+def inverse_sd(k):
+    """1 / sd at horizon k: linear in logarithms between powers of two, root of time beyond the last."""
+    x = F.least(F.log2(k.cast("double")), F.lit(10.0))
+    lo = F.least(F.floor(x), F.lit(9)).cast("int")
+    a, b = F.ln(F.greatest(F.element_at("curve", lo + 1), F.lit(1e-9))), F.ln(F.greatest(F.element_at("curve", lo + 2), F.lit(1e-9)))
+    return 1 / (F.exp(a + (x - lo) * (b - a)) * F.sqrt(F.greatest(k / 1024.0, F.lit(1.0))))
+
+
+_INV = "1 / exp(ln(greatest(a.sd, 1e-9)) + (log2(n::DOUBLE) - a.h) * (ln(greatest(b.sd, 1e-9)) - ln(greatest(a.sd, 1e-9))))"
+
+
+@query("win_09_cal_02", _HSD + f" SELECT o.id, o.step, round(sum(g) OVER (PARTITION BY o.id ORDER BY step) * {_INV}, 6) AS cal_sum FROM onl o JOIN hs a ON a.id = o.id AND a.h = least(floor(log2(n::DOUBLE)), 9) JOIN hs b ON b.id = o.id AND b.h = a.h + 1")
+def _(s, d):
+    on = online(s, d).withColumn("n", F.row_number().over(windows.BY_POS)).withColumn("_s", F.sum("g").over(windows.SO_FAR))
+    return on.join(calibration(s, d), "id").select("id", "step", F.round(F.col("_s") * inverse_sd(F.col("n")), 6).alias("cal_sum"))
+
+
+@query("agg_14_agg_15", ", l AS (SELECT id, k, corr(a, b) AS r FROM (SELECT id, unnest([1, 2, 3]) AS k, g AS a, unnest([lag(g, 1) OVER w, lag(g, 2) OVER w, lag(g, 3) OVER w]) AS b FROM sc WHERE period = 1 WINDOW w AS (PARTITION BY id ORDER BY pos)) GROUP BY id, k) SELECT id, round(sum(r * r), 6) AS lb3 FROM l GROUP BY id")
+def _(s, d):
+    h = scored(s, d).filter("period = 1")
+    for k in (1, 2, 3):
+        h = h.withColumn(f"l{k}", F.lag("g", k).over(windows.BY_POS))
+    total = sum((F.pow(F.corr("g", f"l{k}"), F.lit(2)) for k in (1, 2, 3)), F.lit(0.0))
+    return h.groupBy("id").agg(F.round(total, 6).alias("lb3"))
+
+
+@query("agg_16", "SELECT id, round(quantile_cont(value, 0.5), 6) AS med, round(quantile_cont(value, 0.9), 6) AS q90 FROM obs GROUP BY id")
+def _(s, d):
+    return observations(s, d).groupBy("id").agg(F.round(F.percentile("value", 0.5), 6).alias("med"), F.round(F.percentile("value", 0.9), 6).alias("q90"))
+
+
+@query("agg_17", """, m AS (SELECT id, value, pos, avg(value) OVER (PARTITION BY id) AS m, count(*) OVER (PARTITION BY id) AS n FROM obs WHERE period = 1)
+SELECT id, round(avg(pow(value - m, 3)) / pow(var_pop(value), 1.5), 5) AS skew, round(avg(pow(value - m, 4)) / pow(var_pop(value), 2) - 3, 5) AS kurt, min(value) AS lo, max(value) AS hi, round(count(DISTINCT value) / count(*)::DOUBLE, 6) AS distinct_ratio FROM m GROUP BY id""")
+def _(s, d):
+    return observations(s, d).filter("period = 1").groupBy("id").agg(
+        F.round(F.skewness("value"), 5).alias("skew"), F.round(F.kurtosis("value"), 5).alias("kurt"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.count_distinct("value") / F.count("*"), 6).alias("distinct_ratio")
+    )
+
+
+@query("agg_18", "SELECT period, round(avg((abs(g) > 1.6448536269514722)::INT), 6) AS tail, round(avg(g), 6) AS mean, round(stddev_samp(g), 6) AS sd FROM sc GROUP BY period")
+def _(s, d):
+    return scored(s, d).groupBy("period").agg(F.round(F.avg((F.abs("g") > 1.6448536269514722).cast("int")), 6).alias("tail"), F.round(F.avg("g"), 6).alias("mean"), F.round(F.stddev_samp("g"), 6).alias("sd"))
+
+
+@query("agg_19", ", b AS (SELECT id, pos, least(floor(u * 4), 3)::INT AS y FROM sc WHERE period = 1), t AS (SELECT id, y, lag(y) OVER (PARTITION BY id ORDER BY pos) AS x FROM b), c AS (SELECT i.id, x.x, y.y, 0.5 + count(t.id) AS n FROM (SELECT DISTINCT id FROM b) i, range(4) x(x), range(4) y(y) LEFT JOIN t ON t.id = i.id AND t.x = x.x AND t.y = y.y GROUP BY ALL) SELECT id, x::INT AS x, y::INT AS y, round(n / sum(n) OVER (PARTITION BY id, x), 6) AS p FROM c")
+def _(s, d):
+    b = windows.normal_scores(observations(s, d)).filter("period = 1").select("id", "pos", F.least(F.floor(F.col("u") * 4), F.lit(3)).cast("int").alias("y"))
+    t = b.withColumn("x", F.lag("y").over(windows.BY_POS)).filter("x IS NOT NULL").groupBy("id", "x", "y").agg(F.count("*").alias("c"))
+    four = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    grid = b.select("id").distinct().select("id", four.alias("x")).select("id", "x", four.alias("y"))
+    n = grid.join(t, ["id", "x", "y"], "left").withColumn("n", 0.5 + F.coalesce("c", F.lit(0)))
+    return n.select("id", "x", "y", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("id", "x")), 6).alias("p"))
+
+
+_AUC = ", r AS (SELECT step, label, rank() OVER (PARTITION BY step ORDER BY {s}) + (count(*) OVER (PARTITION BY step, {s}) - 1) / 2.0 AS r FROM lab), p AS (SELECT step, sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0 AS won, sum(label) AS a, count(*) - sum(label) AS b FROM r GROUP BY step) SELECT round(sum(won) / sum(a * b), 6) AS auc FROM p WHERE a > 0 AND b > 0"
+
+
+@query("agg_20_win_14", _LAB + _AUC.replace("{s}", "g"))
+def _(s, d):
+    return stats.ts_auc(labelled(s, d).withColumn("g", F.col("g")), score="g").select(*_r("auc"))
+
+
+@query("agg_21", _LAB.replace("o.step, o.g", "1 AS step, o.g") + _AUC.replace("{s}", "z"))
+def _(s, d):
+    return stats.ts_auc(labelled(s, d).withColumn("step", F.lit(1)), score="z").select(*_r("auc"))
+
+
+@query("agg_22_srt_03")
+def _(s, d):
+    """Univariate AUC of every stream, best first."""
+    obs = observations(s, d)
+    wide = windows.streams(scored(s, d)).filter("period = 2").join(src.labels(obs, break_index(obs)), ["id", "step"])
+    names = ["z", "g", "g2", "absg", "zz1", "absdz", "vol1", "sgn1"]
+    long = wide.select("step", "label", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("feature", "score")).filter("score IS NOT NULL")
+    cells = long.groupBy("feature", "step", "score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("q"))
+    less = F.coalesce(F.sum("q").over(Window.partitionBy("feature", "step").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = cells.withColumn("w", F.col("p") * (less + F.col("q") / 2)).groupBy("feature", "step").agg(F.sum("w").alias("w"), (F.sum("p") * F.sum("q")).alias("n"))
+    return per.groupBy("feature").agg(F.round(F.sum("w") / F.sum("n"), 6).alias("auc")).orderBy(F.desc("auc"), "feature").limit(20)
+
+
+# Sequential statistics
+
+
+@query("win_01_win_02", "SELECT id, step, n::INT AS n, round(ln(n), 6) AS log_n, round(sum(g) OVER (PARTITION BY id ORDER BY step) / sqrt(n), 6) AS sum_z FROM onl")
+def _(s, d):
+    return windows.running_z(online(s, d), "g").select("id", "step", "n", *_r("log_n", "sum_z"))
+
+
+@query("win_03", "SELECT id, step, " + ", ".join(f"round(sum(g) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) / sqrt(least(n, {w})), 6) AS w{w}" for w in (16, 64, 256)) + " FROM onl")
+def _(s, d):
+    return windows.windowed_z(online(s, d), "g").select("id", "step", *_r("w16", "w64", "w256"))
+
+
+def _cusum_sql(k: float) -> str:
+    return f""", u AS (SELECT id, step, sum(g - {k}) OVER w AS a, sum(-g - {k}) OVER w AS b FROM onl WINDOW w AS (PARTITION BY id ORDER BY step))
+SELECT id, step, round(a - least(0, min(a) OVER w), 6) AS cusum_up, round(b - least(0, min(b) OVER w), 6) AS cusum_dn FROM u WINDOW w AS (PARTITION BY id ORDER BY step)"""
+
+
+def _add_cusum(k: float, name: str) -> None:
+    @query(name, _cusum_sql(k))
+    def _(s, d):
+        return windows.cusum(online(s, d), "g", k).select("id", "step", *_r("cusum_up", "cusum_dn"))
+
+
+_add_cusum(0.1, "win_04")
+_add_cusum(0.3, "win_04_k3")
+
+
+@query("win_05_fn_03", "SELECT a.id, a.step, round(sum(b.g * 0.03 * pow(0.97, a.step - b.step)) * sqrt(1.97 / 0.03), 6) AS ewma FROM onl a JOIN onl b ON b.id = a.id AND b.step <= a.step GROUP BY a.id, a.step")
+def _(s, d):
+    return windows.ewma(online(s, d), "g").select("id", "step", *_r("ewma"))
+
+
+@query("win_06_jon_03_srt_04", """, c AS (SELECT id, n, sum(g) OVER (PARTITION BY id ORDER BY n) AS c FROM onl), p AS (SELECT id, n AS j, c FROM c UNION ALL SELECT DISTINCT id, 0, 0.0 FROM c),
+x AS (SELECT c.id, c.n, c.c - p.c AS diff, c.n - p.j AS age, pow(c.c - p.c, 2) / (c.n - p.j) AS stat FROM c JOIN p ON p.id = c.id AND p.j < c.n)
+SELECT id, n - 1 AS step, round(diff / sqrt(age), 6) AS glr, round(ln(age), 6) AS glr_age FROM (SELECT *, row_number() OVER (PARTITION BY id, n ORDER BY stat DESC, age DESC) AS rk FROM x) WHERE rk = 1""")
+def _(s, d):
+    return windows.glr(online(s, d), "g").select("id", F.col("step").cast("long").alias("step"), *_r("glr", "glr_age"))
+
+
+@query("win_07", "SELECT a.id, a.pos, round(pow(0.94, a.pos - 1) + coalesce(sum(b.z * b.z * 0.06 * pow(0.94, a.pos - 1 - b.pos)), 0), 6) AS vol FROM sc a LEFT JOIN sc b ON b.id = a.id AND b.pos < a.pos GROUP BY a.id, a.pos")
+def _(s, d):
+    return windows.volatility(scored(s, d).withColumn("z2", F.col("z") * F.col("z")), "z2", 0.94).select("id", "pos", *_r("vol"))
+
+
+_STREAM_SQL = "z * z AS z2, g * g * g AS g3, least(pow(g, 4), 50) AS g4, (abs(g) > 1.6448536269514722)::INT::DOUBLE AS tail, z * lag(z) OVER w AS zz1, abs(z - lag(z) OVER w) AS absdz, abs(g) * abs(lag(g, 5) OVER w) AS vol5, g * lag(g, 10) OVER w AS gg10, sign(g) * sign(lag(g) OVER w)::DOUBLE AS sgn1"
+_STREAM_COLS = ["z2", "g3", "g4", "tail", "zz1", "absdz", "vol5", "gg10", "sgn1"]
+
+
+@query("win_08_streams", f", st AS (SELECT id, period, step, {_STREAM_SQL} FROM sc WINDOW w AS (PARTITION BY id ORDER BY pos)) SELECT id, step, " + ", ".join(f"round({c}, 5)::DOUBLE + 0.0 AS {c}" for c in _STREAM_COLS) + " FROM st WHERE period = 2")
+def _(s, d):
+    return windows.streams(scored(s, d)).filter("period = 2").select("id", "step", *[(F.round(c, 5) + 0.0).alias(c) for c in _STREAM_COLS])
+
+
+@query("win_11", "SELECT id, pos, round(pow(sum(g) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 2) / 8, 5) AS b8 FROM sc")
+def _(s, d):
+    return scored(s, d).select("id", "pos", F.round(F.pow(F.sum("g").over(windows.BY_POS.rowsBetween(-7, 0)), F.lit(2)) / 8, 5).alias("b8"))
+
+
+@query("win_12", ", l AS (SELECT id, pos, value AS c, lag(value, 1) OVER w AS b, lag(value, 2) OVER w AS a FROM obs WINDOW w AS (PARTITION BY id ORDER BY pos)) SELECT id, (a < b)::INT * 4 + (b < c)::INT * 2 + (a < c)::INT AS pattern, count(*) AS n FROM l WHERE a IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    return windows.ordinal_pattern(observations(s, d)).filter("pattern IS NOT NULL").groupBy("id", "pattern").agg(F.count("*").alias("n"))
+
+
+@query("win_15", "SELECT id, step, round(avg(g) OVER (PARTITION BY id ORDER BY step), 6) AS mean_to FROM onl")
+def _(s, d):
+    return online(s, d).select("id", "step", F.round(F.avg("g").over(windows.SO_FAR), 6).alias("mean_to"))
+
+
+# Two-sample tests
+
+
+@query("tst_01", ", f AS (SELECT id, abs(sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) / %d.0 - sum((period = 2)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) / %d.0) AS d FROM obs) SELECT id, round(max(d), 6)::DOUBLE AS ks FROM f GROUP BY id" % (HIST, ONLINE))
+def _(s, d):
+    return stats.ks_statistic(observations(s, d)).select("id", *_r("ks"))
+
+
+@query("tst_02", ", r AS (SELECT id, period, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0 AS r FROM obs) SELECT id, round(abs((sum(CASE WHEN period = 2 THEN r END) - %d) / %d - 0.5), 6)::DOUBLE AS mw FROM r GROUP BY id" % (ONLINE * (ONLINE + 1) // 2, HIST * ONLINE))
+def _(s, d):
+    return stats.mann_whitney(observations(s, d)).select("id", *_r("mw"))
+
+
+@query("tst_03", ", m AS (SELECT id, period, quantile_cont(value, 0.5) AS m FROM obs GROUP BY ALL), z AS (SELECT o.id, o.period, abs(value - m) AS z FROM obs o JOIN m USING (id, period)), g AS (SELECT id, period, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY ALL), t AS (SELECT id, sum(n) AS n, sum(n * m) / sum(n) AS m FROM g GROUP BY id) SELECT g.id, round((max(t.n) - 2) * sum(g.n * pow(g.m - t.m, 2)) / sum(g.n * g.v), 5) AS w FROM g JOIN t USING (id) GROUP BY g.id")
+def _(s, d):
+    return stats.levene(observations(s, d)).select("id", F.round("w", 5).alias("w"))
+
+
+@query("tst_05", ", o AS (SELECT u, row_number() OVER (ORDER BY u) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT u FROM sc WHERE period = 2)) SELECT round(max(greatest(i / n::DOUBLE - u, u - (i - 1) / n::DOUBLE)), 6) AS ks FROM o")
+def _(s, d):
+    # a set of at most 2 * HIST + 1 mid-ranks
+    u = windows.normal_scores(observations(s, d)).filter("period = 2").select("u").distinct()
+    o = u.withColumn("i", F.row_number().over(Window.orderBy("u"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    return o.agg(F.round(F.max(F.greatest(F.col("i") / F.col("n") - F.col("u"), F.col("u") - (F.col("i") - 1) / F.col("n"))), 6).alias("ks"))
+
+
+@query("tst_08", f"SELECT id, round((avg(g * g) - 1) * sqrt({ONLINE} / 2.0), 6) AS var_z FROM onl GROUP BY id")
+def _(s, d):
+    return online(s, d).groupBy("id").agg(F.round((F.avg(F.col("g") * F.col("g")) - 1) * F.sqrt(F.count("*") / 2), 6).alias("var_z"))
+
+
+@query("tst_09_tst_10", ", e AS (SELECT o.id, o.g, o.g * lag(o.g) OVER (PARTITION BY o.id ORDER BY step) AS p FROM onl o JOIN brk USING (id) WHERE tau <> -1 AND step >= tau) SELECT id, round(sum(g) / sqrt(count(*)), 6) AS oracle_z, round(sum(p) / sqrt(count(p)), 6) AS lag1 FROM e GROUP BY id")
+def _(s, d):
+    post = online(s, d).join(break_index(observations(s, d)), "id").filter("tau <> -1 AND step >= tau")
+    post = post.withColumn("p", F.col("g") * F.lag("g").over(windows.BY_POS))
+    return post.groupBy("id").agg(F.round(F.sum("g") / F.sqrt(F.count("*")), 6).alias("oracle_z"), F.round(F.sum("p") / F.sqrt(F.count("p")), 6).alias("lag1"))
+
+
+# Fits and training sets
+
+
+@query("fit_01_ar1", ", p AS (SELECT id, z AS y, lag(z) OVER (PARTITION BY id ORDER BY pos) AS x FROM sc WHERE period = 1) SELECT id, round(sum(x * y) / sum(CASE WHEN x IS NOT NULL THEN x * x END), 6) AS phi FROM p GROUP BY id")
+def _(s, d):
+    return fits.ar1(scored(s, d)).select("id", *_r("phi"))
+
+
+@query("fit_01")
+def _(s, d):
+    z = scored(s, d)
+    return fits.ar_residuals(z.select("id", "pos", "period", "z"), fits.ar(z)).filter("period = 2").select("id", "pos", *_r("r"))
+
+
+@query("fit_02_fit_03")
+def _(s, d):
+    return fits.learned(scored(s, d))
+
+
+@query("fit_04")
+def _(s, d):
+    return fits.garch(scored(s, d))
+
+
+def _shift_u():
+    key = F.length("id") * 7919 + F.col("tau") * 104729
+    return F.pmod(key * 1103515245 + F.col("copy") * 12345, F.lit(1000003)) / 1000003.0
+
+
+@query("trn_01_trn_02", f", c AS (SELECT id, tau, unnest([0, 1, 2]) AS copy FROM brk), k AS (SELECT *, CASE WHEN copy = 0 THEN 0 ELSE floor((((length(id) * 7919 + tau * 104729)::HUGEINT * 1103515245 + copy * 12345) % 1000003 + 1000003) % 1000003 / 1000003.0::DOUBLE * least(CASE WHEN tau >= 0 THEN tau ELSE {ONLINE // 2} END, {ONLINE - 10}))::INT END AS k FROM c) SELECT o.id, copy, count_if(o.pos <= {HIST} + k)::BIGINT AS hist_len, count_if(o.pos > {HIST} + k)::BIGINT AS online_len, CASE WHEN max(tau) >= 0 THEN max(tau) - max(k) ELSE -1 END AS tau FROM obs o JOIN k USING (id) GROUP BY o.id, copy")
+def _(s, d):
+    obs = observations(s, d)
+    c = break_index(obs).withColumn("tau", F.col("tau").cast("long")).select("id", "tau", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy"))
+    limit = F.least(F.when(F.col("tau") >= 0, F.col("tau")).otherwise(ONLINE // 2), F.lit(ONLINE - 10))
+    k = c.withColumn("k", F.when(F.col("copy") == 0, 0).otherwise(F.floor(_shift_u() * limit)).cast("int"))
+    moved = obs.join(k, "id").withColumn("period", F.when(F.col("pos") <= HIST + F.col("k"), 1).otherwise(2))
+    tau = F.when(F.max("tau") >= 0, F.max("tau") - F.max("k")).otherwise(-1).cast("int")
+    return moved.groupBy("id", "copy").agg(F.count_if(F.col("period") == 1).alias("hist_len"), F.count_if(F.col("period") == 2).alias("online_len"), tau.alias("tau"))
+
+
+@query("trn_03", f"SELECT id, pos, CASE WHEN pos > {HIST - min(500, HIST // 3)} THEN 2 ELSE 1 END AS period FROM obs WHERE period = 1")
+def _(s, d):
+    m = F.least(F.lit(500), F.floor(F.lit(HIST) / 3))
+    return observations(s, d).filter("period = 1").select("id", "pos", F.when(F.col("pos") > HIST - m, 2).otherwise(1).alias("period"))
+
+
+@query("trn_04_set_01", ", a AS (SELECT id, step, 1.0::DOUBLE AS weight FROM onl UNION ALL SELECT id, step, 2.0 FROM onl WHERE step % 4 = 0) SELECT id, step, count(*) AS n, sum(weight) AS weight FROM a GROUP BY ALL")
+def _(s, d):
+    on = online(s, d).select("id", "step", F.lit(1.0).alias("weight"))
+    return on.unionByName(on.filter("step % 4 = 0").withColumn("weight", F.lit(2.0))).groupBy("id", "step").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("trn_06", ", n AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM brk) SELECT id, (r % 5)::INT AS fold FROM n")
+def _(s, d):
+    # ids only, one row a series
+    ids = observations(s, d).select("id").distinct()
+    return ids.select("id", (F.row_number().over(Window.orderBy("id")) % 5).cast("int").alias("fold"))
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracles() -> dict[str, str]:
+    return dict(_SQL)
