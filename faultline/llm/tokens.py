@@ -23,7 +23,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct units that a worker remembers before it begins anew.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 500_000
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| {2}| \n|\n |\n\n|\A[ \n]|[ \n]\z"
 _L, _P = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-@\[-`{-~]"
 _LETTERS = re.compile(f" ?{_L}+")
@@ -39,7 +39,10 @@ def _gather(values, sizes, index):
     if not len(n):
         return values[:0], ends
     shift = (np.cumsum(sizes) - sizes)[index] - (ends - n)
-    return values[np.repeat(shift, n) + np.arange(ends[-1])], ends
+    kind = np.int32 if max(ends[-1], len(values)) < 1 << 31 else np.int64
+    at = np.repeat(shift.astype(kind), n)
+    at += np.arange(ends[-1], dtype=kind)
+    return values[at], ends
 
 
 class Encoder:
@@ -184,7 +187,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def array_groups(texts, limit: int = 8_000_000):
+def array_groups(texts, limit: int = 3_000_000):
     """Index ranges of an Arrow string array, of at most ``limit`` bytes (or one text)."""
     import numpy as np
     import pyarrow.compute as pc
