@@ -80,41 +80,60 @@ def fingerprints(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, cid long, bitmap binary, grams array<long>")
 
 
-def _shared(rows: DataFrame, parts: int) -> DataFrame:
-    """gram, i, j (block and block again), cid, size, pos of n-grams that at least two classes hold; blocks of at most GROUP rows."""
+def _partnered(gram, size, pos, num: int, den: int):
+    """Rows whose group (rows sorted by gram, then size) holds another row that sizes and places let them link with.
+
+    The smallest other size that the index admits asks for the least overlap, so a row that fails with it fails with all.
+    """
+    import numpy as np
+
+    n = len(gram)
+    group = np.cumsum(np.concatenate([[False], gram[1:] != gram[:-1]])) << 40
+    here = np.arange(n)
+    at = np.searchsorted(group + size, group + -(-num * size // den))
+    at = np.where(at == here, at + 1, at)
+    other = np.minimum(at, n - 1)
+    need = required(size, size[other], num, den)
+    return (at < n) & (group[other] == group) & (size[other] >= need) & (size - pos >= need)
+
+
+def _shared(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """gram, i, j (block and block again), cid, size, pos of n-grams that at least two classes hold; blocks of at most twice GROUP rows."""
     limit = GROUP
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held, last, seen = None, None, 0
+        def emit(cols, block):
+            if not block:
+                for _ in range(2):
+                    if len(cols[0]):
+                        keep = _partnered(cols[0], cols[2].astype(np.int64), cols[3].astype(np.int64), num, den)
+                        cols = [c[keep] for c in cols]
+            blocks = pa.array(np.full(len(cols[0]), block, np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), blocks, blocks, *map(pa.array, cols[1:])], ["gram", "i", "j", "cid", "size", "pos"])
+
+        held, block = None, 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-                held = None
-            g = cols[0]
-            if not len(g):
-                continue
-            same = g[1:] == g[:-1]
-            keep = np.zeros(len(g), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if last is not None:
-                keep |= (g == last) & (seen > 1)
-            tail = len(g) if keep[-1] else len(g) - 1  # a last row that is alone so far waits for the next batch
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            place = np.arange(len(g)) - np.repeat(starts, np.diff(np.append(starts, len(g))))
-            if last is not None:
-                place[g == last] += seen
-            if tail < len(g):
-                held = [c[tail:] for c in cols]
-            else:
-                last, seen = g[-1], int(place[-1]) + 1
-            k = np.flatnonzero(keep[:tail])
-            block = (place[k] // limit).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0][k]), pa.array(block), pa.array(block), *(pa.array(c[k]) for c in cols[1:])], ["gram", "i", "j", "cid", "size", "pos"])
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            first = int(np.searchsorted(cols[0], cols[0][0], "right")) if block else 0
+            if cut:
+                if block:  # the rest of an n-gram whose first blocks are out
+                    yield emit([c[:first] for c in cols], block + 1)
+                    block = 0
+                yield emit([c[first:cut] for c in cols], 0)
+            held = [c[cut:] for c in cols]
+            while len(held[0]) >= 2 * limit:
+                yield emit([c[:limit] for c in held], block + 1)
+                held, block = [c[limit:] for c in held], block + 1
+        if held is not None:
+            yield emit(held, block + 1 if block else 0)
 
     placed = rows.select("gram", "cid", "size", "pos").repartition(parts, "gram").sortWithinPartitions("gram", "size", "cid")
     return placed.mapInArrow(run, "gram long, i int, j int, cid long, size long, pos int")
@@ -185,7 +204,7 @@ def pairs_of(cid, size, pos, bits, comp, side, start: int, budget: int, num: int
             out_a.append(np.full(len(js), cid[i]))
             out_b.append(cid[js])
             total += len(js)
-            if total > budget and i + 1 < m - 1:
+            if total >= budget and i + 1 < m - 1:
                 return np.concatenate(out_a), np.concatenate(out_b), i + 1
     none = np.empty(0, np.int64)
     return (np.concatenate(out_a), np.concatenate(out_b), None) if out_a else (none, none, None)
@@ -218,7 +237,7 @@ def _candidates(groups: DataFrame, factor: int, num: int, den: int) -> DataFrame
             for x, y in zip(cuts, cuts[1:]):
                 if y - x < 2 or comp[x] == comp[x + 1] and (comp[x:y] == comp[x]).all():
                     continue
-                a, b, nxt = pairs_of(cid[x:y], size[x:y], pos[x:y], bits[x:y], comp[x:y], side[x:y], int(start[x]), max(64, factor * (y - x)), num, den)
+                a, b, nxt = pairs_of(cid[x:y], size[x:y], pos[x:y], bits[x:y], comp[x:y], side[x:y], int(start[x]), max(3, factor * (y - x - 1)), num, den)
                 if len(a):
                     out_a.append(a)
                     out_b.append(b)
@@ -290,7 +309,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
     reps = classes.select(F.col("rep").alias("doc_id"), "cid")
     first = sets.select("doc_id", "cid", "size", "grams").join(reps, ["doc_id", "cid"]).dropDuplicates(["cid"])
     rows = first.select("cid", "size", F.posexplode("grams").alias("pos", "gram"))
-    shared = store.written(_shared(rows, parts))
+    shared = store.written(_shared(rows, parts, num, den))
     groups = store.written(shared.withColumn("side", F.lit(3)).join(classes.select("cid", "bitmap"), "cid").withColumn("start", F.lit(0)))
     store.dropped(shared)
     links = _search(groups, lambda nodes: _texts(docs, nodes, reps, n, levels), classes, parts, n, num, den)
@@ -338,7 +357,7 @@ def _search(groups: DataFrame, texts_of, classes: DataFrame, parts: int, n: int,
     links = spark.createDataFrame([], "a long, b long")
     blocks = groups
     crossed = False
-    factor = 4
+    factor = 1
     for _ in range(ROUNDS):
         if links.isEmpty():
             labelled = groups.withColumn("comp", F.col("cid"))
@@ -367,7 +386,7 @@ def _search(groups: DataFrame, texts_of, classes: DataFrame, parts: int, n: int,
                 break
             a = two.join(blocks, ["gram", "i"]).select("gram", "i", F.col("k").alias("j"), F.lit(1).alias("side"), "cid", "size", "pos", "bitmap", F.lit(0).alias("start"))
             b = two.withColumnRenamed("i", "_i").withColumnRenamed("k", "i").join(blocks, ["gram", "i"]).select("gram", F.col("_i").alias("i"), F.col("i").alias("j"), F.lit(2).alias("side"), "cid", "size", "pos", "bitmap", F.lit(0).alias("start"))
-            groups, factor = store.written(a.unionByName(b)), 4
+            groups, factor = store.written(a.unionByName(b)), 1
             continue
         groups = store.written(groups.drop("start").join(more, ["gram", "i", "j"]))
         factor *= 8
