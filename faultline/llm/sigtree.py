@@ -326,7 +326,7 @@ def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id. Rows without doc_id stay."""
     found = store.written(jaccard_components(docs, n, num, den))
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
     if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") > 1).isEmpty():
         return kept
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
