@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import ndtri
 
-BY_POS = Window.partitionBy("id").orderBy("pos")
-BY_VALUE = Window.partitionBy("id").orderBy("value")
-SO_FAR = BY_POS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_pos():
+    return Window.partitionBy("id").orderBy("pos")
+
+
+def by_value():
+    return Window.partitionBy("id").orderBy("value")
+
+
+def so_far():
+    return by_pos().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def rank_join(series: DataFrame) -> DataFrame:
     """Adds bl and br, the numbers of history values below, and at or below, each value: one sort, no join."""
     h = (F.col("period") == 1).cast("long")
-    br = F.sum(h).over(BY_VALUE.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    same = F.sum(h).over(BY_VALUE.rangeBetween(Window.currentRow, Window.currentRow))
+    br = F.sum(h).over(by_value().rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum(h).over(by_value().rangeBetween(Window.currentRow, Window.currentRow))
     return series.withColumn("br", br).withColumn("bl", F.col("br") - same).withColumn("n_hist", F.sum(h).over(Window.partitionBy("id")))
 
 
@@ -40,7 +48,7 @@ def standardised(series: DataFrame) -> DataFrame:
 
 def streams(scored: DataFrame) -> DataFrame:
     """The analytic streams of z and g that need no fit, one column each; lags run across history and online."""
-    lag = lambda c, k: F.lag(c, k).over(BY_POS)
+    lag = lambda c, k: F.lag(c, k).over(by_pos())
     g, z = F.col("g"), F.col("z")
     tail, centre = 1.6448536269514722, 0.2533471031357997
     cols: dict[str, Column] = {
@@ -55,26 +63,26 @@ def streams(scored: DataFrame) -> DataFrame:
 
 def ordinal_pattern(series: DataFrame, column: str = "value") -> DataFrame:
     """Adds pattern, a code of the three pairwise comparisons of a value and the two before it."""
-    a, b, c = F.lag(column, 2).over(BY_POS), F.lag(column, 1).over(BY_POS), F.col(column)
+    a, b, c = F.lag(column, 2).over(by_pos()), F.lag(column, 1).over(by_pos()), F.col(column)
     return series.withColumn("pattern", (a < b).cast("int") * 4 + (b < c).cast("int") * 2 + (a < c).cast("int"))
 
 
 def running_z(on: DataFrame, e: str) -> DataFrame:
     """n, log_n and the running sum of a standardised stream over its root n."""
-    n = F.row_number().over(BY_POS)
-    return on.withColumn("n", n).withColumn("log_n", F.ln("n")).withColumn("sum_z", F.sum(e).over(SO_FAR) / F.sqrt("n"))
+    n = F.row_number().over(by_pos())
+    return on.withColumn("n", n).withColumn("log_n", F.ln("n")).withColumn("sum_z", F.sum(e).over(so_far()) / F.sqrt("n"))
 
 
 def windowed_z(on: DataFrame, e: str, widths=(16, 64, 256)) -> DataFrame:
-    on = on.withColumn("n", F.row_number().over(BY_POS))
-    return on.withColumns({f"w{w}": F.sum(e).over(BY_POS.rowsBetween(1 - w, 0)) / F.sqrt(F.least(F.col("n"), F.lit(w))) for w in widths})
+    on = on.withColumn("n", F.row_number().over(by_pos()))
+    return on.withColumns({f"w{w}": F.sum(e).over(by_pos().rowsBetween(1 - w, 0)) / F.sqrt(F.least(F.col("n"), F.lit(w))) for w in widths})
 
 
 def cusum(on: DataFrame, e: str, k: float) -> DataFrame:
     """Two-sided Page statistics in closed form: a running sum less its own running minimum."""
-    up, dn = F.sum(F.col(e) - k).over(SO_FAR), F.sum(-F.col(e) - k).over(SO_FAR)
+    up, dn = F.sum(F.col(e) - k).over(so_far()), F.sum(-F.col(e) - k).over(so_far())
     on = on.withColumn("_u", up).withColumn("_d", dn)
-    least = lambda c: F.least(F.lit(0.0), F.min(c).over(SO_FAR))
+    least = lambda c: F.least(F.lit(0.0), F.min(c).over(so_far()))
     return on.withColumn("cusum_up", F.col("_u") - least("_u")).withColumn("cusum_dn", F.col("_d") - least("_d")).drop("_u", "_d")
 
 
@@ -84,13 +92,13 @@ def _fold(values: Column, decay: float, gain: float, start: float) -> Column:
 
 def ewma(on: DataFrame, e: str, alpha: float = 0.03, memory: int = 1024) -> DataFrame:
     """Exponentially weighted sum from 0, over its limiting sd; the weight beyond ``memory`` terms is below 1e-13."""
-    last = F.collect_list(e).over(BY_POS.rowsBetween(1 - memory, 0))
+    last = F.collect_list(e).over(by_pos().rowsBetween(1 - memory, 0))
     return on.withColumn("ewma", _fold(last, 1 - alpha, alpha, 0.0) * ((2 - alpha) / alpha) ** 0.5)
 
 
 def volatility(scored: DataFrame, square: str, decay: float, memory: int = 3000) -> DataFrame:
     """Exponential mean of the squares before each row, started at 1: causal, over history and online."""
-    before = F.collect_list(square).over(BY_POS.rowsBetween(-memory, -1))
+    before = F.collect_list(square).over(by_pos().rowsBetween(-memory, -1))
     return scored.withColumn("vol", _fold(before, decay, 1 - decay, 1.0))
 
 
@@ -99,8 +107,8 @@ def glr(on: DataFrame, e: str) -> DataFrame:
 
     Prefix sums come as an array, and a higher-order function scans it; series are bounded in length.
     """
-    on = on.withColumn("n", F.row_number().over(BY_POS).cast("double")).withColumn("_s", F.sum(e).over(SO_FAR))
-    before = F.concat(F.array(F.lit(0.0)), F.coalesce(F.collect_list("_s").over(BY_POS.rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>")))
+    on = on.withColumn("n", F.row_number().over(by_pos()).cast("double")).withColumn("_s", F.sum(e).over(so_far()))
+    before = F.concat(F.array(F.lit(0.0)), F.coalesce(F.collect_list("_s").over(by_pos().rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>")))
     on = on.withColumn("_p", before)
     best = F.array_max(F.transform("_p", lambda p, j: F.struct((F.pow(F.col("_s") - p, F.lit(2)) / (F.col("n") - j)).alias("stat"), (F.col("n") - j).alias("age"), (F.col("_s") - p).alias("diff"))))
     on = on.withColumn("_b", best)
@@ -112,7 +120,7 @@ def long_run_sd(hist: DataFrame, column: str) -> DataFrame:
     w = Window.partitionBy("id")
     d = hist.withColumn("_n", F.count("*").over(w)).withColumn("_d", F.col(column) - F.avg(column).over(w)).withColumn("_l", F.ceil(F.pow(F.col("_n"), F.lit(1 / 3)) - 1e-9).cast("int"))
     most = 18  # covers series of up to 5 800 points
-    products = [F.avg(F.coalesce(F.col("_d") * F.lag("_d", j).over(BY_POS), F.lit(0.0))).over(w).alias(f"_g{j}") for j in range(most + 1)]
+    products = [F.avg(F.coalesce(F.col("_d") * F.lag("_d", j).over(by_pos()), F.lit(0.0))).over(w).alias(f"_g{j}") for j in range(most + 1)]
     one = d.select("id", "_n", "_l", *products).dropDuplicates(["id"])
     total = F.col("_g0")
     for j in range(1, most + 1):
@@ -122,9 +130,9 @@ def long_run_sd(hist: DataFrame, column: str) -> DataFrame:
 
 def horizon_sd(hist: DataFrame, column: str, most: int = 10) -> DataFrame:
     """id, h (log2 of the horizon), sd of rolling sums; horizons of half the length and more extend the last by root of time."""
-    c = hist.withColumn("_c", F.sum(column).over(SO_FAR)).withColumn("_n", F.count("*").over(Window.partitionBy("id")))
+    c = hist.withColumn("_c", F.sum(column).over(so_far())).withColumn("_n", F.count("*").over(Window.partitionBy("id")))
     ks = [2**j for j in range(most + 1)]
-    diffs = c.select("id", "_n", *[F.when(F.row_number().over(BY_POS) >= k, F.col("_c") - F.coalesce(F.lag("_c", k).over(BY_POS), F.lit(0.0))).alias(f"_{k}") for k in ks])
+    diffs = c.select("id", "_n", *[F.when(F.row_number().over(by_pos()) >= k, F.col("_c") - F.coalesce(F.lag("_c", k).over(by_pos()), F.lit(0.0))).alias(f"_{k}") for k in ks])
     sds = diffs.groupBy("id").agg(F.max("_n").alias("n"), *[F.stddev_pop(f"_{k}").alias(f"_{k}") for k in ks])
     long = sds.select("id", "n", F.posexplode(F.array(*[F.when(F.col("n") / 2 > k, F.col(f"_{k}")) for k in ks])).alias("h", "sd"))
     last = F.last("sd", True).over(Window.partitionBy("id").orderBy("h"))

@@ -187,7 +187,7 @@ def _(s, d):
 
 @query("flt_05", "SELECT id, step FROM onl WHERE n > 1 AND g IS NOT NULL")
 def _(s, d):
-    prev = F.lag("g").over(windows.BY_POS)
+    prev = F.lag("g").over(windows.by_pos())
     return online(s, d).withColumn("score", F.when(prev.isNotNull(), F.col("g"))).filter(F.col("score").isNotNull()).select("id", "step")
 
 
@@ -320,7 +320,7 @@ _INV = "1 / exp(ln(greatest(a.sd, 1e-9)) + (log2(n::DOUBLE) - a.h) * (ln(greates
 
 @query("win_09_cal_02", _HSD + f" SELECT o.id, o.step, round(sum(g) OVER (PARTITION BY o.id ORDER BY step) * {_INV}, 6) AS cal_sum FROM onl o JOIN hs a ON a.id = o.id AND a.h = least(floor(log2(n::DOUBLE)), 9) JOIN hs b ON b.id = o.id AND b.h = a.h + 1")
 def _(s, d):
-    on = online(s, d).withColumn("n", F.row_number().over(windows.BY_POS)).withColumn("_s", F.sum("g").over(windows.SO_FAR))
+    on = online(s, d).withColumn("n", F.row_number().over(windows.by_pos())).withColumn("_s", F.sum("g").over(windows.so_far()))
     return on.join(calibration(s, d), "id").select("id", "step", F.round(F.col("_s") * inverse_sd(F.col("n")), 6).alias("cal_sum"))
 
 
@@ -328,7 +328,7 @@ def _(s, d):
 def _(s, d):
     h = scored(s, d).filter("period = 1")
     for k in (1, 2, 3):
-        h = h.withColumn(f"l{k}", F.lag("g", k).over(windows.BY_POS))
+        h = h.withColumn(f"l{k}", F.lag("g", k).over(windows.by_pos()))
     total = sum((F.pow(F.corr("g", f"l{k}"), F.lit(2)) for k in (1, 2, 3)), F.lit(0.0))
     return h.groupBy("id").agg(F.round(total, 6).alias("lb3"))
 
@@ -354,7 +354,7 @@ def _(s, d):
 @query("agg_19", ", b AS (SELECT id, pos, least(floor(u * 4), 3)::INT AS y FROM sc WHERE period = 1), t AS (SELECT id, y, lag(y) OVER (PARTITION BY id ORDER BY pos) AS x FROM b), c AS (SELECT i.id, x.x, y.y, 0.5 + count(t.id) AS n FROM (SELECT DISTINCT id FROM b) i, range(4) x(x), range(4) y(y) LEFT JOIN t ON t.id = i.id AND t.x = x.x AND t.y = y.y GROUP BY ALL) SELECT id, x::INT AS x, y::INT AS y, round(n / sum(n) OVER (PARTITION BY id, x), 6) AS p FROM c")
 def _(s, d):
     b = windows.normal_scores(observations(s, d)).filter("period = 1").select("id", "pos", F.least(F.floor(F.col("u") * 4), F.lit(3)).cast("int").alias("y"))
-    t = b.withColumn("x", F.lag("y").over(windows.BY_POS)).filter("x IS NOT NULL").groupBy("id", "x", "y").agg(F.count("*").alias("c"))
+    t = b.withColumn("x", F.lag("y").over(windows.by_pos())).filter("x IS NOT NULL").groupBy("id", "x", "y").agg(F.count("*").alias("c"))
     four = F.explode(F.sequence(F.lit(0), F.lit(3)))
     grid = b.select("id").distinct().select("id", four.alias("x")).select("id", "x", four.alias("y"))
     n = grid.join(t, ["id", "x", "y"], "left").withColumn("n", 0.5 + F.coalesce("c", F.lit(0)))
@@ -443,7 +443,7 @@ def _(s, d):
 
 @query("win_11", "SELECT id, pos, round(pow(sum(g) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 2) / 8, 5) AS b8 FROM sc")
 def _(s, d):
-    return scored(s, d).select("id", "pos", F.round(F.pow(F.sum("g").over(windows.BY_POS.rowsBetween(-7, 0)), F.lit(2)) / 8, 5).alias("b8"))
+    return scored(s, d).select("id", "pos", F.round(F.pow(F.sum("g").over(windows.by_pos().rowsBetween(-7, 0)), F.lit(2)) / 8, 5).alias("b8"))
 
 
 @query("win_12", ", l AS (SELECT id, pos, value AS c, lag(value, 1) OVER w AS b, lag(value, 2) OVER w AS a FROM obs WINDOW w AS (PARTITION BY id ORDER BY pos)) SELECT id, (a < b)::INT * 4 + (b < c)::INT * 2 + (a < c)::INT AS pattern, count(*) AS n FROM l WHERE a IS NOT NULL GROUP BY ALL")
@@ -453,7 +453,7 @@ def _(s, d):
 
 @query("win_15", "SELECT id, step, round(avg(g) OVER (PARTITION BY id ORDER BY step), 6) AS mean_to FROM onl")
 def _(s, d):
-    return online(s, d).select("id", "step", F.round(F.avg("g").over(windows.SO_FAR), 6).alias("mean_to"))
+    return online(s, d).select("id", "step", F.round(F.avg("g").over(windows.so_far()), 6).alias("mean_to"))
 
 
 # Two-sample tests
@@ -490,7 +490,7 @@ def _(s, d):
 @query("tst_09_tst_10", ", e AS (SELECT o.id, o.g, o.g * lag(o.g) OVER (PARTITION BY o.id ORDER BY step) AS p FROM onl o JOIN brk USING (id) WHERE tau <> -1 AND step >= tau) SELECT id, round(sum(g) / sqrt(count(*)), 6) AS oracle_z, round(sum(p) / sqrt(count(p)), 6) AS lag1 FROM e GROUP BY id")
 def _(s, d):
     post = online(s, d).join(break_index(observations(s, d)), "id").filter("tau <> -1 AND step >= tau")
-    post = post.withColumn("p", F.col("g") * F.lag("g").over(windows.BY_POS))
+    post = post.withColumn("p", F.col("g") * F.lag("g").over(windows.by_pos()))
     return post.groupBy("id").agg(F.round(F.sum("g") / F.sqrt(F.count("*")), 6).alias("oracle_z"), F.round(F.sum("p") / F.sqrt(F.count("p")), 6).alias("lag1"))
 
 
@@ -553,6 +553,20 @@ def _(s, d):
     return ids.select("id", (F.row_number().over(Window.orderBy("id")) % 5).cast("int").alias("fold"))
 
 
+@query("trn_07_trn_12")
+def _(s, d):
+    """Scores of a small ensemble on the odd series, learned on the even ones."""
+    from ..operators import ensemble
+
+    obs = observations(s, d)
+    wide = windows.cusum(windows.running_z(windows.streams(scored(s, d)).filter("period = 2"), "g"), "g2", 1.1)
+    names = ["sum_z", "log_n", "g2", "absg", "vol1", "cusum_up"]
+    rows = wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *names)
+    part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2))
+    models = ensemble.fit(rows.filter(part == 0), names, seeds=(0, 1), rounds=5)
+    return ensemble.score(rows.filter(part == 1), names, models).select("id", "step", "label", "score")
+
+
 def queries() -> dict:
     return dict(_Q)
 
