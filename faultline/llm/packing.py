@@ -70,6 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
                         start, size = start + size, capacity
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        store.trim()
 
     out = docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")

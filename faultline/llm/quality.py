@@ -177,6 +177,7 @@ def score(docs: DataFrame, model: ByteCnn, text: str = "text") -> DataFrame:
             for a, b in groups_of(texts, 1_000_000):
                 got = net.score([(t or "").encode() for t in texts[a:b]])
                 yield batch.slice(a, b - a).append_column("score", pa.array(got, pa.float64()))
+        store.trim()
 
     return docs.drop("score").mapInArrow(run, f"{schema}, score double")
 

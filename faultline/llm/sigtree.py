@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, n: int, num: int, den: int, levels) -> DataFra
                     out.append((doc, 0, None, None, None))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, types)], ["doc_id", "size", "cid", "bitmap", "grams"])
+        store.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, cid long, bitmap binary, grams array<long>")
 
@@ -134,6 +135,7 @@ def _shared(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
                 held, block = [c[limit:] for c in held], block + 1
         if held is not None:
             yield emit(held, block + 1 if block else 0)
+        store.trim()
 
     placed = rows.select("gram", "cid", "size", "pos").repartition(parts, "gram").sortWithinPartitions("gram", "size", "cid")
     return placed.mapInArrow(run, "gram long, i int, j int, cid long, size long, pos int")

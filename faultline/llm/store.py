@@ -63,3 +63,16 @@ def partitions(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts can be long, and a Python worker holds a batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def trim() -> None:
+    """Give a worker's free memory back to the system, at the end of a task: idle workers then stay small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

@@ -178,6 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.take(pa.array([k for k, t in enumerate(texts) if next(index.scan(t, coverage), None) is None], pa.int32()))
+        store.trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -23,7 +23,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct units that a worker remembers before it begins anew.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 300_000
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| {2}| \n|\n |\n\n|\A[ \n]|[ \n]\z"
 _L, _P = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-@\[-`{-~]"
 _LETTERS = re.compile(f" ?{_L}+")

@@ -111,6 +111,7 @@ def commonness(docs, lower: bool = True):
                     np.add.at(table, bucket(h), 1)
         rows = [(k, s.tobytes()) for k, s in enumerate(table.reshape(-1, _SLICE)) if s.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([s for _, s in rows], pa.binary())], ["slice", "counts"])
+        store.trim()
 
     def add(batches):
         import pyarrow as pa
