@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +63,112 @@ def segment_stats(series: DataFrame) -> DataFrame:
     d = series.withColumn("d", F.col("value") - F.avg("value").over(w)).withColumn("l", F.lag("value").over(w.orderBy("pos")) - F.avg("value").over(w))
     css = F.sum(F.col("d") * F.col("d"))
     return d.groupBy("id", "period").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.when(css > 0, F.sum(F.col("d") * F.col("l")) / css).alias("acf1"))
+
+
+def anderson_darling(series: DataFrame) -> DataFrame:
+    """id, ad: the standardised two-sample Anderson-Darling statistic of history and online, with mid-ranks.
+
+    A series with an empty part has no row; where all values are equal the distance before standardising is 0.
+    """
+    rows = series.select("id", "value", (F.col("period") == 1).cast("long").alias("h")).repartition("id")
+    cells = rows.groupBy("id", "value").agg(F.sum("h").alias("f1"), F.count("*").alias("l"))
+    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy("id")
+    cells = cells.withColumn("n1", F.sum("f1").over(every)).withColumn("n", F.sum("l").over(every))
+    cells = cells.withColumn("b", F.sum("l").over(upto) - F.col("l") / 2).withColumn("m1", F.sum("f1").over(upto) - F.col("f1") / 2)
+    n, l, b = F.col("n"), F.col("l"), F.col("b")
+    room = b * (n - b) - n * l / 4
+    term = lambda m, k: F.when(room > 0, l / n * F.pow(n * m - b * k, F.lit(2)) / room).otherwise(0.0)
+    one = cells.groupBy("id", "n", "n1").agg(F.sum(term(F.col("m1"), F.col("n1"))).alias("t1"), F.sum(term(b - F.col("m1"), n - F.col("n1"))).alias("t2"))
+    # the variance depends on the sizes only: two harmonic sums, folded over 1 .. n - 1
+    size, n2 = F.col("n").cast("int"), F.col("n") - F.col("n1")
+    start = F.struct(F.lit(0.0).alias("inner"), F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
+    fold = F.aggregate(
+        F.sequence(F.lit(1), size - 1),
+        start,
+        lambda s, j: F.struct((s["inner"] + 1.0 / (size - j)).alias("inner"), (s["g"] + s["inner"] / j).alias("g"), (s["h"] + 1.0 / j).alias("h")),
+    )
+    one = one.filter((F.col("n1") > 0) & (n2 > 0) & (n > 3)).withColumn("_f", fold)
+    g, h, H = F.col("_f.g"), F.col("_f.h"), 1 / F.col("n1") + 1 / n2
+    a = (4 * g - 6) + (10 - 6 * g) * H
+    bb = (2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * H - 8 * h + 4 * g - 6
+    c = (6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * H + 4 * h
+    d = (2 * h + 6) * 4 - 8 * h
+    x = n.cast("double")
+    var = (a * x * x * x + bb * x * x + c * x + d) / ((x - 1) * (x - 2) * (x - 3))
+    a2 = (F.col("t1") / F.col("n1") + F.col("t2") / n2) * (n - 1) / n
+    return one.select("id", ((a2 - 1) / F.sqrt(var)).alias("ad"))
+
+
+def fair_coin_p(k: int, n: int) -> float:
+    """Two-sided exact p-value of k of n against a half: twice the smaller tail, at most 1; terms shrink by a ratio."""
+    from math import exp, lgamma, log
+
+    i = min(k, n - k)
+    if n == 0 or 2 * i >= n:
+        return 1.0
+    term = exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2))
+    total = 0.0
+    while term > total * 1e-17:
+        total += term
+        term *= i / (n - i + 1)
+        i -= 1
+    return min(1.0, 2 * total)
+
+
+def break_rate(index: DataFrame) -> DataFrame:
+    """n, k, p: series, series with a break, and the exact binomial test of their share against a half; one row."""
+    @F.pandas_udf("double")
+    def p_value(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([fair_coin_p(int(a), int(b)) for a, b in zip(k, n)])
+
+    counts = index.agg(F.count("*").alias("n"), F.count_if(F.col("tau") >= 0).alias("k"))
+    return counts.withColumn("p", p_value("k", "n"))
+
+
+def variance_ratio(scored: DataFrame, cuts: DataFrame, e: str, scales=(2, 4, 8, 16, 32, 64, 128), least: int = 30) -> DataFrame:
+    """id, scale, vr_z, dlog_vr: squared block sums after the cut against the history's, at each scale.
+
+    vr_z is standardised by batch means of four scales and null where the history has fewer than two batches.
+    """
+    by_id, order = Window.partitionBy("id"), Window.partitionBy("id").orderBy("pos")
+    rows = scored.withColumn("nh", F.count_if(F.col("period") == 1).over(by_id)).join(cuts, "id").withColumn("_k", F.row_number().over(order))
+    block = lambda k: F.when(F.col("_k") >= k, F.pow(F.sum(e).over(order.rowsBetween(1 - k, 0)), F.lit(2)) / k)
+    rows = rows.select("id", "period", "step", "t", "nh", "_k", *[block(k).alias(f"_s{k}") for k in scales])
+    long = rows.select("id", "period", "step", "t", "nh", "_k", F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.col(f"_s{k}").alias("s")) for k in scales])).alias("_b"))
+    long = long.select("id", "_b.scale", "_b.s", "_k", "nh", (F.col("period") == 1).alias("past"), ((F.col("period") == 2) & (F.col("step") >= F.col("t"))).alias("post")).filter("s IS NOT NULL")
+    # batches of four scales, counted from the first whole block; the last, partial one is left out
+    batch = F.when(F.col("past"), F.floor((F.col("_k") - F.col("scale")) / (4 * F.col("scale"))))
+    parts = long.withColumn("_batch", batch).groupBy("id", "scale", "nh", "_batch").agg(
+        F.count_if("past").alias("c"), F.sum(F.when(F.col("past"), F.col("s"))).alias("sh"), F.count_if("post").alias("np"), F.sum(F.when(F.col("post"), F.col("s"))).alias("sp")
+    )
+    full = F.when(F.col("c") == 4 * F.col("scale"), F.col("sh") / F.col("c"))
+    t = parts.groupBy("id", "scale").agg(
+        (F.sum("sh") / F.sum("c")).alias("mh"), (F.sum("sp") / F.sum("np")).alias("mp"), F.sum("np").alias("np"), (F.stddev_samp(full) * F.sqrt(4 * F.first("scale"))).alias("sd")
+    ).filter(F.col("np") >= least)
+    return t.select("id", "scale", (F.abs(F.col("mp") - F.col("mh")) / F.col("sd") * F.sqrt("np")).alias("vr_z"), F.abs(F.ln(F.col("mp") + 1e-9) - F.ln(F.col("mh") + 1e-9)).alias("dlog_vr"))
+
+
+def bootstrap_auc(scored: DataFrame, key: Column, draws: int = 200, size: int = 100) -> DataFrame:
+    """draw, auc: the time-stratified AUC on ``size`` series drawn without replacement, ``draws`` times.
+
+    ``key`` is an integer of a series that decides the draws. The rank limit runs in each task before the shuffle,
+    and the picks, at most draws x size rows, are sent to all tasks.
+    """
+    ids = scored.select("id", F.pmod(key.cast("long"), F.lit(1000003)).alias("_key")).distinct()
+    h = F.pmod(F.col("_key") * (2 * F.col("draw") + 1) * 69069 + F.col("draw") * 12345, F.lit(1000003))
+    ranked = ids.select("id", "_key", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_h", h)
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_h", "id")))
+    picks = ranked.filter(F.col("_r") <= size).select("draw", "id")
+    rows = scored.join(F.broadcast(picks) if draws * size <= 100_000 else picks, "id")
+    cells = rows.groupBy("draw", "step", "score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+    below = Window.partitionBy("draw", "step").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    wins = cells.withColumn("q", F.col("n") - F.col("p")).withColumn("less", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    per = wins.groupBy("draw", "step").agg(F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)).alias("won"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    total = F.sum(F.col("np") * F.col("nq"))
+    return per.groupBy("draw").agg(F.when(total > 0, F.sum("won") / total).otherwise(0.5).alias("auc"))
+
+
+def spread(draws: DataFrame) -> DataFrame:
+    """mean, sd and the 5 and 95 % points of the draws; one row."""
+    return draws.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"), F.percentile("auc", 0.05).alias("q05"), F.percentile("auc", 0.95).alias("q95"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import for_duckdb, ndtri_sql
-from ..operators import fits, stats, windows
+from ..operators import bayes, calibrated, fits, stats, windows
 from ..sources import series as src
 
 HIST, ONLINE = 450, 150
@@ -302,17 +302,7 @@ def _(s, d):
 
 
 def calibration(s, d) -> DataFrame:
-    """id and the horizon curve as one array, to be looked up in log-log steps."""
-    h = windows.horizon_sd(scored(s, d).filter("period = 1"), "g")
-    return h.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "sd"))), lambda x: x["sd"]).alias("curve"))
-
-
-def inverse_sd(k):
-    """1 / sd at horizon k: linear in logarithms between powers of two, root of time beyond the last."""
-    x = F.least(F.log2(k.cast("double")), F.lit(10.0))
-    lo = F.least(F.floor(x), F.lit(9)).cast("int")
-    a, b = F.ln(F.greatest(F.element_at("curve", lo + 1), F.lit(1e-9))), F.ln(F.greatest(F.element_at("curve", lo + 2), F.lit(1e-9)))
-    return 1 / (F.exp(a + (x - lo) * (b - a)) * F.sqrt(F.greatest(k / 1024.0, F.lit(1.0))))
+    return calibrated.curve(scored(s, d).filter("period = 1"), "g")
 
 
 _INV = "1 / exp(ln(greatest(a.sd, 1e-9)) + (log2(n::DOUBLE) - a.h) * (ln(greatest(b.sd, 1e-9)) - ln(greatest(a.sd, 1e-9))))"
@@ -321,7 +311,7 @@ _INV = "1 / exp(ln(greatest(a.sd, 1e-9)) + (log2(n::DOUBLE) - a.h) * (ln(greates
 @query("win_09_cal_02", _HSD + f" SELECT o.id, o.step, round(sum(g) OVER (PARTITION BY o.id ORDER BY step) * {_INV}, 6) AS cal_sum FROM onl o JOIN hs a ON a.id = o.id AND a.h = least(floor(log2(n::DOUBLE)), 9) JOIN hs b ON b.id = o.id AND b.h = a.h + 1")
 def _(s, d):
     on = online(s, d).withColumn("n", F.row_number().over(windows.by_pos())).withColumn("_s", F.sum("g").over(windows.so_far()))
-    return on.join(calibration(s, d), "id").select("id", "step", F.round(F.col("_s") * inverse_sd(F.col("n")), 6).alias("cal_sum"))
+    return on.join(calibration(s, d), "id").select("id", "step", F.round(F.col("_s") * calibrated.inverse_sd(F.col("n")), 6).alias("cal_sum"))
 
 
 @query("agg_14_agg_15", ", l AS (SELECT id, k, corr(a, b) AS r FROM (SELECT id, unnest([1, 2, 3]) AS k, g AS a, unnest([lag(g, 1) OVER w, lag(g, 2) OVER w, lag(g, 3) OVER w]) AS b FROM sc WHERE period = 1 WINDOW w AS (PARTITION BY id ORDER BY pos)) GROUP BY id, k) SELECT id, round(sum(r * r), 6) AS lb3 FROM l GROUP BY id")
@@ -553,18 +543,198 @@ def _(s, d):
     return ids.select("id", (F.row_number().over(Window.orderBy("id")) % 5).cast("int").alias("fold"))
 
 
+# Calibration on the series' own history
+
+
+_KEY = f", ix AS (SELECT DISTINCT o.id, tau, (length(kind) * 7919 + chunk * 104729) % 1000003 AS key FROM obs o JOIN brk USING (id))"
+_CUT = _KEY + f""", gv AS (SELECT row_number() OVER (ORDER BY tau, id) - 1 AS i, (tau + 0.5) / {ONLINE} AS u FROM ix WHERE tau >= 0),
+cut AS (SELECT ix.id, key, CASE WHEN tau >= 0 THEN tau ELSE floor(u * {ONLINE})::BIGINT END AS t FROM ix LEFT JOIN gv ON tau < 0 AND i = ((key * 1103515245 + 12345) % 1000003) % (SELECT count(*) FROM gv))"""
+
+
+def _key():
+    """An integer of a series that SQL can compute too."""
+    return (F.length(F.regexp_extract("id", "^(.*)-", 1)) * 7919 + F.regexp_extract("id", "-([0-9]+)$", 1).cast("long") * 104729) % 1000003
+
+
+def cuts(s, d) -> DataFrame:
+    return calibrated.random_cuts(break_index(observations(s, d)).withColumn("online_len", F.lit(ONLINE)), _key())
+
+
+@query("win_10", """, c AS (SELECT id, period, pos, step, g - avg(CASE WHEN period = 1 THEN g END) OVER (PARTITION BY id) AS e FROM sc),
+w AS (SELECT a.id, a.period, a.pos, a.step, sum(b.e * 0.03 * pow(0.97, a.pos - b.pos)) AS w FROM c a JOIN c b ON a.id = b.id AND a.period = b.period AND b.pos <= a.pos GROUP BY ALL),
+d AS (SELECT id, stddev_pop(w) AS sd FROM w WHERE period = 1 AND pos > 100 GROUP BY id) SELECT id, step, round(w / sd, 6) AS cal_ewma FROM w JOIN d USING (id) WHERE period = 2""")
+def _(s, d):
+    return calibrated.calibrated_ewma(scored(s, d), "g").select("id", "step", *_r("cal_ewma"))
+
+
+def _recalibrated_sql() -> str:
+    out = [_HSD, ", ru AS (SELECT id, step, n, " + ", ".join(f"sum(g) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS s{w}" for w in (16, 64, 256, 1024)) + " FROM onl)"]
+    terms = []
+    for w in (16, 64, 256, 1024):
+        out.append(f", r{w} AS (SELECT ru.id, ru.step, s{w} * {_INV.replace('n::DOUBLE', f'least(n, {w})::DOUBLE')} AS v FROM ru JOIN hs a ON a.id = ru.id AND a.h = least(floor(log2(least(n, {w})::DOUBLE)), 9) JOIN hs b ON b.id = ru.id AND b.h = a.h + 1)")
+        terms.append(f"round(r{w}.v, 6) AS {'sum_z' if w == 1024 else f'w{w}'}")
+    return "".join(out) + " SELECT id, step, " + ", ".join(terms) + " FROM r16 JOIN r64 USING (id, step) JOIN r256 USING (id, step) JOIN r1024 USING (id, step)"
+
+
+@query("cal_03", _recalibrated_sql())
+def _(s, d):
+    return calibrated.recalibrated(online(s, d), calibration(s, d), "g").select("id", "step", *_r("w16", "w64", "w256", "sum_z"))
+
+
+_NULL = f""", sz AS (SELECT *, least({ONLINE} - t, {HIST // 4}) AS n FROM cut WHERE {ONLINE} - t >= 50),
+st AS (SELECT id, j, n, CASE WHEN j < 0 THEN {HIST} + t ELSE 200 + ((key * 69069 + j * 1103515245) % 1000003) % ({HIST} - n - 200) END AS a FROM sz, range(-1, 40) r(j)),
+v AS (SELECT st.id, j, sum(w) / sqrt(n) AS mean, (sum(w * w) / n - 1) * sqrt(n / 2.0) AS var, (sum(abs(w)) / n - sqrt(2 / pi())) * sqrt(n) AS abs,
+  sum(CASE WHEN pos > a + 1 THEN w * l END) / (n - 1) * sqrt(n) AS acf1, (sum(CASE WHEN pos > a + 1 THEN abs(w * l) END) / (n - 1) - 2 / pi()) * sqrt(n) AS vol1
+  FROM st JOIN x ON x.id = st.id AND x.pos > a AND x.pos <= a + n GROUP BY st.id, j, n)
+SELECT id, """ + ", ".join(
+    f"round(max(CASE WHEN j < 0 THEN {c} END), 5) AS {c}_z, round((max(CASE WHEN j < 0 THEN {c} END) - avg(CASE WHEN j >= 0 THEN {c} END)) / stddev_pop(CASE WHEN j >= 0 THEN {c} END), 5) AS {c}_cal" for c in calibrated.NULL_STATS
+) + " FROM v GROUP BY id"
+_WHITE = """, vo AS (SELECT a.id, a.pos, a.period, a.g / sqrt(pow(0.97, a.pos - 1) + coalesce(sum(b.g * b.g * 0.03 * pow(0.97, a.pos - 1 - b.pos)), 0)) AS y FROM sc a LEFT JOIN sc b ON b.id = a.id AND b.pos < a.pos GROUP BY a.id, a.pos, a.period, a.g),
+wh AS (SELECT id, pos, (y - avg(CASE WHEN period = 1 AND pos > 200 THEN y END) OVER p) / stddev_pop(CASE WHEN period = 1 AND pos > 200 THEN y END) OVER p AS w FROM vo WINDOW p AS (PARTITION BY id))"""
+
+
+def _null_columns():
+    return [F.round(f"{c}_{k}", 5).alias(f"{c}_{k}") for c in calibrated.NULL_STATS for k in ("z", "cal")]
+
+
+@query("cal_04", _CUT + ", x AS (SELECT id, pos, g AS w, lag(g) OVER (PARTITION BY id ORDER BY pos) AS l FROM sc)" + _NULL)
+def _(s, d):
+    return calibrated.null_windows(scored(s, d), cuts(s, d), "g", _key()).select("id", *_null_columns())
+
+
+@query("cal_04_whitened", _CUT + _WHITE + ", x AS (SELECT id, pos, w, lag(w) OVER (PARTITION BY id ORDER BY pos) AS l FROM wh)" + _NULL)
+def _(s, d):
+    return calibrated.null_windows(calibrated.whitened(scored(s, d), "g", 0.97), cuts(s, d), "w", _key()).select("id", *_null_columns())
+
+
+@query("tst_12", _CUT + " SELECT id, t FROM cut")
+def _(s, d):
+    return cuts(s, d)
+
+
+def _bayes_sql() -> str:
+    bin_of = lambda n: f"least(floor(u * {n}), {n - 1})::INT"
+    parts = [
+        f""", bn AS (SELECT id, period, step, {bin_of(16)} AS mb, {bin_of(4)} AS pb, lag({bin_of(4)}) OVER (PARTITION BY id ORDER BY pos) AS pa FROM sc),
+tr AS (SELECT id, pa, pb, count(*) AS c FROM bn WHERE period = 1 AND pa IS NOT NULL GROUP BY ALL),
+p0 AS (SELECT i.id, x.a, y.b, (0.5 + coalesce(c, 0)) / sum(0.5 + coalesce(c, 0)) OVER (PARTITION BY i.id, x.a) AS p FROM (SELECT DISTINCT id FROM bn) i, range(4) x(a), range(4) y(b) LEFT JOIN tr ON tr.id = i.id AND tr.pa = x.a AND tr.pb = y.b),
+pr AS (SELECT s.id, k.step AS k, s.step AS t, p0.p, row_number() OVER (PARTITION BY s.id, k.step, s.mb ORDER BY s.step) - 1 AS cm, row_number() OVER (PARTITION BY s.id, k.step, s.pa, s.pb ORDER BY s.step) - 1 AS cp,
+  row_number() OVER (PARTITION BY s.id, k.step, s.pa ORDER BY s.step) - 1 AS cr FROM bn s JOIN bn k ON k.id = s.id AND k.period = 2 AND s.period = 2 AND k.step <= s.step JOIN p0 ON p0.id = s.id AND p0.a = s.pa AND p0.b = s.pb),
+lb AS ("""
+    ]
+    inc = {f"bm{c}": f"ln(({c} / 16.0 + cm) / ({c} + t - k)) + ln(16.0)" for c in bayes.MARGINAL} | {f"bp{c}": f"ln(({c} * p + cp) / ({c} + cr)) - ln(p)" for c in bayes.PAIR}
+    parts.append(" UNION ALL ".join(f"SELECT id, k, t, '{m}' AS m, sum({e}) OVER (PARTITION BY id, k ORDER BY t) AS l FROM pr" for m, e in inc.items()))
+    parts.append("), mx AS (SELECT *, max(l) OVER (PARTITION BY id, t, m) AS mx FROM lb), f AS (SELECT id, t, m, max(mx) + ln(sum(exp(l - mx))) AS lse, max(mx) AS mx")
+    parts += [f", max(mx) + ln(sum(CASE WHEN k > t - {r} THEN exp(l - mx) END)) AS rec{r}" for r in bayes.RECENT]
+    parts.append(" FROM mx GROUP BY id, t, m) SELECT id, t AS step")
+    for m in bayes.MODELS:
+        pick = lambda e: f"round(max(CASE WHEN m = '{m}' THEN {e} END), 5) + 0.0"  # noqa: B023, E731
+        parts.append(f", {pick('lse - ln(t + 1)')} AS {m}_lsr, {pick('mx')} AS {m}_max" + "".join(f", {pick(f'rec{r} - lse')} AS {m}_rec{r}" for r in bayes.RECENT))
+    return "".join(parts) + " FROM f GROUP BY id, t"
+
+
+@query("win_13_agg_24", _bayes_sql())
+def _(s, d):
+    return bayes.bayes_factors(scored(s, d)).select("id", "step", *[(F.round(c, 5) + 0.0).alias(c) for c in bayes.COLUMNS])
+
+
+@query("tst_04", f""", c AS (SELECT id, value, count_if(period = 1) AS f1, count(*) AS l FROM obs GROUP BY id, value),
+b AS (SELECT id, l, sum(l) OVER w - l / 2.0 AS b, sum(f1) OVER w - f1 / 2.0 AS m FROM c WINDOW w AS (PARTITION BY id ORDER BY value)),
+z AS (SELECT {HIST + ONLINE}::DOUBLE AS n, {HIST}::DOUBLE AS n1, {ONLINE}::DOUBLE AS n2, 2::DOUBLE AS k, 1.0::DOUBLE / {HIST} + 1.0::DOUBLE / {ONLINE} AS hs,
+  (SELECT sum(1::DOUBLE / i) FROM range(1, {HIST + ONLINE}) r(i)) AS h, (SELECT sum(1::DOUBLE / (({HIST + ONLINE} - i) * j)) FROM range(1, {HIST + ONLINE - 1}) x(i), range(2, {HIST + ONLINE}) y(j) WHERE j > i) AS g),
+q AS (SELECT *, (4 * g - 6) * (k - 1) + (10 - 6 * g) * hs AS a, (2 * g - 4) * k * k + 8 * h * k + (2 * g - 14 * h - 4) * hs - 8 * h + 4 * g - 6 AS bb,
+  (6 * h + 2 * g - 2) * k * k + (4 * h - 4 * g + 6) * k + (2 * h - 6) * hs + 4 * h AS c, (2 * h + 6) * k * k - 4 * h * k AS d FROM z)
+SELECT id, round((sum(CASE WHEN b * (n - b) - n * l / 4 > 0 THEN l / n * (pow(n * m - b * n1, 2) / n1 + pow(n * (b - m) - b * n2, 2) / n2) / (b * (n - b) - n * l / 4) ELSE 0 END) * (max(n) - 1) / max(n) - 1)
+  / sqrt(max((a * n * n * n + bb * n * n + c * n + d) / ((n - 1) * (n - 2) * (n - 3)))), 5) AS ad FROM b, q GROUP BY id""")
+def _(s, d):
+    return stats.anderson_darling(observations(s, d)).select("id", F.round("ad", 5).alias("ad"))
+
+
+@query("tst_07", """, c AS (SELECT count(*) AS n, count_if(tau >= 0)::BIGINT AS k FROM brk)
+SELECT n, k, round(CASE WHEN 2 * least(k, n - k) >= n THEN 1.0::DOUBLE ELSE 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))) END, 6) AS p FROM c JOIN range(0, 10000) r(i) ON i <= least(k, n - k) GROUP BY n, k""")
+def _(s, d):
+    return stats.break_rate(break_index(observations(s, d))).select("n", "k", *_r("p"))
+
+
+_VR = (2, 4, 8, 16)
+
+
+def _variance_sql() -> str:
+    blocks = " UNION ALL ".join(
+        f"SELECT id, period, pos, step, {k} AS scale, pow(sum(z) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 2) / {k} AS s FROM sc" for k in _VR
+    )
+    return f""", bl AS (SELECT * FROM ({blocks}) WHERE pos >= scale), h AS (SELECT id, scale, avg(s) AS mh FROM bl WHERE period = 1 GROUP BY ALL),
+bt AS (SELECT id, scale, (pos - scale) // (4 * scale) AS b, avg(s) AS m FROM bl WHERE period = 1 GROUP BY ALL HAVING count(*) = 4 * scale),
+bs AS (SELECT id, scale, stddev_samp(m) * sqrt(4 * scale) AS sd FROM bt GROUP BY id, scale),
+p AS (SELECT bl.id, scale, avg(s) AS mp, count(*) AS np FROM bl JOIN cut ON cut.id = bl.id WHERE period = 2 AND step >= t GROUP BY ALL HAVING count(*) >= 30)
+SELECT id, scale, round(abs(mp - mh) / sd * sqrt(np), 5) AS vr_z, round(abs(ln(mp + 1e-9) - ln(mh + 1e-9)), 5) AS dlog_vr FROM h JOIN bs USING (id, scale) JOIN p USING (id, scale)"""
+
+
+@query("tst_11", _CUT + _variance_sql())
+def _(s, d):
+    return stats.variance_ratio(scored(s, d), cuts(s, d), "z", _VR).select("id", "scale", F.round("vr_z", 5).alias("vr_z"), F.round("dlog_vr", 5).alias("dlog_vr"))
+
+
+@query("agg_25", _KEY + _LAB + """, pk AS (SELECT id, draw FROM (SELECT id, draw, row_number() OVER (PARTITION BY draw ORDER BY (key * (2 * draw + 1) * 69069 + draw * 12345) % 1000003, id) AS r FROM ix, range(20) d(draw)) WHERE r <= 6),
+rk AS (SELECT draw, step, label, rank() OVER (PARTITION BY draw, step ORDER BY g) + (count(*) OVER (PARTITION BY draw, step, g) - 1) / 2.0 AS r FROM lab JOIN pk USING (id)),
+ps AS (SELECT draw, step, sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0 AS won, sum(label) AS a, count(*) - sum(label) AS b FROM rk GROUP BY ALL),
+au AS (SELECT draw, CASE WHEN sum(a * b) > 0 THEN sum(won) / sum(a * b) ELSE 0.5 END AS auc FROM ps GROUP BY draw)
+SELECT round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS sd, round(quantile_cont(auc, 0.05), 6) AS q05, round(quantile_cont(auc, 0.95), 6) AS q95 FROM au""")
+def _(s, d):
+    rows = labelled(s, d).withColumn("score", F.col("g"))
+    return stats.spread(stats.bootstrap_auc(rows, _key(), draws=20, size=6)).select(*_r("mean", "sd", "q05", "q95"))
+
+
+_TAIL = HIST - min(500, HIST // 3)
+
+
+@query("trn_05_jon_04_jon_05", f""", ps AS (SELECT id, (pos - {_TAIL + 1}) // 4 AS j, g AS s FROM sc WHERE pos > {_TAIL} AND pos <= {HIST} AND (pos - {_TAIL + 1}) % 4 = 0),
+w AS (SELECT id, count(*) AS c, avg(s) AS ma, greatest(stddev_pop(s), 1e-3) AS sa, quantile_cont(s, 0.9) AS q FROM ps GROUP BY id),
+r AS (SELECT id, j, s AS pa, avg(s) OVER (PARTITION BY id ORDER BY j) AS mt FROM ps)
+SELECT o.id, o.step, round(g, 6) AS s, round(ln(1 + o.step), 6) AS logt, round(pa, 6) AS p_at, round(mt, 6) AS p_mean_to, round(ma, 6) AS p_mean, round(sa, 6) AS p_sd, round(q, 6) AS p_q90,
+  round(g - pa, 6) + 0.0 AS s_m_at, round(g - mt, 6) AS s_m_meanto, round((g - ma) / sa, 6) AS s_z FROM onl o JOIN w ON w.id = o.id JOIN r ON r.id = o.id AND r.j = least(o.step // 4, c - 1)""")
+def _(s, d):
+    z = scored(s, d)
+    pseudo = z.filter((F.col("period") == 1) & (F.col("pos") > _TAIL)).select("id", (F.col("pos") - _TAIL - 1).alias("step"), F.col("g").alias("s")).filter("step % 4 = 0")
+    out = calibrated.stage2_features(z.filter("period = 2").select("id", "step", F.col("g").alias("s")), pseudo)
+    return out.select("id", "step", *_r(*out.columns[2:])).withColumn("s_m_at", F.col("s_m_at") + 0.0)
+
+
+_NAMES = ["sum_z", "log_n", "g2", "absg", "vol1", "cusum_up"]
+
+
+def training_rows(s, d) -> DataFrame:
+    obs = observations(s, d)
+    wide = windows.cusum(windows.running_z(windows.streams(scored(s, d)).filter("period = 2"), "g"), "g2", 1.1)
+    return wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *_NAMES)
+
+
 @query("trn_07_trn_12")
 def _(s, d):
     """Scores of a small ensemble on the odd series, learned on the even ones."""
     from ..operators import ensemble
 
-    obs = observations(s, d)
-    wide = windows.cusum(windows.running_z(windows.streams(scored(s, d)).filter("period = 2"), "g"), "g2", 1.1)
-    names = ["sum_z", "log_n", "g2", "absg", "vol1", "cusum_up"]
-    rows = wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *names)
+    rows = training_rows(s, d)
     part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2))
-    models = ensemble.fit(rows.filter(part == 0), names, seeds=(0, 1), rounds=5)
-    return ensemble.score(rows.filter(part == 1), names, models).select("id", "step", "label", "score")
+    models = ensemble.fit(rows.filter(part == 0), _NAMES, seeds=(0, 1), rounds=5)
+    return ensemble.score(rows.filter(part == 1), _NAMES, models).select("id", "step", "label", "score")
+
+
+@query("trn_10")
+def _(s, d):
+    """Scores by models that never saw their series."""
+    from ..operators import ensemble
+
+    return ensemble.cross_validated(training_rows(s, d), _NAMES, folds=2, seeds=(0,), rounds=3)
+
+
+@query("agg_23")
+def _(s, d):
+    """Shares of the features in the ensemble's gain, greatest first; one row a feature."""
+    from ..operators import ensemble
+
+    models = ensemble.fit(training_rows(s, d), _NAMES, seeds=(0,), rounds=3)
+    return s.createDataFrame(ensemble.importances(models, _NAMES), "feature string, share double")
 
 
 def queries() -> dict:
