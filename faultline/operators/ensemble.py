@@ -50,3 +50,13 @@ def cross_validated(features: DataFrame, columns: list[str], folds: int = 5, **o
         part = score(rows.filter(F.col("fold") == k), columns, models).select("id", "step", "label", "score", "fold")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def predictability(features: DataFrame, columns: list[str], folds: int = 5, **options) -> DataFrame:
+    """auc: how well columns of one row a series tell its label, from scores out of fold; 0.5 without rows or both classes."""
+    from .stats import ts_auc
+
+    scored = cross_validated(features.withColumn("step", F.lit(0)).select("id", "step", "label", *columns), columns, folds, **options)
+    if scored is None:
+        return features.agg(F.lit(0.5).alias("auc"))
+    return ts_auc(scored)

@@ -737,6 +737,31 @@ def _(s, d):
     return s.createDataFrame(ensemble.importances(models, _NAMES), "feature string, share double")
 
 
+def _has_break(s, d) -> DataFrame:
+    return break_index(observations(s, d)).select("id", (F.col("tau") >= 0).cast("int").alias("label"))
+
+
+@query("tst_13")
+def _(s, d):
+    """AUC of breaks told from the history's shape alone."""
+    from ..operators import ensemble
+
+    shape = observations(s, d).filter("period = 1").groupBy("id").agg(
+        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count_distinct("value") / F.count("*")).alias("distinct_ratio")
+    )
+    return ensemble.predictability(shape.join(_has_break(s, d), "id"), ["skew", "kurt", "lo", "hi", "distinct_ratio"], folds=2, seeds=(0,), rounds=3).select(*_r("auc"))
+
+
+@query("trn_13")
+def _(s, d):
+    """AUC of breaks told from raw and calibrated statistics of the window after the cut."""
+    from ..operators import ensemble
+
+    wide = calibrated.null_windows(scored(s, d), cuts(s, d), "g", _key())
+    names = [f"{c}_{k}" for c in calibrated.NULL_STATS for k in ("z", "cal")]
+    return ensemble.predictability(wide.join(_has_break(s, d), "id"), names, folds=2, seeds=(0,), rounds=3).select(*_r("auc"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
