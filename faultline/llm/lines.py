@@ -23,14 +23,30 @@ BLANKS = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def stripped(line: Column) -> Column:
+    """``line`` without blanks at both ends; a line that does not end in one skips the costly search from its end."""
+    last = F.lit(False)
+    for c in BLANKS:
+        last = last | F.endswith(line, F.lit(c))
+    return F.when(last, F.btrim(line, F.lit(BLANKS))).otherwise(F.ltrim(line, F.lit(BLANKS)))
+
+
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased and nothing else: ``lower`` does just that where every character has one byte."""
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
+
+
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), _UPPER, _LOWER)
+    return lowered(stripped(line))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, _t, pos, h1, h2 of every line whose key is long enough."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    keyed = rows.select("doc_id", "_t", "pos", line_key(F.col("line")).alias("_k")).filter(F.char_length("_k") >= min_chars)
+    # lower-casing A-Z keeps the length, so the filter needs no key
+    long = rows.filter(F.char_length(stripped(F.col("line"))) >= min_chars)
+    keyed = long.select("doc_id", "_t", "pos", line_key(F.col("line")).alias("_k"))
     return keyed.select("doc_id", "_t", "pos", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(11), "_k").alias("h2"))
 
 
