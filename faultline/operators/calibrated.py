@@ -47,6 +47,16 @@ def calibrated_ewma(scored: DataFrame, e: str, alpha: float = 0.03, burn: int =
     return rows.withColumn("cal_ewma", F.col("_w") / F.greatest(sd, F.when(sd.isNotNull(), 1e-9))).filter("period = 2").drop("_e", "_k", "_w")
 
 
+def calibration(scored: DataFrame, e: str, alpha: float = 0.03, burn: int = 100) -> DataFrame:
+    """id, mu, curve, ew_sd: what the streaming twin needs of a history, fitted in batch. A short history has a null ew_sd."""
+    hist = scored.filter("period = 1")
+    rows = hist.withColumn("_e", F.col(e) - F.avg(e).over(Window.partitionBy("id")))
+    last = F.collect_list("_e").over(windows.by_pos().rowsBetween(-1023, 0))
+    rows = rows.withColumn("_k", F.row_number().over(windows.by_pos())).withColumn("_w", windows._fold(last, 1 - alpha, alpha, 0.0))
+    fitted = rows.groupBy("id").agg(F.avg(e).alias("mu"), F.stddev_pop(F.when(F.col("_k") > burn, F.col("_w"))).alias("ew_sd"))
+    return fitted.join(curve(hist, e), "id").select("id", "mu", "curve", "ew_sd")
+
+
 def _small(key: Column) -> Column:
     return F.pmod(key.cast("long"), F.lit(1000003))
 

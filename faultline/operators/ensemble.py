@@ -60,3 +60,24 @@ def predictability(features: DataFrame, columns: list[str], folds: int = 5, **op
     if scored is None:
         return features.agg(F.lit(0.5).alias("auc"))
     return ts_auc(scored)
+
+
+def with_length(features: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Adds log_t and frac, of the length of the online segment (id, online_len): a diagnostic only, as no stream knows its length."""
+    t = F.col("online_len")
+    return features.join(lengths, "id").withColumns({"log_t": F.ln(t), "frac": (F.col("step") + 1) / t}).drop("online_len")
+
+
+def learning_curve(features: DataFrame, columns: list[str], shares=(1.0, 0.5), folds: int = 5, **options) -> DataFrame:
+    """share, auc: the first fold scored by models of that share of the other folds' series; a share without series has no row."""
+    from .stats import ts_auc
+
+    rows = features.withColumn("_f", F.pmod(F.xxhash64("id"), F.lit(folds))).withColumn("_u", F.pmod(F.xxhash64("id", F.lit("share")), F.lit(1000)) / 1000)
+    out = features.sparkSession.createDataFrame([], "share double, auc double")
+    for share in shares:
+        train = rows.filter((F.col("_f") != 0) & (F.col("_u") < share))
+        if train.isEmpty():
+            continue
+        scored = score(rows.filter(F.col("_f") == 0), columns, fit(train, columns, **options))
+        out = out.unionByName(ts_auc(scored).select(F.lit(float(share)).alias("share"), "auc"))
+    return out

@@ -34,3 +34,51 @@ def online_statistics(stream: DataFrame, params: DataFrame, k: float = 0.1, alph
 
     joined = stream.join(params, "id")
     return joined.groupBy("id").applyInPandasWithState(step, OUT, "n long, total double, up double, dn double, ew double", "append", GroupStateTimeout.NoTimeout)
+
+
+def _horizon_factor(curve, k):
+    """1 / sd at horizons ``k`` by the same interpolation as the batch operator's."""
+    import numpy as np
+
+    sd = np.log(np.maximum(np.asarray(curve, float), 1e-9))
+    x = np.minimum(np.log2(k), 10.0)
+    lo = np.minimum(np.floor(x), 9).astype(int)
+    return 1 / (np.exp(sd[lo] + (x - lo) * (sd[lo + 1] - sd[lo])) * np.sqrt(np.maximum(k / 1024.0, 1.0)))
+
+
+def calibrated_statistics(stream: DataFrame, params: DataFrame, widths: tuple[int, ...] = (16, 64, 256), alpha: float = 0.03) -> DataFrame:
+    """Running and windowed sums and EWMA of e - mu on the scale of the history, one output row for each input row.
+
+    ``stream`` has id, pos, e; ``params`` is what ``calibrated.calibration`` fits on the histories. The state of an id is its
+    count, its EWMA and the last max(widths) prefix sums, so it is bounded however long the series runs. Where the
+    history is too short for a curve or a sd, the columns are null, as in batch.
+    """
+    columns = ["cal_sum", *[f"cal_w{w}" for w in widths], "cal_ewma"]
+    keep = max(widths)
+
+    def step(key, frames: Iterator, state: GroupState):
+        import numpy as np
+        import pandas as pd
+
+        n, ew, ring = state.get if state.exists else (0, 0.0, [0.0])
+        rows = pd.concat(list(frames)).sort_values("pos")
+        curve, ew_sd = rows["curve"].iloc[0], rows["ew_sd"].iloc[0]
+        e = (rows["e"] - rows["mu"]).to_numpy(float)
+        prefix = np.concatenate([ring, ring[-1] + np.cumsum(e)])
+        at = np.arange(len(ring), len(prefix))
+        k = n + 1 + np.arange(len(e))
+        # prefix starts at the sum of the first n + 1 - len(ring) values: 0 of them until the ring is full
+        out = {"cal_sum": prefix[at] * _horizon_factor(curve, k)}
+        for w in widths:
+            out[f"cal_w{w}"] = (prefix[at] - np.where(k > w, prefix[np.maximum(at - w, 0)], 0.0)) * _horizon_factor(curve, np.minimum(k, w))
+        smooth = []
+        for x in e:
+            ew = (1 - alpha) * ew + alpha * x
+            smooth.append(ew)
+        out["cal_ewma"] = np.array(smooth) / max(ew_sd, 1e-9) if ew_sd == ew_sd else np.full(len(e), np.nan)
+        state.update((n + len(e), float(ew), prefix[-keep:].tolist()))
+        yield pd.DataFrame({"id": key[0], "pos": rows["pos"].to_numpy(), **out})
+
+    joined = stream.join(params, "id")
+    schema = "id string, pos long, " + ", ".join(f"{c} double" for c in columns)
+    return joined.groupBy("id").applyInPandasWithState(step, schema, "n long, ew double, ring array<double>", "append", GroupStateTimeout.NoTimeout)

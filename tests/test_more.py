@@ -69,3 +69,38 @@ def test_random_cuts_keep_breaks_and_draw_from_them(spark):
     assert got["b"] in (61, 161) and got["c"] in (15, 40)
     none = calibrated.random_cuts(index.filter("tau < 0"), F.ascii("id")).collect()
     assert [r.t for r in none] == [None, None]
+
+
+def test_calibrated_stream_equals_batch_and_carries_state(spark, tmp_path):
+    import numpy as np
+
+    from faultline.streaming.online import calibrated_statistics
+
+    rng = np.random.default_rng(5)
+    rows = [(i, 1 if p <= n else 2, p, float(v)) for i, n in (("a", 150), ("b", 90), ("c", 3)) for p, v in enumerate(rng.normal(size=n + 60), 1)]
+    s = spark.createDataFrame(rows, "id string, period int, pos int, e double")
+    params = calibrated.calibration(s, "e", burn=100)
+    on = s.filter("period = 2").join(params.select("id", "mu"), "id").withColumn("x", F.col("e") - F.col("mu"))
+    curves = calibrated.curve(s.filter("period = 1"), "e")
+    batch = calibrated.recalibrated(on, curves, "x", (4, 16)).join(calibrated.calibrated_ewma(s, "e", burn=100).select("id", "pos", "cal_ewma"), ["id", "pos"])
+    want = {(r.id, r.pos): (r.sum_z, r.w4, r.w16, r.cal_ewma) for r in batch.collect()}
+    for k in range(3):
+        online = "pos > CASE id WHEN 'a' THEN 150 WHEN 'b' THEN 90 ELSE 3 END + {} AND pos <= CASE id WHEN 'a' THEN 150 WHEN 'b' THEN 90 ELSE 3 END + {}"
+        s.filter(online.format(20 * k, 20 * k + 20)).select("id", "pos", "e").coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+    stream = spark.readStream.schema("id string, pos int, e double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = calibrated_statistics(stream, params, (4, 16)).writeStream.format("memory").queryName("calibrated").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.id, r.pos): (r.cal_sum, r.cal_w4, r.cal_w16, r.cal_ewma) for r in spark.table("calibrated").collect()}
+    assert got.keys() == want.keys() and len(got) == 180
+    for k in want:
+        assert [x is None for x in got[k]] == [x is None for x in want[k]], k
+        assert np.allclose([x or 0.0 for x in got[k]], [x or 0.0 for x in want[k]], atol=1e-9), k
+
+
+def test_learning_curve_and_length_diagnostic(spark):
+    rows = spark.range(600).select(F.concat(F.lit("s"), F.col("id") % 40).alias("id"), F.floor(F.col("id") / 40).alias("step"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.col("id") * 0.001).alias("x"))
+    got = {r.share: r.auc for r in ensemble.learning_curve(rows, ["x"], (1.0, 0.5, 0.0), seeds=(0,), rounds=2).collect()}
+    assert got.keys() == {1.0, 0.5} and all(a > 0.9 for a in got.values())
+    wide = ensemble.with_length(rows, rows.groupBy("id").agg(F.count("*").alias("online_len")))
+    r = wide.filter("id = 's3' AND step = 2").head()
+    assert r.frac == pytest.approx(3 / 15) and "online_len" not in wide.columns
