@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-MIN_CHARS, BATCHES, FAN_IN = 10, 2, 4
+MIN_CHARS, BATCHES, FAN_IN = 10, 4, 2
 BLANKS = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
