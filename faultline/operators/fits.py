@@ -78,13 +78,18 @@ def ridge_loo(x, y):
 
 
 def learned(series: DataFrame, column: str = "g") -> DataFrame:
-    """id, lam_mean, lam_var, lam_ar, mse_nl, mse_ar: nonlinear mean, variance and linear predictors of the normal scores."""
+    """id, lam_mean, lam_var, lam_ar, mse_nl, mse_ar: nonlinear mean, variance and linear predictors of the normal scores.
+
+    A history of fewer than 2 RFF_LAGS + 1 points gets nulls.
+    """
 
     def fit(key, g):
         import numpy as np
         import pandas as pd
 
         z = g.sort_values("pos")[column].to_numpy()
+        if len(z) < 2 * RFF_LAGS + 1:
+            return pd.DataFrame({"id": [key[0]], "lam_mean": [None], "lam_var": [None], "lam_ar": [None], "mse_nl": [None], "mse_ar": [None]})
         lags = np.stack([z[RFF_LAGS - k : len(z) - k] for k in range(1, RFF_LAGS + 1)], axis=1)
         y = z[RFF_LAGS:]
         f = random_features(lags)
@@ -98,13 +103,15 @@ def learned(series: DataFrame, column: str = "g") -> DataFrame:
 
 
 def garch(series: DataFrame, column: str = "g") -> DataFrame:
-    """id, a, b, nll: GARCH(1,1) with variance targeting by a grid that is refined around its best point."""
+    """id, a, b, nll: GARCH(1,1) with variance targeting by a grid that is refined around its best point; one point of history gets nulls."""
 
     def fit(key, g):
         import numpy as np
         import pandas as pd
 
         x2 = g.sort_values("pos")[column].to_numpy() ** 2
+        if len(x2) < 2:
+            return pd.DataFrame({"id": [key[0]], "a": [None], "b": [None], "nll": [None]})
         target = x2.mean()
 
         def nll(a, b):

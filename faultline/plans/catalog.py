@@ -1,7 +1,8 @@
 """All queries of the engine by operator handle, each with DuckDB SQL for the same rows where SQL can say it.
 
-Series come from ``events`` by type, cut into chunks of HIST + ONLINE points. The index of breaks is a
-fixed rule on the series' name; no feature reads it.
+Series come from ``events`` by type, cut into chunks of HIST + ONLINE points. Queries with SQL take full chunks,
+as their SQL does; the others and the flagship take all rows. The index of breaks is a fixed rule on the
+series' name; no feature reads it.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def observations(spark: SparkSession, sf_dir: str, hist: int = HIST, online: int = ONLINE) -> DataFrame:
-    return src.chunked(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value", hist, online)
+def observations(spark: SparkSession, sf_dir: str, hist: int = HIST, online: int = ONLINE, rest: bool = False) -> DataFrame:
+    return src.chunked(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value", hist, online, rest)
 
 
 def break_index(obs: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def _r(*names):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running two-sided CUSUM of the normal score of every event series."""
-    on = scored(spark, sf_dir, hist=100, online=50).filter("period = 2").select("id", "pos", "step", "g")
+    on = scored(spark, sf_dir, hist=100, online=50, rest=True).filter("period = 2").select("id", "pos", "step", "g")
     return windows.cusum(on, "g", 0.1).select("id", "step", *_r("g", "cusum_up", "cusum_dn"))
 
 
@@ -367,8 +368,8 @@ def _(s, d):
 @query("agg_22_srt_03")
 def _(s, d):
     """Univariate AUC of every stream, best first."""
-    obs = observations(s, d)
-    wide = windows.streams(scored(s, d)).filter("period = 2").join(src.labels(obs, break_index(obs)), ["id", "step"])
+    obs = observations(s, d, rest=True)
+    wide = windows.streams(scored(s, d, rest=True)).filter("period = 2").join(src.labels(obs, break_index(obs)), ["id", "step"])
     names = ["z", "g", "g2", "absg", "zz1", "absdz", "vol1", "sgn1"]
     long = wide.select("step", "label", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("feature", "score")).filter("score IS NOT NULL")
     cells = long.groupBy("feature", "step", "score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("q"))
@@ -494,18 +495,18 @@ def _(s, d):
 
 @query("fit_01")
 def _(s, d):
-    z = scored(s, d)
+    z = scored(s, d, rest=True)
     return fits.ar_residuals(z.select("id", "pos", "period", "z"), fits.ar(z)).filter("period = 2").select("id", "pos", *_r("r"))
 
 
 @query("fit_02_fit_03")
 def _(s, d):
-    return fits.learned(scored(s, d))
+    return fits.learned(scored(s, d, rest=True))
 
 
 @query("fit_04")
 def _(s, d):
-    return fits.garch(scored(s, d))
+    return fits.garch(scored(s, d, rest=True))
 
 
 def _shift_u():
@@ -556,8 +557,10 @@ def _key():
     return (F.length(F.regexp_extract("id", "^(.*)-", 1)) * 7919 + F.regexp_extract("id", "-([0-9]+)$", 1).cast("long") * 104729) % 1000003
 
 
-def cuts(s, d) -> DataFrame:
-    return calibrated.random_cuts(break_index(observations(s, d)).withColumn("online_len", F.lit(ONLINE)), _key())
+def cuts(s, d, rest: bool = False) -> DataFrame:
+    obs = observations(s, d, rest=rest)
+    length = obs.groupBy("id").agg(F.count_if(F.col("period") == 2).cast("int").alias("online_len"))
+    return calibrated.random_cuts(break_index(obs).join(length, "id"), _key())
 
 
 @query("win_10", """, c AS (SELECT id, period, pos, step, g - avg(CASE WHEN period = 1 THEN g END) OVER (PARTITION BY id) AS e FROM sc),
@@ -704,8 +707,8 @@ _NAMES = ["sum_z", "log_n", "g2", "absg", "vol1", "cusum_up"]
 
 
 def training_rows(s, d) -> DataFrame:
-    obs = observations(s, d)
-    wide = windows.cusum(windows.running_z(windows.streams(scored(s, d)).filter("period = 2"), "g"), "g2", 1.1)
+    obs = observations(s, d, rest=True)
+    wide = windows.cusum(windows.running_z(windows.streams(scored(s, d, rest=True)).filter("period = 2"), "g"), "g2", 1.1)
     return wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *_NAMES)
 
 
@@ -738,7 +741,7 @@ def _(s, d):
 
 
 def _has_break(s, d) -> DataFrame:
-    return break_index(observations(s, d)).select("id", (F.col("tau") >= 0).cast("int").alias("label"))
+    return break_index(observations(s, d, rest=True)).select("id", (F.col("tau") >= 0).cast("int").alias("label"))
 
 
 @query("tst_13")
@@ -746,7 +749,7 @@ def _(s, d):
     """AUC of breaks told from the history's shape alone."""
     from ..operators import ensemble
 
-    shape = observations(s, d).filter("period = 1").groupBy("id").agg(
+    shape = observations(s, d, rest=True).filter("period = 1").groupBy("id").agg(
         F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count_distinct("value") / F.count("*")).alias("distinct_ratio")
     )
     return ensemble.predictability(shape.join(_has_break(s, d), "id"), ["skew", "kurt", "lo", "hi", "distinct_ratio"], folds=2, seeds=(0,), rounds=3).select(*_r("auc"))
@@ -757,7 +760,7 @@ def _(s, d):
     """AUC of breaks told from raw and calibrated statistics of the window after the cut."""
     from ..operators import ensemble
 
-    wide = calibrated.null_windows(scored(s, d), cuts(s, d), "g", _key())
+    wide = calibrated.null_windows(scored(s, d, rest=True), cuts(s, d, rest=True), "g", _key())
     names = [f"{c}_{k}" for c in calibrated.NULL_STATS for k in ("z", "cal")]
     return ensemble.predictability(wide.join(_has_break(s, d), "id"), names, folds=2, seeds=(0,), rounds=3).select(*_r("auc"))
 

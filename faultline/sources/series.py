@@ -10,19 +10,29 @@ NO_BREAK = -1
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("period", T.ByteType()), T.StructField("value", T.FloatType())])
 
 
-def chunked(df: DataFrame, key: str, order: str, value: str, hist: int, online: int) -> DataFrame:
-    """Cut each key's rows, in order, into series of ``hist`` and ``online`` points; incomplete ones go. One shuffle."""
+def chunked(df: DataFrame, key: str, order: str, value: str, hist: int, online: int, rest: bool = True) -> DataFrame:
+    """Cut each key's rows, in order, into series of ``hist`` and ``online`` points. One shuffle.
+
+    With ``rest`` all rows enter: those after the last full series make its online part longer, and a key
+    of fewer rows than a series is one short series, its history the same share (one point at least).
+    Without, only full series stay.
+    """
     size = hist + online
     row = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = df.select(F.col(key).alias("_k"), row.alias("_r"), F.col(value).cast("double").alias("value"))
-    rows = rows.select("_k", F.floor(F.col("_r") / size).cast("int").alias("chunk"), (F.col("_r") % size + 1).alias("pos"), "value")
-    full = rows.withColumn("_n", F.count("*").over(Window.partitionBy("_k", "chunk"))).filter(F.col("_n") == size)
-    return full.select(
+    rows = df.select(F.col(key).alias("_k"), row.alias("_r"), F.count("*").over(Window.partitionBy(key)).alias("_n"), F.col(value).cast("double").alias("value"))
+    chunk, full = F.floor(F.col("_r") / size), F.floor(F.col("_n") / size)
+    if rest:
+        chunk = F.least(chunk, F.greatest(full - 1, F.lit(0)))
+    else:
+        rows = rows.filter(chunk < full)
+    rows = rows.select("_k", "_n", chunk.cast("int").alias("chunk"), (F.col("_r") - chunk * size + 1).cast("int").alias("pos"), "value")
+    h = F.when(F.col("_n") >= size, F.lit(hist)).otherwise(F.greatest(F.floor(F.col("_n") * hist / size), F.lit(1))).cast("int")
+    return rows.withColumn("_h", h).select(
         F.concat_ws("-", F.col("_k").cast("string"), F.col("chunk").cast("string")).alias("id"),
         "chunk",
-        F.when(F.col("pos") <= hist, 1).otherwise(2).alias("period"),
+        F.when(F.col("pos") <= F.col("_h"), 1).otherwise(2).alias("period"),
         "pos",
-        F.when(F.col("pos") > hist, F.col("pos") - hist - 1).alias("step"),
+        F.when(F.col("pos") > F.col("_h"), F.col("pos") - F.col("_h") - 1).alias("step"),
         "value",
     )
 

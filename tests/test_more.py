@@ -5,8 +5,10 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import bayes, calibrated, ensemble, stats
+from faultline.operators import bayes, calibrated, ensemble, fits, stats, windows
+from faultline.plans import catalog
 from faultline.sources import artifacts
+from faultline.sources import series as src
 
 SCORED = "id string, period int, pos int, step int, value double, u double, g double, z double"
 
@@ -104,3 +106,25 @@ def test_learning_curve_and_length_diagnostic(spark):
     wide = ensemble.with_length(rows, rows.groupBy("id").agg(F.count("*").alias("online_len")))
     r = wide.filter("id = 's3' AND step = 2").head()
     assert r.frac == pytest.approx(3 / 15) and "online_len" not in wide.columns
+
+
+def test_chunks_keep_every_row(spark):
+    rows = [(k, e, float(e)) for k, n in (("a", 17), ("b", 10), ("c", 4), ("d", 1)) for e in range(n)]
+    table = spark.createDataFrame(rows, "k string, e long, v double")
+    got = src.chunked(table, "k", "e", "v", 3, 2)
+    size = {r.id: (r.h, r.o, r.first, r.last) for r in got.groupBy("id").agg(F.count_if(F.col("period") == 1).alias("h"), F.count_if(F.col("period") == 2).alias("o"), F.min("value").alias("first"), F.max("value").alias("last")).collect()}
+    assert size == {"a-0": (3, 2, 0, 4), "a-1": (3, 2, 5, 9), "a-2": (3, 4, 10, 16), "b-0": (3, 2, 0, 4), "b-1": (3, 2, 5, 9), "c-0": (2, 2, 0, 3), "d-0": (1, 0, 0, 0)}
+    assert sorted((r.pos, r.step) for r in got.filter("id = 'a-2' AND period = 2").collect()) == [(4, 0), (5, 1), (6, 2), (7, 3)]
+    assert src.chunked(table, "k", "e", "v", 3, 2, rest=False).count() == 25
+
+
+def test_flagship_takes_all_events(spark):
+    sf = "/root/testdata/sf0.001"
+    obs = catalog.observations(spark, sf, 100, 50, rest=True)
+    assert obs.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert catalog.flagship(spark, sf).count() == obs.filter("period = 2").count()
+
+
+def test_short_histories_have_defined_fits(spark):
+    z = windows.standardised(windows.normal_scores(src.chunked(spark.range(5).selectExpr("'a' AS k", "id AS e", "CAST(id AS double) AS v"), "k", "e", "v", 450, 150)))
+    assert fits.learned(z).head().lam_mean is None and fits.garch(z).count() == 1 and fits.ar(z).head().phi is None
