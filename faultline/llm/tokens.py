@@ -12,11 +12,13 @@ Distinct pieces are cut further into units, between a Latin letter and an ASCII
 apostrophe, where both patterns always split. Cutting, finding distinct pieces and putting ids together
 are Arrow and numpy kernels over many texts. Units that are one run of letters, met for the first
 time, go to the library as one text, whose word numbers tell their ids apart; other units go one by
-one. A worker keeps the units' ids, as packed bytes, in a table of bounded size.
+one. The library finds added tokens (``<|endoftext|>``) in the raw text before it splits, across any
+cut, so a text that holds one goes to it whole. A worker keeps the units' ids, as packed bytes, in a table of bounded size.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -54,7 +56,10 @@ class Encoder:
         if kind not in ("word", "byte"):
             raise ValueError(kind)
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        added = self.lib.get_added_tokens_decoder().values()
+        if any(x.normalized for x in added):
+            raise ValueError("added tokens that are found after normalisation")
+        self.added = [x.content for x in added]
         self.kind = kind
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.units: dict[str, bytes] = {}
@@ -114,6 +119,20 @@ class Encoder:
             marked = pc.if_else(odd, pa.array(slow, texts.type), marked)
         return pc.split_pattern(marked, "\0")
 
+    def _apart(self, texts):
+        """Texts that only the library can take whole, with the separator or the content of an added token; None if there are none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        _, offsets, data = texts.buffers()
+        if data is None:
+            return None
+        ends = np.frombuffer(offsets, "<i8" if pa.types.is_large_string(texts.type) else "<i4")[[texts.offset, texts.offset + len(texts)]]
+        raw = bytes(memoryview(data)[ends[0] : ends[1]])  # one search over all texts is cheap, a search in each is not
+        found = [pc.match_substring(texts, x) for x in ("\0", *self.added) if x.encode() in raw]
+        return functools.reduce(pc.or_, found) if found else None
+
     def encode(self, texts) -> list[bytes]:
         """``texts``: an Arrow string array or a list; nulls are empty texts."""
         import numpy as np
@@ -122,10 +141,10 @@ class Encoder:
 
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         texts = pc.fill_null(texts, "")
-        whole = {}
-        if pc.any(pc.match_substring(texts, "\0")).as_py():
-            whole = {k: self._whole(t) for k, t in enumerate(texts.to_pylist()) if "\0" in t}
-            texts = pc.if_else(pc.match_substring(texts, "\0"), "", texts)
+        whole, apart = {}, self._apart(texts)
+        if apart is not None:
+            whole = {k: self._whole(texts[k].as_py()) for k in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist()}
+            texts = pc.if_else(apart, "", texts)
         cut = self._cut(texts)
         bounds = cut.offsets.to_numpy()
         pieces = pc.dictionary_encode(cut.flatten())

@@ -62,6 +62,18 @@ def test_encoder_equals_the_library(name, kind, end):
         assert got == np.array([*enc.lib.encode(t or "", add_special_tokens=False).ids, end], "<u4").tobytes(), t
 
 
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_added_tokens_as_the_plain_library_call_gives_them(name, kind):
+    from tokenizers import Tokenizer
+
+    enc, lib = Encoder(vocabulary(name), kind), Tokenizer.from_file(vocabulary(name))
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>b\nc", "<|startoftext|>x y<|endoftext|>", "<|ENDOFTEXT|> a", "<|end oftext|>", "plain text", None]
+    for t, got in zip(texts, enc.encode(texts)):
+        assert got == np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t
+    end = lib.token_to_id("<|endoftext|>")
+    assert end in np.frombuffer(enc.encode(texts)[0], "<u4")
+
+
 def test_op1_shards(spark, docs, empty):
     folder, manifest = sstable.write_shards(docs, vocabulary("word_bpe_49k.json"), "word", 1, shards=3, shard_bytes=2000)
     got = sorted(sstable.read_shards(spark, folder, manifest).collect(), key=lambda r: (r.start, r.n_tokens))
