@@ -92,18 +92,21 @@ def _near(hits, n: int, least: int) -> list[int]:
 
 
 class Index:
-    """Seeds of the benchmark items: sorted hashes with the items that hold them, by seed length."""
+    """Seeds of the benchmark rows: sorted hashes with the rows that hold them, by seed length.
 
-    def __init__(self, items: list[tuple[int, str | None]], least: int):
+    Rows are told apart by their place, so rows that share an item_id, or have none, are tiled each by itself.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None]], least: int):
         import numpy as np
 
         self.least, self.items, by = least, {}, {}
-        for item, text in items:
+        for row, (item, text) in enumerate(items):
             h = text_hashes(text)
             if len(h):
-                self.items[item] = [int(x) for x in h]
+                self.items[row] = item, [int(x) for x in h]
                 n = min(least, len(h))
-                by.setdefault(n, []).append((grams(h, n), item))
+                by.setdefault(n, []).append((grams(h, n), row))
         self.by = {}
         for n, rows in by.items():
             keys = np.concatenate([g for g, _ in rows])
@@ -125,12 +128,13 @@ class Index:
             a, b = np.searchsorted(keys, g[hit]), np.searchsorted(keys, g[hit], "right")
             places: dict[int, list[int]] = {}
             for p, x, y in zip(hit.tolist(), a.tolist(), b.tolist()):
-                for item in dict.fromkeys(owner[x:y].tolist()):
-                    places.setdefault(item, []).append(p)
-            for item, hits in places.items():
+                for row in dict.fromkeys(owner[x:y].tolist()):
+                    places.setdefault(row, []).append(p)
+            for row, hits in places.items():
                 near = [int(h[p]) if p >= 0 else -1 for p in _near(hits, len(h), n)]
-                k, covered = _pair(near, self.items[item], n)
-                size = len(self.items[item])
+                item, words = self.items[row]
+                k, covered = _pair(near, words, n)
+                size = len(words)
                 if covered >= coverage * size:
                     yield item, k, covered, size, covered / size
 
@@ -139,7 +143,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
     """Pairs of a document and a benchmark item that it covers: doc_id, item_id, n_tiles, covered, n_words, coverage.
 
     Items shorter than ``least`` words must occur whole. Null and empty texts, on either side, pair
-    with nothing; a repeated row reports again; empty tables give an empty result.
+    with nothing; a repeated row reports again, and so does one whose id is repeated or null, on either side;
+    empty tables give an empty result.
     """
     spark = docs.sparkSession
     store.small_batches(spark)
@@ -167,8 +172,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.length("text") + 50), F.lit(0))).head()[0]
     if size > broadcast_chars:
-        found = leaks(docs, benchmark, least, coverage, broadcast_chars).select("doc_id").distinct()
-        return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+        found = _pairs(docs, items, least, coverage).select("_doc").distinct().withColumnRenamed("_doc", "_leak")
+        return docs.join(found, _content("text") == F.col("_leak"), "left_anti")
     rows = [(r[0], r[1]) for r in items.collect()]  # of a size just checked
 
     def run(batches):
@@ -189,6 +194,11 @@ def _table(pa, out):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], names)
 
 
+def _content(text: str):
+    """A text's key on the join path: pairs depend on the two texts alone, and no id tells rows apart."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def _seeds(rows: DataFrame, key: str, least: int) -> DataFrame:
     def run(batches):
         import numpy as np
@@ -198,20 +208,22 @@ def _seeds(rows: DataFrame, key: str, least: int) -> DataFrame:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = text_hashes(t)
                 # short items are rare and short seeds too: one set for each length below the least
-                g = [np.unique(grams(h, n)) for n in range(1, least + 1)] if key == "doc_id" else [np.unique(grams(h, min(least, len(h))))] if len(h) else []
-                sizes = range(1, least + 1) if key == "doc_id" else [min(least, len(h))]
+                g = [np.unique(grams(h, n)) for n in range(1, least + 1)] if key == "_doc" else [np.unique(grams(h, min(least, len(h))))] if len(h) else []
+                sizes = range(1, least + 1) if key == "_doc" else [min(least, len(h))]
                 for n, x in zip(sizes, g):
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(x), pa.int64()), pa.array([n] * len(x), pa.int32()), pa.array(x.view("<i8"))], [key, "n", "seed"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(x), pa.string()), pa.array([n] * len(x), pa.int32()), pa.array(x.view("<i8"))], [key, "n", "seed"])
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} long, n int, seed long")
+    return rows.select(key, "text").mapInArrow(run, f"{key} string, n int, seed long")
 
 
-def _joined(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
-    """The same result for a benchmark of any size: seeds are joined, then the texts of each pair."""
-    own = _seeds(items, "item_id", least)
-    met = store.written(_seeds(docs.filter(F.col("doc_id").isNotNull()), "doc_id", least).join(own, ["n", "seed"]).select("doc_id", "item_id").distinct())
-    texts = met.join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+def _pairs(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """_doc, _item (contents) and the figures of each leaking pair of texts; equal texts are one. Seeds are joined, then the texts of each pair."""
+    doc = docs.select(_content("text").alias("_doc"), "text").filter(F.col("text").isNotNull())
+    item = items.select(_content("text").alias("_item"), "text").dropDuplicates(["_item"])
+    met = store.written(_seeds(doc, "_doc", least).join(_seeds(item, "_item", least), ["n", "seed"]).select("_doc", "_item").distinct())
+    one = doc.join(met.select("_doc").distinct(), "_doc", "left_semi").dropDuplicates(["_doc"])  # few texts meet an item
+    texts = met.join(one.withColumnRenamed("text", "doc"), "_doc").join(item.withColumnRenamed("text", "item"), "_item")
 
     def run(batches):
         import pyarrow as pa
@@ -219,10 +231,18 @@ def _joined(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> D
         for batch in batches:
             out = []
             for d, i, doc, item in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(d, *x) for x in Index([(i, item)], least).scan(doc, coverage)]
-            yield _table(pa, out)
+                out += [(d, i, *x[1:]) for x in Index([(None, item)], least).scan(doc, coverage)]
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], ["_doc", "_item", "n_tiles", "covered", "n_words", "coverage"])
+
+    return store.written(texts.select("_doc", "_item", "doc", "item").mapInArrow(run, "_doc string, _item string, n_tiles int, covered int, n_words int, coverage double"))
 
-    return texts.select("doc_id", "item_id", "doc", "item").mapInArrow(run, SCHEMA)
+
+def _joined(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """The same result for a benchmark of any size: every row of either side with a leaking pair's text reports."""
+    found = _pairs(docs, items, least, coverage)
+    rows = found.join(docs.select("doc_id", _content("text").alias("_doc")), "_doc").join(items.select("item_id", _content("text").alias("_item")), "_item")
+    return rows.select("doc_id", "item_id", "n_tiles", "covered", "n_words", "coverage")
 
 
 def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

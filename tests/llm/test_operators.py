@@ -167,6 +167,19 @@ def test_op5_tiles_reordered_passages(spark, docs, empty):
     assert tiling.leaks(empty, bench).count() == 0 and tiling.leaks(rows, bench.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [tiling.BROADCAST_CHARS, 0])
+def test_op5_rows_with_repeated_and_null_ids(spark, limit):
+    items = [prose(40, 700 + k) for k in range(4)]
+    bench = spark.createDataFrame([(1, items[0]), (1, items[1]), (None, items[2]), (None, items[3]), (2, items[0])], "item_id long, text string")
+    leak = [prose(10, 800 + k) + " " + t + " " + prose(10, 900 + k) for k, t in enumerate(items)]
+    rows = [(5, leak[0]), (5, prose(50, 1)), (6, leak[1]), (None, leak[2]), (None, prose(50, 2)), (7, leak[3]), (8, None), (None, None), (6, leak[1])]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = Counter((r.doc_id, r.item_id, r.covered) for r in tiling.leaks(table, bench, broadcast_chars=limit).collect())
+    assert got == Counter({(5, 1, 40): 1, (5, 2, 40): 1, (6, 1, 40): 2, (None, None, 40): 1, (7, None, 40): 1})
+    kept = tiling.decontaminate(table, bench, broadcast_chars=limit)
+    assert kept.columns == table.columns and sorted(r.row for r in kept.collect()) == [1, 4, 6, 7]
+
+
 @pytest.mark.parametrize("batches,fan_in", [(1, 4), (3, 2), (5, 2)])
 def test_op6_equals_brute_force(docs, empty, batches, fan_in):
     owner, held = {}, {}
