@@ -102,6 +102,57 @@ def learned(series: DataFrame, column: str = "g") -> DataFrame:
     return series.filter("period = 1").select("id", "pos", column).groupBy("id").applyInPandas(fit, "id string, lam_mean double, lam_var double, lam_ar double, mse_nl double, mse_ar double")
 
 
+#: Penalties a row of the learned streams, as the reference has them.
+NL_GRID = (1e-3, 1e-2, 3e-2, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0)
+NL_STREAMS = ["nl_e2", "nl_std2", "nl_logv", "nl_gain"]
+
+
+def learned_streams(scored: DataFrame, column: str = "g") -> DataFrame:
+    """id, pos and the four learned streams of the online rows: squared error of the nonlinear predictor, that over
+    its predicted variance, the variance's logarithm, and the linear predictor's squared error less the nonlinear one's.
+
+    Predictors see lags and random features of them and are fitted on the history; one of fewer than
+    2 RFF_LAGS + 1 points gets nulls. One group is one series of bounded length.
+    """
+
+    def fit(key, g):
+        import numpy as np
+        import pandas as pd
+
+        g = g.sort_values("pos")
+        z, n = g[column].to_numpy(), int((g["period"] == 1).sum())
+        out = pd.DataFrame({"id": key[0], "pos": g["pos"].to_numpy()[n:]})
+        if n < 2 * RFF_LAGS + 1:
+            return out.assign(**{c: None for c in NL_STREAMS})
+        rng = np.random.default_rng(0)
+        w, b = rng.normal(size=(RFF_LAGS, RFF_SIZE)) / RFF_WIDTH, rng.uniform(0.0, 2 * np.pi, RFF_SIZE)
+        lags = np.stack([z[RFF_LAGS - k : len(z) - k] for k in range(1, RFF_LAGS + 1)], axis=1)
+        f = np.hstack([lags, np.sqrt(2.0 / RFF_SIZE) * np.cos(lags @ w + b)])
+        y, m = z[RFF_LAGS:], n - RFF_LAGS
+
+        def ridge(x, y):
+            mean, level = x.mean(axis=0), y.mean()
+            u, s, vt = np.linalg.svd(x - mean, full_matrices=False)
+            uy, best = u.T @ (y - level), None
+            for lam in NL_GRID:
+                shrink = s * s / (s * s + lam * len(y))
+                loo = (y - u @ (shrink * uy) - level) / (1 - (u * u) @ shrink - 1 / len(y))
+                if best is None or loo @ loo < best[0]:
+                    best = loo @ loo, lam, loo
+            coef = vt.T @ (s / (s * s + best[1] * len(y)) * uy)
+            return coef, level - mean @ coef, best[2]
+
+        coef, const, loo = ridge(f[:m], y[:m])
+        e2 = loo * loo
+        coef_v, const_v, _ = ridge(f[:m], e2)
+        coef_a, const_a, _ = ridge(lags[:m], y[:m])
+        err = (y[m:] - f[m:] @ coef - const) ** 2
+        v = np.maximum(f[m:] @ coef_v + const_v, max(0.1 * e2.mean(), 1e-12))
+        return out.assign(nl_e2=err, nl_std2=err / v, nl_logv=np.log(v), nl_gain=(y[m:] - lags[m:] @ coef_a - const_a) ** 2 - err)
+
+    return scored.select("id", "pos", "period", column).groupBy("id").applyInPandas(fit, "id string, pos int, " + ", ".join(f"{c} double" for c in NL_STREAMS))
+
+
 def garch(series: DataFrame, column: str = "g") -> DataFrame:
     """id, a, b, nll: GARCH(1,1) with variance targeting by a grid that is refined around its best point; one point of history gets nulls."""
 

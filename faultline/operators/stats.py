@@ -172,3 +172,33 @@ def bootstrap_auc(scored: DataFrame, key: Column, draws: int = 200, size: int =
 def spread(draws: DataFrame) -> DataFrame:
     """mean, sd and the 5 and 95 % points of the draws; one row."""
     return draws.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"), F.percentile("auc", 0.05).alias("q05"), F.percentile("auc", 0.95).alias("q95"))
+
+
+def batch_sd(rows: DataFrame, column: str, sizes=(25, 50, 100)) -> DataFrame:
+    """id and bm<size>: sd of non-overlapping block means times the root of the block's size; the rest of a series is no block."""
+    out = None
+    for n in sizes:
+        blocks = rows.groupBy("id", F.floor((F.col("pos") - 1) / n).alias("_b")).agg(F.count("*").alias("_n"), F.avg(column).alias("_m"))
+        one = blocks.groupBy("id").agg((F.stddev_samp(F.when(F.col("_n") == n, F.col("_m"))) * n**0.5).alias(f"bm{n}"))
+        out = one if out is None else out.join(one, "id")
+    return out
+
+
+def portmanteau(rows: DataFrame, column: str, most=(10, 30)) -> DataFrame:
+    """id and lb<lags>: sums of squared correlations with the values 1 to so many places before."""
+    order = Window.partitionBy("id").orderBy("pos")
+    wide = rows.select("id", column, *[F.lag(column, k).over(order).alias(f"_{k}") for k in range(1, max(most) + 1)])
+    r = wide.groupBy("id").agg(*[F.corr(column, f"_{k}").alias(f"_{k}") for k in range(1, max(most) + 1)])
+    return r.select("id", *[sum((F.col(f"_{k}") * F.col(f"_{k}") for k in range(1, n + 1)), F.lit(0.0)).alias(f"lb{n}") for n in most])
+
+
+def quarter_moments(rows: DataFrame, column: str = "value") -> DataFrame:
+    """id, mean (less the whole's) and sd (over the whole's) of the first and last quarter of the rows."""
+    w = Window.partitionBy("id")
+    rows = rows.withColumn("_r", F.row_number().over(w.orderBy("pos"))).withColumn("_n", F.count("*").over(w))
+    q = F.floor(F.col("_n") / 4)
+    ends = {"first": F.col("_r") <= q, "last": F.col("_r") > F.col("_n") - q}
+    part = lambda k: F.when(ends[k], F.col(column))
+    return rows.groupBy("id").agg(
+        *[(F.avg(part(k)) - F.avg(column)).alias(f"mean_{k}_q") for k in ends], *[(F.stddev_pop(part(k)) / F.stddev_pop(column)).alias(f"sd_{k}_q") for k in ends]
+    )

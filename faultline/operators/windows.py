@@ -61,6 +61,32 @@ def streams(scored: DataFrame) -> DataFrame:
     return scored.withColumns(cols)
 
 
+def residual_streams(rows: DataFrame) -> DataFrame:
+    """Adds absr, r2, rg2 and absrg of the autoregressive residual r: its powers, and its normal score among those of the history."""
+    known = rows.filter(F.col("r").isNotNull()).select("id", "pos", "period", F.col("r").alias("value"))
+    score = normal_scores(known).select("id", "pos", F.col("g").alias("_rg"))
+    r, rg = F.col("r"), F.col("_rg")
+    return rows.join(score, ["id", "pos"], "left").withColumns({"absr": F.abs(r), "r2": r * r, "rg2": rg * rg, "absrg": F.abs(rg)}).drop("_rg")
+
+
+def volatility_streams(scored: DataFrame, decay: float = 0.94) -> DataFrame:
+    """Adds zf2, the square of z over the volatility before it."""
+    return volatility(scored.withColumn("_q", F.col("z") * F.col("z")), "_q", decay).withColumn("zf2", F.col("_q") / F.col("vol")).drop("_q", "vol")
+
+
+def calibrated_streams(scored: DataFrame, decays=(0.97, 0.99)) -> DataFrame:
+    """Adds the level, square, size, lag-1 product and size product of g, and of g over its volatility for each decay."""
+    bases = {"g": F.col("g")}
+    for d in decays:
+        name = f"w{round(100 * d)}"
+        scored = volatility(scored.withColumn("_q", F.col("g") * F.col("g")), "_q", d).withColumn(f"{name}_lvl", F.col("g") / F.sqrt("vol")).drop("_q", "vol")
+        bases[name] = F.col(f"{name}_lvl")
+    before = {n: F.coalesce(F.lag(b).over(by_pos()), F.lit(0.0)) for n, b in bases.items()}
+    cols = {f"{n}_lvl": b for n, b in bases.items()} | {f"{n}_sq": b * b for n, b in bases.items()} | {f"{n}_abs": F.abs(b) for n, b in bases.items()}
+    cols |= {f"{n}_ac1": b * before[n] for n, b in bases.items()} | {f"{n}_vol1": F.abs(b) * F.abs(before[n]) for n, b in bases.items()}
+    return scored.withColumns(cols)
+
+
 def ordinal_pattern(series: DataFrame, column: str = "value") -> DataFrame:
     """Adds pattern, a code of the three pairwise comparisons of a value and the two before it."""
     a, b, c = F.lag(column, 2).over(by_pos()), F.lag(column, 1).over(by_pos()), F.col(column)

@@ -365,17 +365,61 @@ def _(s, d):
     return stats.ts_auc(labelled(s, d).withColumn("step", F.lit(1)), score="z").select(*_r("auc"))
 
 
+_ANALYTIC = ["z", "z2", "g", "g2", "absg", "g3", "g4", "tail", "gg1", "gg2", "gg3", "gg5", "gg10", "zz1", "absdz", "dz2", "vol1", "vol5", "r", "absr", "r2", "rg2", "absrg", "zf2", "sgn1", "upper", "center"]
+_CALIBRATED = [f"{b}_{k}" for b in ("g", "w97", "w99") for k in ("lvl", "sq", "abs", "ac1", "vol1")]
+STREAMS = _ANALYTIC + fits.NL_STREAMS + _CALIBRATED
+
+
+def all_streams(s, d) -> DataFrame:
+    """Online rows with the 27 analytic, 4 learned and 15 calibrated streams of SURVEY 2.6, over all events."""
+    z = scored(s, d, rest=True).select("id", "pos", "period", "step", "value", "g", "z")
+    wide = windows.volatility_streams(windows.calibrated_streams(windows.streams(fits.ar_residuals(z, fits.ar(z)))))
+    wide = windows.residual_streams(wide).filter("period = 2")
+    return wide.join(fits.learned_streams(z), ["id", "pos"], "left").select("id", "pos", "step", *STREAMS)
+
+
 @query("agg_22_srt_03")
 def _(s, d):
     """Univariate AUC of every stream, best first."""
     obs = observations(s, d, rest=True)
-    wide = windows.streams(scored(s, d, rest=True)).filter("period = 2").join(src.labels(obs, break_index(obs)), ["id", "step"])
-    names = ["z", "g", "g2", "absg", "zz1", "absdz", "vol1", "sgn1"]
+    wide = all_streams(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"])
+    names = STREAMS
     long = wide.select("step", "label", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("feature", "score")).filter("score IS NOT NULL")
     cells = long.groupBy("feature", "step", "score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("q"))
     less = F.coalesce(F.sum("q").over(Window.partitionBy("feature", "step").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = cells.withColumn("w", F.col("p") * (less + F.col("q") / 2)).groupBy("feature", "step").agg(F.sum("w").alias("w"), (F.sum("p") * F.sum("q")).alias("n"))
-    return per.groupBy("feature").agg(F.round(F.sum("w") / F.sum("n"), 6).alias("auc")).orderBy(F.desc("auc"), "feature").limit(20)
+    return per.groupBy("feature").agg(F.round(F.sum("w") / F.sum("n"), 6).alias("auc")).orderBy(F.desc("auc"), "feature")
+
+
+# Whole menus: estimators, lags, scales
+
+
+@query("agg_11_menu")
+def _(s, d):
+    """Six estimators of the long-run sd of the normal score's history."""
+    h = scored(s, d, rest=True).filter("period = 1").select("id", "pos", "g")
+    out = windows.long_run_sd(h, "g").withColumnRenamed("lrsd", "bartlett").join(h.groupBy("id").agg(F.stddev_pop("g").alias("iid")), "id")
+    out = out.join(stats.batch_sd(h, "g"), "id").withColumn("max_b_bm50", F.greatest("bartlett", "bm50"))
+    return out.select("id", *_r("bartlett", "iid", "bm25", "bm50", "bm100", "max_b_bm50"))
+
+
+@query("agg_15_lb")
+def _(s, d):
+    return stats.portmanteau(scored(s, d, rest=True).filter("period = 1"), "g").select("id", *_r("lb10", "lb30"))
+
+
+@query("agg_17_quarters")
+def _(s, d):
+    out = stats.quarter_moments(observations(s, d, rest=True).filter("period = 1"))
+    return out.select("id", *_r(*out.columns[1:]))
+
+
+@query("win_11_scales")
+def _(s, d):
+    """Squared block sums of all seven scales; null where the block would begin before the series."""
+    n = F.row_number().over(windows.by_pos())
+    blocks = {f"b{k}": F.when(n >= k, F.pow(F.sum("g").over(windows.by_pos().rowsBetween(1 - k, 0)), F.lit(2)) / k) for k in (2, 4, 8, 16, 32, 64, 128)}
+    return scored(s, d, rest=True).select("id", "pos", *[F.round(c, 5).alias(name) for name, c in blocks.items()])
 
 
 # Sequential statistics

@@ -128,3 +128,44 @@ def test_flagship_takes_all_events(spark):
 def test_short_histories_have_defined_fits(spark):
     z = windows.standardised(windows.normal_scores(src.chunked(spark.range(5).selectExpr("'a' AS k", "id AS e", "CAST(id AS double) AS v"), "k", "e", "v", 450, 150)))
     assert fits.learned(z).head().lam_mean is None and fits.garch(z).count() == 1 and fits.ar(z).head().phi is None
+
+
+def test_whole_menus_equal_numpy(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=230)
+    rows = spark.createDataFrame([("a", k + 1, float(v)) for k, v in enumerate(x)], "id string, pos int, value double")
+    bm = stats.batch_sd(rows, "value").head()
+    for n in (25, 50, 100):
+        m = len(x) // n
+        assert bm[f"bm{n}"] == pytest.approx(x[: m * n].reshape(m, n).mean(1).std(ddof=1) * n**0.5)
+    lb, r2 = stats.portmanteau(rows, "value").head(), [np.corrcoef(x[k:], x[:-k])[0, 1] ** 2 for k in range(1, 31)]
+    assert (lb.lb10, lb.lb30) == (pytest.approx(sum(r2[:10])), pytest.approx(sum(r2)))
+    q = stats.quarter_moments(rows).head()
+    assert q.mean_first_q == pytest.approx(x[:57].mean() - x.mean()) and q.sd_last_q == pytest.approx(x[-57:].std() / x.std())
+
+
+def test_agg_22_ranks_every_stream(spark):
+    got = {r.feature: r.auc for r in catalog.queries()["agg_22_srt_03"](spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == set(catalog.STREAMS) and len(got) == 46
+    assert all(0 <= v <= 1 for v in got.values())
+
+
+def test_streams_of_residual_volatility_and_whitening_equal_loops(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=160)
+    s = spark.createDataFrame([("a", 1 if k < 100 else 2, k + 1, float(v), float(v), float(v)) for k, v in enumerate(x)], "id string, period int, pos int, g double, z double, r double")
+    rows = windows.residual_streams(windows.volatility_streams(windows.calibrated_streams(s))).orderBy("pos").collect()
+    v, vol, last = 1.0, 1.0, 0.0
+    for k, r in enumerate(rows):
+        b = x[k] / v**0.5
+        assert (r.w99_lvl, r.w99_ac1, r.zf2) == (pytest.approx(b), pytest.approx(b * last), pytest.approx(x[k] ** 2 / vol))
+        v, vol, last = 0.99 * v + 0.01 * x[k] ** 2, 0.94 * vol + 0.06 * x[k] ** 2, b
+    from statistics import NormalDist
+
+    h = np.sort(x[:100])
+    g = NormalDist().inv_cdf(((np.searchsorted(h, x[150], "left") + np.searchsorted(h, x[150], "right")) / 2 + 0.5) / 101)
+    assert rows[150].absrg == pytest.approx(abs(g)) and rows[150].rg2 == pytest.approx(g * g)
+    nl = fits.learned_streams(s).collect()
+    assert len(nl) == 60 and all(r.nl_std2 == pytest.approx(r.nl_e2 / np.exp(r.nl_logv)) for r in nl)
