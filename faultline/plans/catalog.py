@@ -66,8 +66,8 @@ def scored(spark, sf_dir, **kw) -> DataFrame:
     return windows.standardised(windows.normal_scores(observations(spark, sf_dir, **kw)))
 
 
-def online(spark, sf_dir) -> DataFrame:
-    return scored(spark, sf_dir).filter("period = 2").select("id", "pos", "step", "g", "z")
+def online(spark, sf_dir, **kw) -> DataFrame:
+    return scored(spark, sf_dir, **kw).filter("period = 2").select("id", "pos", "step", "g", "z")
 
 
 def _r(*names):
@@ -260,9 +260,9 @@ def _(s, d):
 _LAB = ", lab AS (SELECT o.id, o.step, o.g, o.z, (tau <> -1 AND o.step >= tau)::INT AS label FROM onl o JOIN brk USING (id))"
 
 
-def labelled(s, d) -> DataFrame:
-    obs = observations(s, d)
-    return online(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"])
+def labelled(s, d, rest: bool = False) -> DataFrame:
+    obs = observations(s, d, rest=rest)
+    return online(s, d, rest=rest).join(src.labels(obs, break_index(obs)), ["id", "step"])
 
 
 @query("agg_07", _LAB + " SELECT step, count(*) AS n, sum(label)::BIGINT AS n_pos FROM lab GROUP BY step")
@@ -747,23 +747,38 @@ def _(s, d):
     return out.select("id", "step", *_r(*out.columns[2:])).withColumn("s_m_at", F.col("s_m_at") + 0.0)
 
 
-_NAMES = ["sum_z", "log_n", "g2", "absg", "vol1", "cusum_up"]
+@query("agg_25_full")
+def _(s, d):
+    """The bootstrap's defaults: 200 draws of up to 100 series."""
+    return stats.spread(stats.bootstrap_auc(labelled(s, d, rest=True).withColumn("score", F.col("g")), _key())).select(*_r("mean", "sd", "q05", "q95"))
+
+
+@query("tst_11_scales")
+def _(s, d):
+    """The variance ratio's defaults: all scales up to 128."""
+    return stats.variance_ratio(scored(s, d, rest=True), cuts(s, d, rest=True), "z").select("id", "scale", *_r("vr_z", "dlog_vr"))
+
+
+_NAMES = STREAMS + ["sum_z", "log_n", "w16", "w64", "w256", "cusum_up", "cusum_dn", "ewma", "glr", "glr_age"] + bayes.COLUMNS
 
 
 def training_rows(s, d) -> DataFrame:
+    """Labelled online rows with every built feature; kept, as each fit reads them."""
     obs = observations(s, d, rest=True)
-    wide = windows.cusum(windows.running_z(windows.streams(scored(s, d, rest=True)).filter("period = 2"), "g"), "g2", 1.1)
-    return wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *_NAMES)
+    on = windows.running_z(all_streams(s, d), "g")
+    on = windows.glr(windows.ewma(windows.cusum(windows.windowed_z(on, "g"), "g2", 1.1), "g"), "g")
+    wide = on.join(bayes.bayes_factors(scored(s, d, rest=True)).select("id", "step", *bayes.COLUMNS), ["id", "step"], "left")
+    return wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *_NAMES).persist()
 
 
 @query("trn_07_trn_12")
 def _(s, d):
-    """Scores of a small ensemble on the odd series, learned on the even ones."""
+    """Scores of the ensemble on the odd series, learned on the even ones."""
     from ..operators import ensemble
 
     rows = training_rows(s, d)
     part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2))
-    models = ensemble.fit(rows.filter(part == 0), _NAMES, seeds=(0, 1), rounds=5)
+    models = ensemble.fit(rows.filter(part == 0), _NAMES)
     return ensemble.score(rows.filter(part == 1), _NAMES, models).select("id", "step", "label", "score")
 
 
@@ -772,7 +787,7 @@ def _(s, d):
     """Scores by models that never saw their series."""
     from ..operators import ensemble
 
-    return ensemble.cross_validated(training_rows(s, d), _NAMES, folds=2, seeds=(0,), rounds=3)
+    return ensemble.cross_validated(training_rows(s, d), _NAMES)
 
 
 @query("agg_23")
@@ -780,8 +795,8 @@ def _(s, d):
     """Shares of the features in the ensemble's gain, greatest first; one row a feature."""
     from ..operators import ensemble
 
-    models = ensemble.fit(training_rows(s, d), _NAMES, seeds=(0,), rounds=3)
-    return s.createDataFrame(ensemble.importances(models, _NAMES), "feature string, share double")
+    models = ensemble.fit(training_rows(s, d), _NAMES)
+    return s.createDataFrame(ensemble.importances(models, _NAMES, top=len(_NAMES)), "feature string, share double")
 
 
 def _has_break(s, d) -> DataFrame:
@@ -794,9 +809,11 @@ def _(s, d):
     from ..operators import ensemble
 
     shape = observations(s, d, rest=True).filter("period = 1").groupBy("id").agg(
-        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count_distinct("value") / F.count("*")).alias("distinct_ratio")
-    )
-    return ensemble.predictability(shape.join(_has_break(s, d), "id"), ["skew", "kurt", "lo", "hi", "distinct_ratio"], folds=2, seeds=(0,), rounds=3).select(*_r("auc"))
+        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count_distinct("value") / F.count("*")).alias("distinct_ratio"),
+        F.ln(F.count("*")).alias("log_n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
+    ).join(stats.quarter_moments(observations(s, d, rest=True).filter("period = 1")), "id")
+    names = [c for c in shape.columns if c != "id"]
+    return ensemble.predictability(shape.join(_has_break(s, d), "id").persist(), names).select(*_r("auc"))
 
 
 @query("trn_13")
@@ -806,7 +823,7 @@ def _(s, d):
 
     wide = calibrated.null_windows(scored(s, d, rest=True), cuts(s, d, rest=True), "g", _key())
     names = [f"{c}_{k}" for c in calibrated.NULL_STATS for k in ("z", "cal")]
-    return ensemble.predictability(wide.join(_has_break(s, d), "id"), names, folds=2, seeds=(0,), rounds=3).select(*_r("auc"))
+    return ensemble.predictability(wide.join(_has_break(s, d), "id").persist(), names).select(*_r("auc"))
 
 
 def queries() -> dict:

@@ -169,3 +169,16 @@ def test_streams_of_residual_volatility_and_whitening_equal_loops(spark):
     assert rows[150].absrg == pytest.approx(abs(g)) and rows[150].rg2 == pytest.approx(g * g)
     nl = fits.learned_streams(s).collect()
     assert len(nl) == 60 and all(r.nl_std2 == pytest.approx(r.nl_e2 / np.exp(r.nl_logv)) for r in nl)
+
+
+def test_ensemble_queries_run_with_the_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ensemble, "cross_validated", lambda f, c, folds=5, **o: seen.append((len(c), folds, o)) or f)
+    monkeypatch.setattr(ensemble, "predictability", lambda f, c, folds=5, **o: seen.append((len(c), folds, o)) or spark.createDataFrame([(0.5,)], "auc double"))
+    monkeypatch.setattr(ensemble, "fit", lambda f, c, **o: seen.append((len(c), 5, o)) or [])
+    monkeypatch.setattr(ensemble, "importances", lambda m, c, **o: [("x", 1.0)])
+    monkeypatch.setattr(ensemble, "score", lambda f, c, m: f.withColumn("score", F.lit(0.0)))
+    for name in ("trn_07_trn_12", "trn_10", "agg_23", "tst_13", "trn_13"):
+        catalog.queries()[name](spark, "/root/testdata/sf0.01")
+    wide = len(catalog.STREAMS) + 10 + len(bayes.COLUMNS)
+    assert seen == [(n, 5, {}) for n in (wide, wide, wide, 12, 10)]
