@@ -334,11 +334,29 @@ def _same_text(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
 
 
+def _with_cid(docs: DataFrame) -> DataFrame:
+    """``docs`` plus _cid, the fingerprint of the text."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.append_column("_cid", pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts], pa.int64()))
+
+    return docs.mapInArrow(run, f"{schema}, _cid long")
+
+
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the words of repeated windows gone from text; texts that lose nothing stay as they are."""
-    rows, covered = find_repeats(docs, **options)
-    per = rows.join(covered, "cid").select("doc_id", "kept").dropDuplicates(["doc_id"]).withColumnsRenamed({"doc_id": "_d", "kept": "_kept"})
-    return docs.join(per, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("text", F.coalesce("_kept", "text")).drop("_d", "_kept")
+    """``docs`` with the words of repeated windows gone from text; texts that lose nothing stay as they are.
+
+    What a text loses depends on the text alone, so rows are joined by its fingerprint, whatever their doc_id.
+    """
+    _, covered = find_repeats(docs, **options)
+    per = covered.select(F.col("cid").alias("_cid"), F.col("kept").alias("_kept"))
+    return _with_cid(docs).join(per, "_cid", "left").withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
 
 
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

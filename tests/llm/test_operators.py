@@ -129,6 +129,16 @@ def test_op3_equals_brute_force(spark, docs, empty, limit):
     assert run(empty) == []
 
 
+def test_op3_removal_with_repeated_and_null_ids(spark):
+    shared, alone = prose(40, 31), [prose(60, 32 + k) for k in range(4)]
+    rows = [(None, "a " + shared + " b"), (None, alone[0]), (1, "c " + shared + " d"), (1, alone[1]), (None, alone[2]), (2, shared), (None, None), (3, alone[3] + "\n  tail ")]
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = fmindex.remove_repeats(table)
+    assert got.columns == table.columns
+    want = ["a b", alone[0], "c d", alone[1], alone[2], "", None, alone[3] + "\n  tail "]
+    assert [(r.doc_id, r.text) for r in got.orderBy("row").collect()] == [(i, t) for (i, _), t in zip(rows, want)]
+
+
 def test_op3_random_sequences():
     rng = random.Random(9)
     for _ in range(30):
