@@ -10,7 +10,9 @@ steps, each exact:
    lines or passages in common hardly meet.
 3. In a group, a signature tree is built over classes sorted by size: nodes hold OR-combined bitmaps
    and size ranges. Pairs of nodes, then of classes, are dropped if their sizes, places or bitmaps
-   bound the overlap below what the index asks for, or if both are in one component already.
+   bound the overlap below what the index asks for, or if both are in one component already. A pair is
+   left to the group of its first common n-gram: each row carries the ``BEFORE`` n-grams that its class
+   has in groups before this one, and two rows that share one of these don't meet again.
 4. What is left is verified on whole sets. A group whose pairs exceed a budget stops there; it goes on
    in the next round, with the components of verified links known and a larger budget, until no
    group is left. A large group of near copies thus costs a few stars, not all its pairs, and no pair
@@ -20,7 +22,7 @@ steps, each exact:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -30,6 +32,8 @@ from .words import commonness, gram_set, ordered_grams, text_hashes
 WORDS, NUM, DEN = 4, 85, 100
 BITS, LEAF, FAN, GROUP = 1024, 16, 16, 20_000
 ROUNDS = 60
+#: N-grams of a class before a row's own that the row carries. More of them spare repeated pairs; none changes the result.
+BEFORE = 8
 #: Up to so many candidates (8 bytes each), their ids are sent to all tasks to fetch their texts; beyond, texts are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -175,10 +179,11 @@ class Tree:
         return nodes[nodes >= least]
 
 
-def pairs_of(cid, size, pos, bits, comp, side, start: int, budget: int, num: int, den: int):
+def pairs_of(cid, size, pos, bits, before, comp, side, start: int, budget: int, num: int, den: int):
     """Pairs (a, b) of classes that may link, from row ``start`` on, and the row to go on from (None: done).
 
-    Rows are sorted by (size, cid). With two sides only pairs across them count.
+    Rows are sorted by (size, cid). With two sides only pairs across them count. ``before`` (rows x BEFORE, 0 for none) are
+    n-grams in whose groups a row's class is too; a pair with a common one is found there.
     """
     import numpy as np
 
@@ -202,6 +207,9 @@ def pairs_of(cid, size, pos, bits, comp, side, start: int, budget: int, num: int
             b = bits[js]
             most = np.minimum(size[js] - np.bitwise_count(b & ~bits[i]).sum(axis=1), size[i] - np.bitwise_count(bits[i] & ~b).sum(axis=1))
             js = js[most >= need]
+        if len(js):
+            own = before[i][before[i] != 0]
+            js = js[~np.isin(before[js], own).any(axis=1)]
         if len(js):
             out_a.append(np.full(len(js), cid[i]))
             out_b.append(cid[js])
@@ -215,7 +223,7 @@ def pairs_of(cid, size, pos, bits, comp, side, start: int, budget: int, num: int
 def _candidates(groups: DataFrame, factor: int, num: int, den: int) -> DataFrame:
     """Rows (a, b) of pairs to verify, and rows (gram, i, j, next) of groups that go on.
 
-    ``groups``: gram, i, j, side, cid, size, pos, bitmap, comp, start; a group's rows come together.
+    ``groups``: gram, i, j, side, cid, size, pos, bitmap, before, comp, start; a group's rows come together.
     """
 
     def run(batches):
@@ -235,11 +243,11 @@ def _candidates(groups: DataFrame, factor: int, num: int, den: int) -> DataFrame
 
         def work(cols, cuts):
             out_a, out_b, more = [], [], []
-            gram, i, j, side, cid, size, pos, bits, comp, start = cols
+            gram, i, j, side, cid, size, pos, bits, before, comp, start = cols
             for x, y in zip(cuts, cuts[1:]):
                 if y - x < 2 or comp[x] == comp[x + 1] and (comp[x:y] == comp[x]).all():
                     continue
-                a, b, nxt = pairs_of(cid[x:y], size[x:y], pos[x:y], bits[x:y], comp[x:y], side[x:y], int(start[x]), max(3, factor * (y - x - 1)), num, den)
+                a, b, nxt = pairs_of(cid[x:y], size[x:y], pos[x:y], bits[x:y], before[x:y], comp[x:y], side[x:y], int(start[x]), max(3, factor * (y - x - 1)), num, den)
                 if len(a):
                     out_a.append(a)
                     out_b.append(b)
@@ -252,9 +260,9 @@ def _candidates(groups: DataFrame, factor: int, num: int, den: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for k, c in enumerate(batch.columns) if k != 7]
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), ">u8").astype(np.uint64).reshape(-1, BITS // 64)
-            cols.insert(7, bits)
+            cols = [c.to_numpy(zero_copy_only=False) for k, c in enumerate(batch.columns) if k not in (7, 8)]
+            cols.insert(7, np.frombuffer(b"".join(batch.column(7).to_pylist()), ">u8").astype(np.uint64).reshape(-1, BITS // 64))
+            cols.insert(8, batch.column(8).flatten().to_numpy().reshape(-1, BEFORE))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             gram, i, j = cols[:3]
@@ -312,7 +320,9 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
     first = sets.select("doc_id", "cid", "size", "grams").join(reps, ["doc_id", "cid"]).dropDuplicates(["cid"])
     rows = first.select("cid", "size", F.posexplode("grams").alias("pos", "gram"))
     shared = store.written(_shared(rows, parts, num, den))
-    groups = store.written(shared.withColumn("side", F.lit(3)).join(classes.select("cid", "bitmap"), "cid").withColumn("start", F.lit(0)))
+    of_class = Window.partitionBy("cid").orderBy("pos")
+    before = F.array(*[F.coalesce(F.lag("gram", k).over(of_class), F.lit(0).cast("long")) for k in range(1, BEFORE + 1)])
+    groups = store.written(shared.join(classes.select("cid", "bitmap"), "cid").withColumn("before", before).withColumn("side", F.lit(3)).withColumn("start", F.lit(0)))
     store.dropped(shared)
     links = _search(groups, lambda nodes: _texts(docs, nodes, reps, n, levels), classes, parts, n, num, den)
     # a doc_id with several sets ties their classes together
@@ -366,7 +376,7 @@ def _search(groups: DataFrame, texts_of, classes: DataFrame, parts: int, n: int,
         else:
             labels = store.written(components(links).join(reps, F.col("node") == F.col("rep")).select("cid", F.col("label").alias("_l")))
             labelled = groups.join(labels, "cid", "left").join(reps, "cid").withColumn("comp", F.coalesce("_l", "rep"))
-        cols = ["gram", "i", "j", "side", "cid", "size", "pos", "bitmap", "comp", "start"]
+        cols = ["gram", "i", "j", "side", "cid", "size", "pos", "bitmap", "before", "comp", "start"]
         together = labelled.select(cols).repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "size", "cid")
         found = store.written(_candidates(together, factor, num, den))
         pairs = found.filter(F.col("a").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -386,8 +396,8 @@ def _search(groups: DataFrame, texts_of, classes: DataFrame, parts: int, n: int,
             two = ids.join(others, "gram").filter(F.col("i") < F.col("k"))
             if two.isEmpty():
                 break
-            a = two.join(blocks, ["gram", "i"]).select("gram", "i", F.col("k").alias("j"), F.lit(1).alias("side"), "cid", "size", "pos", "bitmap", F.lit(0).alias("start"))
-            b = two.withColumnRenamed("i", "_i").withColumnRenamed("k", "i").join(blocks, ["gram", "i"]).select("gram", F.col("_i").alias("i"), F.col("i").alias("j"), F.lit(2).alias("side"), "cid", "size", "pos", "bitmap", F.lit(0).alias("start"))
+            a = two.join(blocks, ["gram", "i"]).select("gram", "i", F.col("k").alias("j"), F.lit(1).alias("side"), "cid", "size", "pos", "bitmap", "before", F.lit(0).alias("start"))
+            b = two.withColumnRenamed("i", "_i").withColumnRenamed("k", "i").join(blocks, ["gram", "i"]).select("gram", F.col("_i").alias("i"), F.col("i").alias("j"), F.lit(2).alias("side"), "cid", "size", "pos", "bitmap", "before", F.lit(0).alias("start"))
             groups, factor = store.written(a.unionByName(b)), 1
             continue
         groups = store.written(groups.drop("start").join(more, ["gram", "i", "j"]))
