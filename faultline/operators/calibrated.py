@@ -8,65 +8,97 @@ from pyspark.sql import functions as F
 from . import windows
 
 
-def curve(hist: DataFrame, column: str) -> DataFrame:
-    """id and the horizon curve as one array, to be looked up in log-log steps."""
-    h = windows.horizon_sd(hist, column)
+#: Points of a history before its null is measured: exponential means need a start.
+SKIP = 200
+
+
+def curve(hist: DataFrame, column: str, skip: int = SKIP) -> DataFrame:
+    """id and the horizon curve, after the first ``skip`` points, as one array, to be looked up in log-log steps.
+
+    A history without points after that has no row; one of two or fewer has nulls.
+    """
+    h = windows.horizon_sd(hist.filter(F.col("pos") > skip), column)
     return h.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "sd"))), lambda x: x["sd"]).alias("curve"))
 
 
+def centred(scored: DataFrame, column: str, skip: int = SKIP) -> DataFrame:
+    """Adds e: the stream less its mean over the history after ``skip`` points."""
+    kept = F.when((F.col("period") == 1) & (F.col("pos") > skip), F.col(column))
+    return scored.withColumn("e", F.col(column) - F.avg(kept).over(Window.partitionBy("id")))
+
+
 def inverse_sd(k: Column) -> Column:
     """1 / sd at horizon k: linear in logarithms between powers of two, root of time beyond the last."""
     x = F.least(F.log2(k.cast("double")), F.lit(10.0))
     lo = F.least(F.floor(x), F.lit(9)).cast("int")
-    a, b = F.ln(F.greatest(F.element_at("curve", lo + 1), F.lit(1e-9))), F.ln(F.greatest(F.element_at("curve", lo + 2), F.lit(1e-9)))
-    return 1 / (F.exp(a + (x - lo) * (b - a)) * F.sqrt(F.greatest(k / 1024.0, F.lit(1.0))))
+    a, b = F.ln(F.greatest(F.get("curve", lo), F.lit(1e-9))), F.ln(F.greatest(F.get("curve", lo + 1), F.lit(1e-9)))
+    known = F.get("curve", lo).isNotNull()  # greatest() passes over nulls
+    return F.when(known, 1 / (F.exp(a + (x - lo) * (b - a)) * F.sqrt(F.greatest(k / 1024.0, F.lit(1.0)))))
+
+
+def calibrated_sums(on: DataFrame, curves: DataFrame, e: str, widths=(16, 64, 256)) -> DataFrame:
+    """Adds cal_sum and cal_w<width>: sums of a centred stream over the history's sd at their horizon; null without a curve."""
+    on = on.withColumn("_n", F.row_number().over(windows.by_pos())).withColumn("_s", F.sum(e).over(windows.so_far()))
+    on = on.withColumns({f"_w{w}": F.sum(e).over(windows.by_pos().rowsBetween(1 - w, 0)) for w in widths}).join(curves, "id", "left")
+    sums = {"cal_sum": F.col("_s") * inverse_sd(F.col("_n"))} | {f"cal_w{w}": F.col(f"_w{w}") * inverse_sd(F.least(F.col("_n"), F.lit(w))) for w in widths}
+    return on.withColumns(sums).drop("curve", "_n", "_s", *[f"_w{w}" for w in widths])
 
 
 def recalibrated(on: DataFrame, curves: DataFrame, e: str, widths=(16, 64, 256)) -> DataFrame:
-    """Running and windowed sums with the root of their horizon replaced by the history's sd at that horizon."""
-    rows = windows.windowed_z(windows.running_z(on, e), e, widths).join(curves, "id")
+    """Running and windowed sums with the root of their horizon replaced by the history's sd at that horizon; null without a curve."""
+    rows = windows.windowed_z(windows.running_z(on, e), e, widths).join(curves, "id", "left")
     factor = lambda h: F.sqrt(h) * inverse_sd(h)
     return rows.withColumns(
         {"sum_z": F.col("sum_z") * factor(F.col("n"))} | {f"w{w}": F.col(f"w{w}") * factor(F.least(F.col("n"), F.lit(w))) for w in widths}
     ).drop("curve")
 
 
-def calibrated_ewma(scored: DataFrame, e: str, alpha: float = 0.03, burn: int = 100) -> DataFrame:
-    """Online rows plus cal_ewma: the EWMA of the centred stream over its own sd in the history after ``burn`` steps.
+def _runs(scored: DataFrame, e: str, alpha: float, skip: int) -> DataFrame:
+    """Rows plus e (centred) and _w, its EWMA: history after ``skip`` points and online part are two runs from 0."""
+    rows = centred(scored, e, skip).filter((F.col("period") == 2) | (F.col("pos") > skip))
+    return windows._decayed(rows, alpha * F.col("e"), "_w", 1 - alpha, 0.0, ["id", "period"], True)
 
-    History and online part are two runs from 0; both windows and the sd share one exchange on id.
-    A history no longer than ``burn`` has no sd, and its rows get null.
+
+def _run_sd(alpha: float, skip: int) -> Column:
+    """The rows that count for the sd of a history's EWMA: int(3 / alpha) steps after its start."""
+    return F.when((F.col("period") == 1) & (F.col("pos") > skip + int(3 / alpha)), F.col("_w"))
+
+
+def calibrated_ewma(scored: DataFrame, e: str, alpha: float = 0.03, skip: int = SKIP) -> DataFrame:
+    """Online rows plus cal_ewma: the EWMA of the centred stream over its own sd in the history, int(3 / alpha) steps after ``skip``.
+
+    Both windows and the sd share one exchange on id. A shorter history has no sd, and its rows get null.
     """
-    by_id = Window.partitionBy("id")
-    past = F.col("period") == 1
-    run = Window.partitionBy("id", "period").orderBy("pos")
-    rows = scored.withColumn("_e", F.col(e) - F.avg(F.when(past, F.col(e))).over(by_id))
-    last = F.collect_list("_e").over(run.rowsBetween(-1023, 0))
-    rows = rows.withColumn("_k", F.row_number().over(run)).withColumn("_w", windows._fold(last, 1 - alpha, alpha, 0.0))
-    sd = F.stddev_pop(F.when(past & (F.col("_k") > burn), F.col("_w"))).over(by_id)
-    return rows.withColumn("cal_ewma", F.col("_w") / F.greatest(sd, F.when(sd.isNotNull(), 1e-9))).filter("period = 2").drop("_e", "_k", "_w")
+    rows = _runs(scored, e, alpha, skip)
+    sd = F.stddev_pop(_run_sd(alpha, skip)).over(Window.partitionBy("id"))
+    return rows.withColumn("cal_ewma", F.col("_w") / F.greatest(sd, F.when(sd.isNotNull(), 1e-9))).filter("period = 2").drop("e", "_w")
 
 
-def calibration(scored: DataFrame, e: str, alpha: float = 0.03, burn: int = 100) -> DataFrame:
-    """id, mu, curve, ew_sd: what the streaming twin needs of a history, fitted in batch. A short history has a null ew_sd."""
+def calibration(scored: DataFrame, e: str, alpha: float = 0.03, skip: int = SKIP) -> DataFrame:
+    """id, mu, curve, ew_sd: what the streaming twin needs of a history, fitted in batch. A short history has nulls."""
     hist = scored.filter("period = 1")
-    rows = hist.withColumn("_e", F.col(e) - F.avg(e).over(Window.partitionBy("id")))
-    last = F.collect_list("_e").over(windows.by_pos().rowsBetween(-1023, 0))
-    rows = rows.withColumn("_k", F.row_number().over(windows.by_pos())).withColumn("_w", windows._fold(last, 1 - alpha, alpha, 0.0))
-    fitted = rows.groupBy("id").agg(F.avg(e).alias("mu"), F.stddev_pop(F.when(F.col("_k") > burn, F.col("_w"))).alias("ew_sd"))
-    return fitted.join(curve(hist, e), "id").select("id", "mu", "curve", "ew_sd")
+    kept = F.when(F.col("pos") > skip, F.col(e))
+    means = hist.groupBy("id").agg(F.avg(kept).alias("mu"))
+    spread = _runs(hist, e, alpha, skip).groupBy("id").agg(F.stddev_pop(_run_sd(alpha, skip)).alias("ew_sd"))
+    return means.join(spread, "id", "left").join(curve(hist, e, skip), "id", "left").select("id", "mu", "curve", "ew_sd")
 
 
 def _small(key: Column) -> Column:
     return F.pmod(key.cast("long"), F.lit(1000003))
 
 
-def random_cuts(index: DataFrame, key: Column, groups: int = 1) -> DataFrame:
+#: Series of a group that random cuts are drawn in.
+GROUP_SERIES = 100_000
+
+
+def random_cuts(index: DataFrame, key: Column, groups: int | None = None) -> DataFrame:
     """id, t: the break, or for a series without one a cut at a relative place drawn from the series that have one.
 
-    ``index`` has id, tau and online_len. ``key`` is an integer that decides the draw. Each of ``groups`` draws from its
-    own breaks, so neither ranking nor join runs in one task; in a group without breaks the cut is null.
+    ``index`` has id, tau and online_len. ``key`` is an integer that decides the draw. Each of ``groups`` (one for every
+    ``GROUP_SERIES`` series) draws from its own breaks, so neither ranking nor join runs in one task; in a group without
+    breaks the cut is null.
     """
+    groups = groups or max(1, -(-index.count() // GROUP_SERIES))
     rows = index.withColumn("_h", F.pmod(_small(key) * 1103515245 + 12345, F.lit(1000003))).withColumn("_g", F.pmod(key, F.lit(groups)))
     u = ((F.col("tau") + 0.5) / F.col("online_len")).alias("_u")
     order = Window.partitionBy("_g").orderBy(u, "id")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def assemble(features: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(features.fillna(0.0, columns))
+    """Adds the columns as one vector, null as 0; the columns themselves stay as they are."""
+    return features.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
 
 
 def fit(features: DataFrame, columns: list[str], seeds=(0, 1, 2), rounds: int = 20, rate: float = 0.1, depth: int = 4, weight: str | None = None) -> list[GBTClassificationModel]:
@@ -54,12 +54,12 @@ def cross_validated(features: DataFrame, columns: list[str], folds: int = 5, **o
 
 def predictability(features: DataFrame, columns: list[str], folds: int = 5, **options) -> DataFrame:
     """auc: how well columns of one row a series tell its label, from scores out of fold; 0.5 without rows or both classes."""
-    from .stats import ts_auc
+    from .stats import pooled_auc
 
     scored = cross_validated(features.withColumn("step", F.lit(0)).select("id", "step", "label", *columns), columns, folds, **options)
     if scored is None:
         return features.agg(F.lit(0.5).alias("auc"))
-    return ts_auc(scored)
+    return pooled_auc(scored)
 
 
 def with_length(features: DataFrame, lengths: DataFrame) -> DataFrame:

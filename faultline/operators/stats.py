@@ -20,6 +20,46 @@ def ts_auc(scored: DataFrame, step: str = "step", label: str = "label", score: s
     return per.agg(F.when(total > 0, F.sum("won") / total).otherwise(0.5).alias("auc"))
 
 
+#: Distinct scores of a range that a pooled AUC ranks in one task.
+RANGE_SCORES = 1_000_000
+
+
+def pooled_auc(scored: DataFrame, label: str = "label", score: str = "score", ranges: int | None = None) -> DataFrame:
+    """auc over all rows, with mid-ranks; 0.5 without both classes. Null scores are left out.
+
+    Rows are counted by score; ranges of scores are ranked apart, and the counts of lower ranges added, so no task holds all.
+    ``ranges`` follows the number of rows; it changes no result.
+    """
+    cells = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("q"))
+    if ranges is None:
+        ranges = min(1000, max(1, -(-scored.count() // RANGE_SCORES)))
+    part = F.lit(0)
+    if ranges > 1:
+        cuts = scored.select(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 10 * ranges)).head()[0]
+        part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("_s")))
+    cells = cells.withColumn("_part", part)
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = cells.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy("_part").agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    # one row a range
+    lower = F.coalesce(F.sum("q").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("p") * F.sum("q")
+    return per.withColumn("w", F.col("w") + F.col("p") * lower).agg(F.when(total > 0, F.sum("w") / total).otherwise(0.5).alias("auc"))
+
+
+def lag_products(scored: DataFrame, cuts: DataFrame, column: str, lags, least: int = 100) -> DataFrame:
+    """id, lag, gg, aa: products of a stream, and of its centred size, with the value so many places before, summed after the cut
+    over the root of their number, less what the history's mean product makes expect. Series with fewer than ``least`` points after it have no row.
+    """
+    by_id, order = Window.partitionBy("id"), Window.partitionBy("id").orderBy("pos")
+    past = F.col("period") == 1
+    rows = scored.select("id", "period", "pos", "step", F.col(column).alias("g")).join(cuts.select("id", "t"), "id")
+    rows = rows.withColumn("a", F.abs("g") - F.avg(F.when(past, F.abs("g"))).over(by_id)).withColumn("n", F.count_if(~past).over(by_id) - F.col("t")).filter(F.col("n") >= least)
+    pairs = [F.struct(F.lit(k).alias("lag"), (F.col("g") * F.lag("g", k).over(order)).alias("g"), (F.col("a") * F.lag("a", k).over(order)).alias("a")) for k in lags]
+    long = rows.select("id", "n", past.alias("past"), (~past & (F.col("step") >= F.col("t"))).alias("post"), F.array(*pairs).alias("_p")).select("id", "n", "past", "post", F.explode("_p").alias("_p"))
+    value = lambda c: F.sum(F.when(F.col("post"), F.col(f"_p.{c}"))) / F.sqrt("n") - F.avg(F.when(F.col("past"), F.col(f"_p.{c}"))) * F.sqrt("n")
+    return long.groupBy("id", "n", F.col("_p.lag").alias("lag")).agg(value("g").alias("gg"), value("a").alias("aa")).select("id", "lag", "gg", "aa")
+
+
 def step_weights(rows: DataFrame) -> DataFrame:
     """Rows plus weight p (n - p) / n of their step, with mean 1."""
     w = Window.partitionBy("step")

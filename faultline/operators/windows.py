@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normal import ndtri
 
@@ -112,55 +115,127 @@ def cusum(on: DataFrame, e: str, k: float) -> DataFrame:
     return on.withColumn("cusum_up", F.col("_u") - least("_u")).withColumn("cusum_dn", F.col("_d") - least("_d")).drop("_u", "_d")
 
 
-def _fold(values: Column, decay: float, gain: float, start: float) -> Column:
-    return F.aggregate(values, F.lit(float(start)), lambda acc, x: acc * decay + x * gain)
+def _decayed(rows: DataFrame, x: Column, name: str, decay: float, start: float, by: list[str], after: bool) -> DataFrame:
+    """Adds ``name``, the value after (or before) each row of s <- decay * s + x in order of pos, s being ``start`` at first; exact.
 
+    Inside a block of places the sum is closed, a running sum of x / decay ** place; what earlier blocks leave is folded from
+    their last values, few numbers even in a long series. All windows share the partitioning by ``by``.
+    """
+    if not 0 < decay < 1:
+        raise ValueError("a decay is between 0 and 1")
+    size = max(1, int(-200 / math.log(decay)))  # weights of a block stay below e ** 200
+    order = Window.partitionBy(*by).orderBy("pos")
+    rows = rows.withColumn("_x", x.cast("double")).withColumn("_i", F.row_number().over(order) - 1)
+    rows = rows.withColumn("_b", F.floor(F.col("_i") / size)).withColumn("_i", F.col("_i") % size)
+    power = lambda k: F.pow(F.lit(decay), k)
+    inside, scaled = Window.partitionBy(*by, "_b").orderBy("pos"), F.col("_x") / power(F.col("_i"))
+    upto = lambda last: F.coalesce(F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, last)), F.lit(0.0))
+    rows = rows.withColumns({"_s": upto(0) * power(F.col("_i")), "_p": upto(-1) * power(F.col("_i") - 1)})
+    last = F.collect_list(F.when(F.col("_i") == size - 1, F.col("_s"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.aggregate(last, F.lit(float(start)), lambda s, t: s * decay**size + t)
+    if after:
+        value = F.col("_s") + F.col("_carry") * power(F.col("_i") + 1)
+    else:
+        value = F.col("_p") + F.col("_carry") * power(F.col("_i"))
+    return rows.withColumn("_carry", carried).withColumn(name, value).drop("_x", "_i", "_b", "_s", "_p", "_carry")
+
+
+def ewma(on: DataFrame, e: str, alpha: float = 0.03) -> DataFrame:
+    """Exponentially weighted sum from 0, over its limiting sd."""
+    rows = _decayed(on, alpha * F.col(e), "ewma", 1 - alpha, 0.0, ["id"], True)
+    return rows.withColumn("ewma", F.col("ewma") * ((2 - alpha) / alpha) ** 0.5)
+
+
+def volatility(scored: DataFrame, square: str, decay: float) -> DataFrame:
+    """Exponential mean of the squares before each row, started at 1: causal, over history and online."""
+    return _decayed(scored, (1 - decay) * F.col(square), "vol", decay, 1.0, ["id"], False)
 
-def ewma(on: DataFrame, e: str, alpha: float = 0.03, memory: int = 1024) -> DataFrame:
-    """Exponentially weighted sum from 0, over its limiting sd; the weight beyond ``memory`` terms is below 1e-13."""
-    last = F.collect_list(e).over(by_pos().rowsBetween(1 - memory, 0))
-    return on.withColumn("ewma", _fold(last, 1 - alpha, alpha, 0.0) * ((2 - alpha) / alpha) ** 0.5)
 
+def best_start(values, block: int = 256):
+    """For each place the signed likelihood ratio over all starts and the age of the best start, the first on ties.
 
-def volatility(scored: DataFrame, square: str, decay: float, memory: int = 3000) -> DataFrame:
-    """Exponential mean of the squares before each row, started at 1: causal, over history and online."""
-    before = F.collect_list(square).over(by_pos().rowsBetween(-memory, -1))
-    return scored.withColumn("vol", _fold(before, decay, 1 - decay, 1.0))
+    Of (start, sum before it) only corners of the convex hull can be best; blocks of places meet the corners of all
+    earlier starts and every start of their own, so the work is far below the square of the length and memory is bounded.
+    """
+    import numpy as np
+
+    s = np.concatenate([[0.0], np.cumsum(values)])
+    n = len(values)
+    stat, age = np.empty(n), np.empty(n)
+    corners = np.empty(0, np.int64)
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        own = np.arange(a, b)
+        starts, ends = np.concatenate([corners, own]), np.arange(a + 1, b + 1)
+        diff = s[ends][:, None] - s[starts][None, :]
+        span = ends[:, None] - starts[None, :]
+        ratio = np.where(span > 0, diff * diff / np.maximum(span, 1), -1.0)
+        best = ratio.argmax(axis=1)
+        rows = np.arange(b - a)
+        age[a:b] = span[rows, best]
+        stat[a:b] = diff[rows, best] / np.sqrt(age[a:b])
+        corners = _hull(starts, s)
+    return stat, age
+
+
+def _hull(starts, s):
+    """The starts at corners of the upper or lower hull of (start, s[start]); ``starts`` ascend."""
+    import numpy as np
+
+    kept = []
+    for sign in (1.0, -1.0):
+        up = []
+        for j in starts.tolist():
+            y = sign * s[j]
+            while len(up) > 1 and (y - up[-1][1]) * (up[-1][0] - up[-2][0]) > (up[-1][1] - up[-2][1]) * (j - up[-1][0]):
+                up.pop()
+            up.append((j, y))
+        kept += [j for j, _ in up]
+    return np.unique(kept).astype(np.int64)
 
 
 def glr(on: DataFrame, e: str) -> DataFrame:
-    """Likelihood ratio over all unknown starts: signed value and log age of the first best start.
+    """Adds n, and glr and glr_age: likelihood ratio over all unknown starts, signed, and log age of the first best start.
 
-    Prefix sums come as an array, and a higher-order function scans it; series are bounded in length.
+    A maximum over all starts has no window of its own, so a series, which is bounded in length, is one Arrow group.
     """
-    on = on.withColumn("n", F.row_number().over(by_pos()).cast("double")).withColumn("_s", F.sum(e).over(so_far()))
-    before = F.concat(F.array(F.lit(0.0)), F.coalesce(F.collect_list("_s").over(by_pos().rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>")))
-    on = on.withColumn("_p", before)
-    best = F.array_max(F.transform("_p", lambda p, j: F.struct((F.pow(F.col("_s") - p, F.lit(2)) / (F.col("n") - j)).alias("stat"), (F.col("n") - j).alias("age"), (F.col("_s") - p).alias("diff"))))
-    on = on.withColumn("_b", best)
-    return on.withColumn("glr", F.col("_b.diff") / F.sqrt("_b.age")).withColumn("glr_age", F.ln("_b.age")).drop("_b", "_p", "_s")
+    on = on.withColumn("n", F.row_number().over(by_pos()).cast("double"))
+
+    def scan(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("pos")
+        stat, age = best_start(table.column(e).to_numpy())
+        return table.append_column("glr", pa.array(stat, pa.float64())).append_column("glr_age", pa.array(np.log(age), pa.float64()))
+
+    schema = T.StructType([*on.schema.fields, T.StructField("glr", T.DoubleType()), T.StructField("glr_age", T.DoubleType())])
+    return on.groupBy("id").applyInArrow(scan, schema)
 
 
 def long_run_sd(hist: DataFrame, column: str) -> DataFrame:
-    """id, lrsd: Bartlett long-run sd with ceil(n ** (1/3)) lags, clamped as a null model needs it."""
+    """id, lrsd: Bartlett long-run sd with ceil(n ** (1/3)) lags, clamped as a null model needs it.
+
+    Every row takes the products with so many values before it from one array, so series of any length have all their lags.
+    """
     w = Window.partitionBy("id")
     d = hist.withColumn("_n", F.count("*").over(w)).withColumn("_d", F.col(column) - F.avg(column).over(w)).withColumn("_l", F.ceil(F.pow(F.col("_n"), F.lit(1 / 3)) - 1e-9).cast("int"))
-    most = 18  # covers series of up to 5 800 points
-    products = [F.avg(F.coalesce(F.col("_d") * F.lag("_d", j).over(by_pos()), F.lit(0.0))).over(w).alias(f"_g{j}") for j in range(most + 1)]
-    one = d.select("id", "_n", "_l", *products).dropDuplicates(["id"])
-    total = F.col("_g0")
-    for j in range(1, most + 1):
-        total = total + F.when(F.col("_l") >= j, 2 * (1 - F.lit(j) / (F.col("_l") + 1)) * F.col(f"_g{j}")).otherwise(0.0)
-    return one.select("id", F.when(F.col("_g0") <= 0, 1e-6).otherwise(F.sqrt(F.greatest(total, 0.1 * F.col("_g0")))).alias("lrsd"))
+    longest = d.agg(F.max("_l")).head()[0] or 0
+    lags = F.collect_list("_d").over(by_pos().rowsBetween(-longest, 0)) if longest else F.array("_d")
+    one = d.withColumn("_a", F.reverse(lags)).select("id", "_n", "_l", "_d", F.posexplode(F.slice("_a", 1, F.col("_l") + 1)).alias("_j", "_v"))
+    per = one.groupBy("id", "_n", "_l", "_j").agg((F.sum(F.col("_d") * F.col("_v")) / F.col("_n")).alias("_g"))
+    weight = F.when(F.col("_j") == 0, 1.0).otherwise(2 * (1 - F.col("_j") / (F.col("_l") + 1)))
+    out = per.groupBy("id").agg(F.max(F.when(F.col("_j") == 0, F.col("_g"))).alias("_g0"), F.sum(weight * F.col("_g")).alias("_t"))
+    return out.select("id", F.when(F.col("_g0") <= 0, 1e-6).otherwise(F.sqrt(F.greatest("_t", 0.1 * F.col("_g0")))).alias("lrsd"))
 
 
 def horizon_sd(hist: DataFrame, column: str, most: int = 10) -> DataFrame:
-    """id, h (log2 of the horizon), sd of rolling sums; horizons of half the length and more extend the last by root of time."""
+    """id, h (log2 of the horizon), sd of rolling sums; horizons of half the length (rounded down) and more extend the last by root of time."""
     c = hist.withColumn("_c", F.sum(column).over(so_far())).withColumn("_n", F.count("*").over(Window.partitionBy("id")))
     ks = [2**j for j in range(most + 1)]
     diffs = c.select("id", "_n", *[F.when(F.row_number().over(by_pos()) >= k, F.col("_c") - F.coalesce(F.lag("_c", k).over(by_pos()), F.lit(0.0))).alias(f"_{k}") for k in ks])
     sds = diffs.groupBy("id").agg(F.max("_n").alias("n"), *[F.stddev_pop(f"_{k}").alias(f"_{k}") for k in ks])
-    long = sds.select("id", "n", F.posexplode(F.array(*[F.when(F.col("n") / 2 > k, F.col(f"_{k}")) for k in ks])).alias("h", "sd"))
+    long = sds.select("id", "n", F.posexplode(F.array(*[F.when(F.floor(F.col("n") / 2) > k, F.col(f"_{k}")) for k in ks])).alias("h", "sd"))
     last = F.last("sd", True).over(Window.partitionBy("id").orderBy("h"))
     at = F.last(F.when(F.col("sd").isNotNull(), F.col("h")), True).over(Window.partitionBy("id").orderBy("h"))
     return long.select("id", "h", (last * F.pow(F.lit(2.0), (F.col("h") - at) / 2)).alias("sd"))

@@ -1,8 +1,8 @@
 """All queries of the engine by operator handle, each with DuckDB SQL for the same rows where SQL can say it.
 
-Series come from ``events`` by type, cut into chunks of HIST + ONLINE points. Queries with SQL take full chunks,
-as their SQL does; the others and the flagship take all rows. The index of breaks is a fixed rule on the
-series' name; no feature reads it.
+Series come from ``events`` by type, cut into chunks of HIST + ONLINE points; what is left after the last makes that one's
+online part longer, and a type of fewer rows is one short series, so all rows enter. The index of breaks is a fixed
+rule on the series' name and length; no feature reads it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import for_duckdb, ndtri_sql
-from ..operators import bayes, calibrated, fits, stats, windows
+from ..operators import bayes, calibrated, features, fits, stats, windows
 from ..sources import series as src
 
 HIST, ONLINE = 450, 150
@@ -20,14 +20,15 @@ _SQL: dict[str, str] = {}
 
 OBS = f"""
 WITH obs AS (
-  SELECT event_type || '-' || chunk AS id, chunk, event_type AS kind, CASE WHEN p <= {HIST} THEN 1 ELSE 2 END AS period, p AS pos,
-         CASE WHEN p > {HIST} THEN p - {HIST + 1} END AS step, value
-  FROM (SELECT event_type, value, (rn - 1) // {HIST + ONLINE} AS chunk, (rn - 1) % {HIST + ONLINE} + 1 AS p,
-               count(*) OVER (PARTITION BY event_type, (rn - 1) // {HIST + ONLINE}) AS c
-        FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events))
-  WHERE c = {HIST + ONLINE}
+  SELECT event_type || '-' || chunk AS id, chunk, event_type AS kind, CASE WHEN rn - chunk * {HIST + ONLINE} <= h THEN 1 ELSE 2 END AS period, rn - chunk * {HIST + ONLINE} AS pos,
+         CASE WHEN rn - chunk * {HIST + ONLINE} > h THEN rn - chunk * {HIST + ONLINE} - h - 1 END AS step, value
+  FROM (SELECT event_type, value, rn, least((rn - 1) // {HIST + ONLINE}, greatest(n // {HIST + ONLINE} - 1, 0)) AS chunk,
+               CASE WHEN n >= {HIST + ONLINE} THEN {HIST} ELSE greatest(n * {HIST} // {HIST + ONLINE}, 1) END AS h
+        FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events))
+), sz AS (
+  SELECT id, chunk, kind, count_if(period = 1)::BIGINT AS nh, count_if(period = 2)::BIGINT AS nl FROM obs GROUP BY ALL
 ), brk AS (
-  SELECT DISTINCT id, CASE WHEN chunk % 2 = 0 THEN 30 + 7 * chunk + length(kind) ELSE -1 END AS tau FROM obs
+  SELECT id, CASE WHEN chunk % 2 = 0 THEN (30 + 7 * chunk + length(kind)) % greatest(nl, 1) ELSE -1 END AS tau FROM sz
 ), ranked AS (
   SELECT *, sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) AS br,
          sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) - sum((period = 1)::INT) OVER (PARTITION BY id, value) AS bl,
@@ -43,23 +44,31 @@ WITH obs AS (
 """
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql=None):
+    """Registers a query with the SQL that follows OBS, as text or as a function that gives it once the module is read."""
+
     def add(f):
         _Q[name] = f
         if sql:
-            _SQL[name] = (OBS + sql) if "FROM events" not in sql else sql
+            _SQL[name] = sql
         return f
 
     return add
 
 
-def observations(spark: SparkSession, sf_dir: str, hist: int = HIST, online: int = ONLINE, rest: bool = False) -> DataFrame:
-    return src.chunked(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value", hist, online, rest)
+def observations(spark: SparkSession, sf_dir: str, hist: int = HIST, online: int = ONLINE) -> DataFrame:
+    return src.chunked(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "event_id", "value", hist, online)
+
+
+def sizes(obs: DataFrame) -> DataFrame:
+    """id, chunk, nh and nl: lengths of a series' history and online part."""
+    return obs.groupBy("id", "chunk").agg(F.count_if(F.col("period") == 1).alias("nh"), F.count_if(F.col("period") == 2).alias("nl"))
 
 
 def break_index(obs: DataFrame) -> DataFrame:
     k = F.length(F.regexp_extract("id", "^(.*)-", 1))
-    return obs.select("id", "chunk").distinct().select("id", F.when(F.col("chunk") % 2 == 0, 30 + 7 * F.col("chunk") + k).otherwise(-1).alias("tau"))
+    tau = (30 + 7 * F.col("chunk") + k) % F.greatest("nl", F.lit(1))
+    return sizes(obs).select("id", F.when(F.col("chunk") % 2 == 0, tau).otherwise(-1).cast("int").alias("tau"))
 
 
 def scored(spark, sf_dir, **kw) -> DataFrame:
@@ -76,7 +85,7 @@ def _r(*names):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running two-sided CUSUM of the normal score of every event series."""
-    on = scored(spark, sf_dir, hist=100, online=50, rest=True).filter("period = 2").select("id", "pos", "step", "g")
+    on = scored(spark, sf_dir, hist=100, online=50).filter("period = 2").select("id", "pos", "step", "g")
     return windows.cusum(on, "g", 0.1).select("id", "step", *_r("g", "cusum_up", "cusum_dn"))
 
 
@@ -149,6 +158,14 @@ def _(s, d):
     return src.validate(obs, break_index(obs))
 
 
+@query("src_validate_bad", "SELECT DISTINCT id, CASE WHEN kind = 'click' THEN 'interleaved periods' ELSE 'no index row' END AS reason FROM obs WHERE kind IN ('click', 'view') AND nullif(chunk, 1) IS NOT NULL")
+def _(s, d):
+    """The invariants on series that were damaged: the last row of some is history, others have no index row."""
+    obs = observations(s, d)
+    damaged = obs.withColumn("period", F.when(F.col("id").startswith("click-") & (F.col("chunk") != 1) & F.col("step").isNotNull() & (F.col("step") % 7 == 1), 1).otherwise(F.col("period")))
+    return src.validate(damaged, break_index(obs).filter(~(F.col("id").startswith("view-") & ~F.col("id").endswith("-1"))))
+
+
 # Projections and filters
 
 
@@ -175,9 +192,16 @@ def _(s, d):
     return observations(s, d).filter("chunk % 2 = 0").select("id").distinct()
 
 
-@query("flt_03", f"SELECT id, {ONLINE} - tau AS n_post FROM brk WHERE tau <> -1 AND {ONLINE} - tau >= 100")
+@query("flt_02_half", "SELECT DISTINCT id FROM obs WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 2 = 0")
 def _(s, d):
-    return break_index(observations(s, d)).filter("tau <> -1").select("id", (F.lit(ONLINE) - F.col("tau")).alias("n_post")).filter("n_post >= 100")
+    """A random half of the series, drawn by hash."""
+    return observations(s, d).select("id").distinct().filter(fold_of("id", 2) == 0)
+
+
+@query("flt_03", f"SELECT id, nl - tau AS n_post FROM brk JOIN sz USING (id) WHERE tau <> -1 AND nl - tau >= 100")
+def _(s, d):
+    obs = observations(s, d)
+    return break_index(obs).filter("tau <> -1").join(sizes(obs), "id").select("id", (F.col("nl") - F.col("tau")).alias("n_post")).filter("n_post >= 100")
 
 
 @query("flt_04", "SELECT id, pos FROM obs WHERE id IN (SELECT id FROM brk WHERE tau <> -1) AND pos <= 20")
@@ -260,9 +284,9 @@ def _(s, d):
 _LAB = ", lab AS (SELECT o.id, o.step, o.g, o.z, (tau <> -1 AND o.step >= tau)::INT AS label FROM onl o JOIN brk USING (id))"
 
 
-def labelled(s, d, rest: bool = False) -> DataFrame:
-    obs = observations(s, d, rest=rest)
-    return online(s, d, rest=rest).join(src.labels(obs, break_index(obs)), ["id", "step"])
+def labelled(s, d) -> DataFrame:
+    obs = observations(s, d)
+    return online(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"])
 
 
 @query("agg_07", _LAB + " SELECT step, count(*) AS n, sum(label)::BIGINT AS n_pos FROM lab GROUP BY step")
@@ -275,9 +299,9 @@ def _(s, d):
     return stats.step_weights(labelled(s, d)).select("id", "step", *_r("weight"))
 
 
-_LRV = """, d AS (SELECT id, pos, g - avg(g) OVER (PARTITION BY id) AS d FROM sc WHERE period = 1),
-l AS (SELECT a.id, j, sum(a.d * b.d) / {h} AS gj FROM d a JOIN (SELECT unnest(range(0, {L} + 1)) AS j) ON TRUE JOIN d b ON a.id = b.id AND b.pos = a.pos - j GROUP BY a.id, j)
-SELECT id, round(sqrt(greatest(sum(CASE WHEN j = 0 THEN gj ELSE 2 * (1 - j / ({L} + 1.0)) * gj END), 0.1 * max(CASE WHEN j = 0 THEN gj END))), 6) AS lrsd FROM l GROUP BY id""".replace("{h}", str(HIST)).replace("{L}", str(-int(-(HIST ** (1 / 3)) // 1)))
+_LRV = """, d AS (SELECT id, pos, g - avg(g) OVER (PARTITION BY id) AS d, count(*) OVER (PARTITION BY id) AS n FROM sc WHERE period = 1), e AS (SELECT *, ceil(pow(n, 1 / 3.0::DOUBLE) - 1e-9) AS m FROM d),
+l AS (SELECT a.id, j, max(a.m) AS m, sum(a.d * b.d) / max(a.n) AS gj FROM e a JOIN (SELECT unnest(range(0, 100)) AS j) ON j <= a.m JOIN e b ON a.id = b.id AND b.pos = a.pos - j GROUP BY a.id, j)
+SELECT id, round(CASE WHEN max(CASE WHEN j = 0 THEN gj END) <= 0 THEN 1e-6 ELSE sqrt(greatest(sum(CASE WHEN j = 0 THEN gj ELSE 2 * (1 - j / (m + 1.0)) * gj END), 0.1 * max(CASE WHEN j = 0 THEN gj END))) END, 6) AS lrsd FROM l GROUP BY id"""
 
 
 @query("agg_09", _LRV)
@@ -291,13 +315,18 @@ def _(s, d):
     return b.groupBy("id").agg(F.round(F.stddev_samp("m") * 5, 6).alias("bm25"))
 
 
-_HSD = """, c AS (SELECT id, pos, sum(g) OVER (PARTITION BY id ORDER BY pos) AS c FROM sc WHERE period = 1),
-k AS (SELECT unnest(range(0, 11)) AS h), r AS (SELECT a.id, h, stddev_pop(a.c - coalesce(b.c, 0)) AS sd FROM c a JOIN k ON a.pos >= 1 << h LEFT JOIN c b ON b.id = a.id AND b.pos = a.pos - (1 << h) WHERE %d / 2.0 > 1 << h GROUP BY a.id, h),
-m AS (SELECT id, max(h) AS mh, max_by(sd, h) AS msd FROM r GROUP BY id),
-hs AS (SELECT m.id, k.h, coalesce(r.sd, msd * pow(2.0, (k.h - mh) / 2.0)) AS sd FROM m JOIN k ON TRUE LEFT JOIN r ON r.id = m.id AND r.h = k.h)""" % HIST
+def _hsd_sql(skip: int, e: str = "g") -> str:
+    """CTEs up to hs, the horizon curve (id, h, sd) of the history after ``skip`` points."""
+    return f""", c AS (SELECT id, pos - {skip} AS pos, sum({e}) OVER (PARTITION BY id ORDER BY pos) AS c, count(*) OVER (PARTITION BY id) AS n FROM sc WHERE period = 1 AND pos > {skip}),
+k AS (SELECT unnest(range(0, 11)) AS h), r AS (SELECT a.id, h, stddev_pop(a.c - coalesce(b.c, 0)) AS sd FROM c a JOIN k ON a.pos >= 1 << h LEFT JOIN c b ON b.id = a.id AND b.pos = a.pos - (1 << h) WHERE a.n // 2 > 1 << h GROUP BY a.id, h),
+m AS (SELECT id, max(h) AS mh, max_by(sd, h) AS msd FROM r GROUP BY id), ids AS (SELECT DISTINCT id FROM c),
+hs AS (SELECT ids.id, k.h, coalesce(r.sd, msd * pow(2.0, (k.h - mh) / 2.0)) AS sd FROM ids JOIN k ON TRUE LEFT JOIN m ON m.id = ids.id LEFT JOIN r ON r.id = ids.id AND r.h = k.h)"""
+
+
+_HSD = _hsd_sql(calibrated.SKIP)
 
 
-@query("agg_12_cal_01", _HSD + " SELECT id, h, round(sd, 6) AS sd FROM hs")
+@query("agg_12_cal_01", _hsd_sql(0) + " SELECT id, h, round(sd, 6) AS sd FROM hs")
 def _(s, d):
     return windows.horizon_sd(scored(s, d).filter("period = 1"), "g").select("id", "h", *_r("sd"))
 
@@ -309,10 +338,13 @@ def calibration(s, d) -> DataFrame:
 _INV = "1 / exp(ln(greatest(a.sd, 1e-9)) + (log2(n::DOUBLE) - a.h) * (ln(greatest(b.sd, 1e-9)) - ln(greatest(a.sd, 1e-9))))"
 
 
-@query("win_09_cal_02", _HSD + f" SELECT o.id, o.step, round(sum(g) OVER (PARTITION BY o.id ORDER BY step) * {_INV}, 6) AS cal_sum FROM onl o JOIN hs a ON a.id = o.id AND a.h = least(floor(log2(n::DOUBLE)), 9) JOIN hs b ON b.id = o.id AND b.h = a.h + 1")
+_CENTRED = f", ce AS (SELECT id, avg(g) AS mu FROM sc WHERE period = 1 AND pos > {calibrated.SKIP} GROUP BY id), oc AS (SELECT o.id, o.step, o.n, o.g - mu AS e FROM onl o LEFT JOIN ce USING (id))"
+
+
+@query("win_09_cal_02", _HSD + _CENTRED + f" SELECT o.id, o.step, round(sum(e) OVER (PARTITION BY o.id ORDER BY step) * {_INV}, 6) AS cal_sum FROM oc o LEFT JOIN hs a ON a.id = o.id AND a.h = least(floor(log2(n::DOUBLE)), 9) LEFT JOIN hs b ON b.id = o.id AND b.h = a.h + 1")
 def _(s, d):
-    on = online(s, d).withColumn("n", F.row_number().over(windows.by_pos())).withColumn("_s", F.sum("g").over(windows.so_far()))
-    return on.join(calibration(s, d), "id").select("id", "step", F.round(F.col("_s") * calibrated.inverse_sd(F.col("n")), 6).alias("cal_sum"))
+    on = calibrated.centred(scored(s, d), "g").filter("period = 2").select("id", "pos", "step", "e")
+    return calibrated.calibrated_sums(on, calibration(s, d), "e").select("id", "step", *_r("cal_sum"))
 
 
 @query("agg_14_agg_15", ", l AS (SELECT id, k, corr(a, b) AS r FROM (SELECT id, unnest([1, 2, 3]) AS k, g AS a, unnest([lag(g, 1) OVER w, lag(g, 2) OVER w, lag(g, 3) OVER w]) AS b FROM sc WHERE period = 1 WINDOW w AS (PARTITION BY id ORDER BY pos)) GROUP BY id, k) SELECT id, round(sum(r * r), 6) AS lb3 FROM l GROUP BY id")
@@ -362,7 +394,7 @@ def _(s, d):
 
 @query("agg_21", _LAB.replace("o.step, o.g", "1 AS step, o.g") + _AUC.replace("{s}", "z"))
 def _(s, d):
-    return stats.ts_auc(labelled(s, d).withColumn("step", F.lit(1)), score="z").select(*_r("auc"))
+    return stats.pooled_auc(labelled(s, d), score="z").select(*_r("auc"))
 
 
 _ANALYTIC = ["z", "z2", "g", "g2", "absg", "g3", "g4", "tail", "gg1", "gg2", "gg3", "gg5", "gg10", "zz1", "absdz", "dz2", "vol1", "vol5", "r", "absr", "r2", "rg2", "absrg", "zf2", "sgn1", "upper", "center"]
@@ -372,16 +404,17 @@ STREAMS = _ANALYTIC + fits.NL_STREAMS + _CALIBRATED
 
 def all_streams(s, d) -> DataFrame:
     """Online rows with the 27 analytic, 4 learned and 15 calibrated streams of SURVEY 2.6, over all events."""
-    z = scored(s, d, rest=True).select("id", "pos", "period", "step", "value", "g", "z")
-    wide = windows.volatility_streams(windows.calibrated_streams(windows.streams(fits.ar_residuals(z, fits.ar(z)))))
-    wide = windows.residual_streams(wide).filter("period = 2")
+    z = scored(s, d).select("id", "pos", "period", "step", "value", "g", "z")
+    wide = windows.residual_streams(windows.streams(fits.ar_residuals(z, fits.ar(z))))
+    # volatilities begin behind the first lags
+    wide = windows.volatility_streams(windows.calibrated_streams(wide.filter(F.col("pos") > features.LAGS))).filter("period = 2")
     return wide.join(fits.learned_streams(z), ["id", "pos"], "left").select("id", "pos", "step", *STREAMS)
 
 
 @query("agg_22_srt_03")
 def _(s, d):
     """Univariate AUC of every stream, best first."""
-    obs = observations(s, d, rest=True)
+    obs = observations(s, d)
     wide = all_streams(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"])
     names = STREAMS
     long = wide.select("step", "label", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("feature", "score")).filter("score IS NOT NULL")
@@ -397,7 +430,7 @@ def _(s, d):
 @query("agg_11_menu")
 def _(s, d):
     """Six estimators of the long-run sd of the normal score's history."""
-    h = scored(s, d, rest=True).filter("period = 1").select("id", "pos", "g")
+    h = scored(s, d).filter("period = 1").select("id", "pos", "g")
     out = windows.long_run_sd(h, "g").withColumnRenamed("lrsd", "bartlett").join(h.groupBy("id").agg(F.stddev_pop("g").alias("iid")), "id")
     out = out.join(stats.batch_sd(h, "g"), "id").withColumn("max_b_bm50", F.greatest("bartlett", "bm50"))
     return out.select("id", *_r("bartlett", "iid", "bm25", "bm50", "bm100", "max_b_bm50"))
@@ -405,12 +438,12 @@ def _(s, d):
 
 @query("agg_15_lb")
 def _(s, d):
-    return stats.portmanteau(scored(s, d, rest=True).filter("period = 1"), "g").select("id", *_r("lb10", "lb30"))
+    return stats.portmanteau(scored(s, d).filter("period = 1"), "g").select("id", *_r("lb10", "lb30"))
 
 
 @query("agg_17_quarters")
 def _(s, d):
-    out = stats.quarter_moments(observations(s, d, rest=True).filter("period = 1"))
+    out = stats.quarter_moments(observations(s, d).filter("period = 1"))
     return out.select("id", *_r(*out.columns[1:]))
 
 
@@ -419,7 +452,7 @@ def _(s, d):
     """Squared block sums of all seven scales; null where the block would begin before the series."""
     n = F.row_number().over(windows.by_pos())
     blocks = {f"b{k}": F.when(n >= k, F.pow(F.sum("g").over(windows.by_pos().rowsBetween(1 - k, 0)), F.lit(2)) / k) for k in (2, 4, 8, 16, 32, 64, 128)}
-    return scored(s, d, rest=True).select("id", "pos", *[F.round(c, 5).alias(name) for name, c in blocks.items()])
+    return scored(s, d).select("id", "pos", *[F.round(c, 5).alias(name) for name, c in blocks.items()])
 
 
 # Sequential statistics
@@ -494,12 +527,12 @@ def _(s, d):
 # Two-sample tests
 
 
-@query("tst_01", ", f AS (SELECT id, abs(sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) / %d.0 - sum((period = 2)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) / %d.0) AS d FROM obs) SELECT id, round(max(d), 6)::DOUBLE AS ks FROM f GROUP BY id" % (HIST, ONLINE))
+@query("tst_01", ", f AS (SELECT id, abs(sum((period = 1)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) / nh::DOUBLE - sum((period = 2)::INT) OVER (PARTITION BY id ORDER BY value RANGE UNBOUNDED PRECEDING) / nl::DOUBLE) AS d FROM obs JOIN sz USING (id)) SELECT id, round(max(d), 6)::DOUBLE AS ks FROM f GROUP BY id")
 def _(s, d):
     return stats.ks_statistic(observations(s, d)).select("id", *_r("ks"))
 
 
-@query("tst_02", ", r AS (SELECT id, period, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0 AS r FROM obs) SELECT id, round(abs((sum(CASE WHEN period = 2 THEN r END) - %d) / %d - 0.5), 6)::DOUBLE AS mw FROM r GROUP BY id" % (ONLINE * (ONLINE + 1) // 2, HIST * ONLINE))
+@query("tst_02", ", r AS (SELECT id, period, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0 AS r FROM obs) SELECT id, round(abs((sum(CASE WHEN period = 2 THEN r END) - nl * (nl + 1) / 2.0) / (nh * nl) - 0.5), 6)::DOUBLE AS mw FROM r JOIN sz USING (id) GROUP BY id, nh, nl")
 def _(s, d):
     return stats.mann_whitney(observations(s, d)).select("id", *_r("mw"))
 
@@ -517,7 +550,18 @@ def _(s, d):
     return o.agg(F.round(F.max(F.greatest(F.col("i") / F.col("n") - F.col("u"), F.col("u") - (F.col("i") - 1) / F.col("n"))), 6).alias("ks"))
 
 
-@query("tst_08", f"SELECT id, round((avg(g * g) - 1) * sqrt({ONLINE} / 2.0), 6) AS var_z FROM onl GROUP BY id")
+_LAGS = [*range(1, 11), 12, 15, 20, 25, 30, 40, 50]
+
+
+@query("tst_10_lags", lambda: _CUT + f""", x AS (SELECT s.id, s.period, s.pos, s.step, s.g, nh, t, nl - t AS n, abs(g) - avg(CASE WHEN period = 1 THEN abs(g) END) OVER (PARTITION BY s.id) AS a FROM sc s JOIN cut ON cut.id = s.id WHERE nl - t >= 100),
+p AS (SELECT y.id, k AS lag, y.period, y.step, y.t, y.n, y.g * l.g AS pg, y.a * l.a AS pa FROM x y JOIN (SELECT unnest({_LAGS}) AS k) ON TRUE JOIN x l ON l.id = y.id AND l.pos = y.pos - k)
+SELECT id, lag, round(sum(CASE WHEN step >= t THEN pg END) / sqrt(n) - avg(CASE WHEN period = 1 THEN pg END) * sqrt(n), 5) AS gg, round(sum(CASE WHEN step >= t THEN pa END) / sqrt(n) - avg(CASE WHEN period = 1 THEN pa END) * sqrt(n), 5) AS aa FROM p GROUP BY id, lag, n""")
+def _(s, d):
+    """Products at all 17 lags after the break, or after a drawn cut, against the history's."""
+    return stats.lag_products(scored(s, d), cuts(s, d), "g", _LAGS).select("id", "lag", *[F.round(c, 5).alias(c) for c in ("gg", "aa")])
+
+
+@query("tst_08", "SELECT id, round((avg(g * g) - 1) * sqrt(count(*) / 2.0), 6) AS var_z FROM onl GROUP BY id")
 def _(s, d):
     return online(s, d).groupBy("id").agg(F.round((F.avg(F.col("g") * F.col("g")) - 1) * F.sqrt(F.count("*") / 2), 6).alias("var_z"))
 
@@ -539,18 +583,18 @@ def _(s, d):
 
 @query("fit_01")
 def _(s, d):
-    z = scored(s, d, rest=True)
+    z = scored(s, d)
     return fits.ar_residuals(z.select("id", "pos", "period", "z"), fits.ar(z)).filter("period = 2").select("id", "pos", *_r("r"))
 
 
 @query("fit_02_fit_03")
 def _(s, d):
-    return fits.learned(scored(s, d, rest=True))
+    return fits.learned(scored(s, d))
 
 
 @query("fit_04")
 def _(s, d):
-    return fits.garch(scored(s, d, rest=True))
+    return fits.garch(scored(s, d))
 
 
 def _shift_u():
@@ -558,21 +602,31 @@ def _shift_u():
     return F.pmod(key * 1103515245 + F.col("copy") * 12345, F.lit(1000003)) / 1000003.0
 
 
-@query("trn_01_trn_02", f", c AS (SELECT id, tau, unnest([0, 1, 2]) AS copy FROM brk), k AS (SELECT *, CASE WHEN copy = 0 THEN 0 ELSE floor((((length(id) * 7919 + tau * 104729)::HUGEINT * 1103515245 + copy * 12345) % 1000003 + 1000003) % 1000003 / 1000003.0::DOUBLE * least(CASE WHEN tau >= 0 THEN tau ELSE {ONLINE // 2} END, {ONLINE - 10}))::INT END AS k FROM c) SELECT o.id, copy, count_if(o.pos <= {HIST} + k)::BIGINT AS hist_len, count_if(o.pos > {HIST} + k)::BIGINT AS online_len, CASE WHEN max(tau) >= 0 THEN max(tau) - max(k) ELSE -1 END AS tau FROM obs o JOIN k USING (id) GROUP BY o.id, copy")
+@query("trn_01_trn_02", """, c AS (SELECT id, tau, nh, least(CASE WHEN tau >= 0 THEN tau ELSE nl // 2 END, nl - 10) AS m, unnest([0, 1, 2]) AS copy FROM brk JOIN sz USING (id)),
+k AS (SELECT *, CASE WHEN copy = 0 OR m < 1 THEN 0 ELSE floor((((length(id) * 7919 + tau * 104729)::HUGEINT * 1103515245 + copy * 12345) % 1000003 + 1000003) % 1000003 / 1000003.0::DOUBLE * m)::INT END AS k FROM c)
+SELECT o.id, copy, count_if(o.pos <= nh + k)::BIGINT AS hist_len, count_if(o.pos > nh + k)::BIGINT AS online_len, CASE WHEN max(tau) >= 0 THEN max(tau) - max(k) ELSE -1 END AS tau FROM obs o JOIN k USING (id) GROUP BY o.id, copy""")
 def _(s, d):
     obs = observations(s, d)
-    c = break_index(obs).withColumn("tau", F.col("tau").cast("long")).select("id", "tau", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy"))
-    limit = F.least(F.when(F.col("tau") >= 0, F.col("tau")).otherwise(ONLINE // 2), F.lit(ONLINE - 10))
-    k = c.withColumn("k", F.when(F.col("copy") == 0, 0).otherwise(F.floor(_shift_u() * limit)).cast("int"))
-    moved = obs.join(k, "id").withColumn("period", F.when(F.col("pos") <= HIST + F.col("k"), 1).otherwise(2))
-    tau = F.when(F.max("tau") >= 0, F.max("tau") - F.max("k")).otherwise(-1).cast("int")
-    return moved.groupBy("id", "copy").agg(F.count_if(F.col("period") == 1).alias("hist_len"), F.count_if(F.col("period") == 2).alias("online_len"), tau.alias("tau"))
+    moved = shifted(obs, break_index(obs), 2)
+    return moved.groupBy("id", "copy").agg(F.count_if(F.col("period") == 1).alias("hist_len"), F.count_if(F.col("period") == 2).alias("online_len"), F.max("tau").alias("tau"))
+
 
+def shifted(obs: DataFrame, index: DataFrame, copies: int) -> DataFrame:
+    """Series as they are (copy 0) and ``copies`` copies of each whose first online points, all before the break, are history: id, copy, tau, and a row's columns."""
+    c = index.withColumn("tau", F.col("tau").cast("long")).join(sizes(obs).select("id", "nh", "nl"), "id").select("*", F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("copy"))
+    limit = F.least(F.when(F.col("tau") >= 0, F.col("tau")).otherwise(F.floor(F.col("nl") / 2)), F.col("nl") - 10)
+    k = c.withColumn("k", F.when((F.col("copy") == 0) | (limit < 1), 0).otherwise(F.floor(_shift_u() * limit)).cast("int"))
+    moved = obs.select("id", "pos", "value").join(k, "id")
+    start = F.col("nh") + F.col("k")
+    tau = F.when(F.col("tau") >= 0, F.col("tau") - F.col("k")).otherwise(-1).cast("int")
+    return moved.select("id", "copy", F.when(F.col("pos") <= start, 1).otherwise(2).alias("period"), "pos", F.when(F.col("pos") > start, F.col("pos") - start - 1).cast("int").alias("step"), "value", tau.alias("tau"))
 
-@query("trn_03", f"SELECT id, pos, CASE WHEN pos > {HIST - min(500, HIST // 3)} THEN 2 ELSE 1 END AS period FROM obs WHERE period = 1")
+
+@query("trn_03", "SELECT id, pos, CASE WHEN pos > nh - least(500, nh // 3) THEN 2 ELSE 1 END AS period FROM obs JOIN sz USING (id) WHERE period = 1")
 def _(s, d):
-    m = F.least(F.lit(500), F.floor(F.lit(HIST) / 3))
-    return observations(s, d).filter("period = 1").select("id", "pos", F.when(F.col("pos") > HIST - m, 2).otherwise(1).alias("period"))
+    obs = observations(s, d)
+    tail = F.least(F.lit(500), F.floor(F.col("nh") / 3))
+    return obs.filter("period = 1").join(sizes(obs).select("id", "nh"), "id").select("id", "pos", F.when(F.col("pos") > F.col("nh") - tail, 2).otherwise(1).alias("period"))
 
 
 @query("trn_04_set_01", ", a AS (SELECT id, step, 1.0::DOUBLE AS weight FROM onl UNION ALL SELECT id, step, 2.0 FROM onl WHERE step % 4 = 0) SELECT id, step, count(*) AS n, sum(weight) AS weight FROM a GROUP BY ALL")
@@ -581,19 +635,22 @@ def _(s, d):
     return on.unionByName(on.filter("step % 4 = 0").withColumn("weight", F.lit(2.0))).groupBy("id", "step").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-@query("trn_06", ", n AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM brk) SELECT id, (r % 5)::INT AS fold FROM n")
+def fold_of(id_: str, folds: int):
+    """A fold that depends on the series alone, so no ranking of all ids is needed."""
+    return (F.conv(F.substring(F.md5(F.col(id_).cast("binary")), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+@query("trn_06", "SELECT DISTINCT id, (('0x' || substr(md5(id), 1, 8))::BIGINT % 5)::INT AS fold FROM obs")
 def _(s, d):
-    # ids only, one row a series
-    ids = observations(s, d).select("id").distinct()
-    return ids.select("id", (F.row_number().over(Window.orderBy("id")) % 5).cast("int").alias("fold"))
+    return observations(s, d).select("id").distinct().select("id", fold_of("id", 5).alias("fold"))
 
 
 # Calibration on the series' own history
 
 
-_KEY = f", ix AS (SELECT DISTINCT o.id, tau, (length(kind) * 7919 + chunk * 104729) % 1000003 AS key FROM obs o JOIN brk USING (id))"
-_CUT = _KEY + f""", gv AS (SELECT row_number() OVER (ORDER BY tau, id) - 1 AS i, (tau + 0.5) / {ONLINE} AS u FROM ix WHERE tau >= 0),
-cut AS (SELECT ix.id, key, CASE WHEN tau >= 0 THEN tau ELSE floor(u * {ONLINE})::BIGINT END AS t FROM ix LEFT JOIN gv ON tau < 0 AND i = ((key * 1103515245 + 12345) % 1000003) % (SELECT count(*) FROM gv))"""
+_KEY = ", ix AS (SELECT id, tau, nh, nl, (length(kind) * 7919 + chunk * 104729) % 1000003 AS key FROM sz JOIN brk USING (id))"
+_CUT = _KEY + """, gv AS (SELECT row_number() OVER (ORDER BY (tau + 0.5) / nl::DOUBLE, id) - 1 AS i, (tau + 0.5) / nl::DOUBLE AS u FROM ix WHERE tau >= 0),
+cut AS (SELECT ix.id, key, nh, nl, CASE WHEN tau >= 0 THEN tau ELSE floor(u * nl)::BIGINT END AS t FROM ix LEFT JOIN gv ON tau < 0 AND i = ((key * 1103515245 + 12345) % 1000003) % (SELECT count(*) FROM gv))"""
 
 
 def _key():
@@ -601,15 +658,15 @@ def _key():
     return (F.length(F.regexp_extract("id", "^(.*)-", 1)) * 7919 + F.regexp_extract("id", "-([0-9]+)$", 1).cast("long") * 104729) % 1000003
 
 
-def cuts(s, d, rest: bool = False) -> DataFrame:
-    obs = observations(s, d, rest=rest)
+def cuts(s, d) -> DataFrame:
+    obs = observations(s, d)
     length = obs.groupBy("id").agg(F.count_if(F.col("period") == 2).cast("int").alias("online_len"))
     return calibrated.random_cuts(break_index(obs).join(length, "id"), _key())
 
 
-@query("win_10", """, c AS (SELECT id, period, pos, step, g - avg(CASE WHEN period = 1 THEN g END) OVER (PARTITION BY id) AS e FROM sc),
-w AS (SELECT a.id, a.period, a.pos, a.step, sum(b.e * 0.03 * pow(0.97, a.pos - b.pos)) AS w FROM c a JOIN c b ON a.id = b.id AND a.period = b.period AND b.pos <= a.pos GROUP BY ALL),
-d AS (SELECT id, stddev_pop(w) AS sd FROM w WHERE period = 1 AND pos > 100 GROUP BY id) SELECT id, step, round(w / sd, 6) AS cal_ewma FROM w JOIN d USING (id) WHERE period = 2""")
+@query("win_10", f""", c AS (SELECT id, period, pos, step, g - avg(CASE WHEN period = 1 AND pos > {calibrated.SKIP} THEN g END) OVER (PARTITION BY id) AS e FROM sc),
+w AS (SELECT a.id, a.period, a.pos, a.step, sum(b.e * 0.03 * pow(0.97, a.pos - b.pos)) AS w FROM c a JOIN c b ON a.id = b.id AND a.period = b.period AND b.pos <= a.pos AND (b.period = 2 OR b.pos > {calibrated.SKIP}) GROUP BY ALL),
+d AS (SELECT id, stddev_pop(w) AS sd FROM w WHERE period = 1 AND pos > {calibrated.SKIP + 100} GROUP BY id) SELECT id, step, round(w / greatest(sd, CASE WHEN sd IS NOT NULL THEN 1e-9 END), 6) AS cal_ewma FROM w LEFT JOIN d USING (id) WHERE period = 2""")
 def _(s, d):
     return calibrated.calibrated_ewma(scored(s, d), "g").select("id", "step", *_r("cal_ewma"))
 
@@ -618,7 +675,7 @@ def _recalibrated_sql() -> str:
     out = [_HSD, ", ru AS (SELECT id, step, n, " + ", ".join(f"sum(g) OVER (PARTITION BY id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS s{w}" for w in (16, 64, 256, 1024)) + " FROM onl)"]
     terms = []
     for w in (16, 64, 256, 1024):
-        out.append(f", r{w} AS (SELECT ru.id, ru.step, s{w} * {_INV.replace('n::DOUBLE', f'least(n, {w})::DOUBLE')} AS v FROM ru JOIN hs a ON a.id = ru.id AND a.h = least(floor(log2(least(n, {w})::DOUBLE)), 9) JOIN hs b ON b.id = ru.id AND b.h = a.h + 1)")
+        out.append(f", r{w} AS (SELECT ru.id, ru.step, s{w} * {_INV.replace('n::DOUBLE', f'least(n, {w})::DOUBLE')} AS v FROM ru LEFT JOIN hs a ON a.id = ru.id AND a.h = least(floor(log2(least(n, {w})::DOUBLE)), 9) LEFT JOIN hs b ON b.id = ru.id AND b.h = a.h + 1)")
         terms.append(f"round(r{w}.v, 6) AS {'sum_z' if w == 1024 else f'w{w}'}")
     return "".join(out) + " SELECT id, step, " + ", ".join(terms) + " FROM r16 JOIN r64 USING (id, step) JOIN r256 USING (id, step) JOIN r1024 USING (id, step)"
 
@@ -628,8 +685,8 @@ def _(s, d):
     return calibrated.recalibrated(online(s, d), calibration(s, d), "g").select("id", "step", *_r("w16", "w64", "w256", "sum_z"))
 
 
-_NULL = f""", sz AS (SELECT *, least({ONLINE} - t, {HIST // 4}) AS n FROM cut WHERE {ONLINE} - t >= 50),
-st AS (SELECT id, j, n, CASE WHEN j < 0 THEN {HIST} + t ELSE 200 + ((key * 69069 + j * 1103515245) % 1000003) % ({HIST} - n - 200) END AS a FROM sz, range(-1, 40) r(j)),
+_NULL = """, wz AS (SELECT *, least(nl - t, nh // 4) AS n FROM cut WHERE nl - t >= 50),
+st AS (SELECT id, j, n, CASE WHEN j < 0 THEN nh + t ELSE 200 + ((key * 69069 + j * 1103515245) % 1000003) % (nh - n - 200) END AS a FROM wz, range(-1, 40) r(j) WHERE nh - n > 200),
 v AS (SELECT st.id, j, sum(w) / sqrt(n) AS mean, (sum(w * w) / n - 1) * sqrt(n / 2.0) AS var, (sum(abs(w)) / n - sqrt(2 / pi())) * sqrt(n) AS abs,
   sum(CASE WHEN pos > a + 1 THEN w * l END) / (n - 1) * sqrt(n) AS acf1, (sum(CASE WHEN pos > a + 1 THEN abs(w * l) END) / (n - 1) - 2 / pi()) * sqrt(n) AS vol1
   FROM st JOIN x ON x.id = st.id AND x.pos > a AND x.pos <= a + n GROUP BY st.id, j, n)
@@ -687,12 +744,13 @@ def _(s, d):
 
 @query("tst_04", f""", c AS (SELECT id, value, count_if(period = 1) AS f1, count(*) AS l FROM obs GROUP BY id, value),
 b AS (SELECT id, l, sum(l) OVER w - l / 2.0 AS b, sum(f1) OVER w - f1 / 2.0 AS m FROM c WINDOW w AS (PARTITION BY id ORDER BY value)),
-z AS (SELECT {HIST + ONLINE}::DOUBLE AS n, {HIST}::DOUBLE AS n1, {ONLINE}::DOUBLE AS n2, 2::DOUBLE AS k, 1.0::DOUBLE / {HIST} + 1.0::DOUBLE / {ONLINE} AS hs,
-  (SELECT sum(1::DOUBLE / i) FROM range(1, {HIST + ONLINE}) r(i)) AS h, (SELECT sum(1::DOUBLE / (({HIST + ONLINE} - i) * j)) FROM range(1, {HIST + ONLINE - 1}) x(i), range(2, {HIST + ONLINE}) y(j) WHERE j > i) AS g),
+ns AS (SELECT DISTINCT nh + nl AS n FROM sz), hn AS (SELECT n, sum(1::DOUBLE / i) AS h FROM ns, range(1, {2 * (HIST + ONLINE)}) r(i) WHERE i < n GROUP BY n),
+gn AS (SELECT n, sum(1::DOUBLE / ((n - i) * j)) AS g FROM ns, range(1, {2 * (HIST + ONLINE)}) x(i), range(2, {2 * (HIST + ONLINE)}) y(j) WHERE i < n - 1 AND j < n AND j > i GROUP BY n),
+z AS (SELECT id, n::DOUBLE AS n, nh::DOUBLE AS n1, nl::DOUBLE AS n2, 2::DOUBLE AS k, 1.0::DOUBLE / nh + 1.0::DOUBLE / nl AS hs, h, g FROM sz JOIN hn ON hn.n = nh + nl JOIN gn USING (n)),
 q AS (SELECT *, (4 * g - 6) * (k - 1) + (10 - 6 * g) * hs AS a, (2 * g - 4) * k * k + 8 * h * k + (2 * g - 14 * h - 4) * hs - 8 * h + 4 * g - 6 AS bb,
   (6 * h + 2 * g - 2) * k * k + (4 * h - 4 * g + 6) * k + (2 * h - 6) * hs + 4 * h AS c, (2 * h + 6) * k * k - 4 * h * k AS d FROM z)
 SELECT id, round((sum(CASE WHEN b * (n - b) - n * l / 4 > 0 THEN l / n * (pow(n * m - b * n1, 2) / n1 + pow(n * (b - m) - b * n2, 2) / n2) / (b * (n - b) - n * l / 4) ELSE 0 END) * (max(n) - 1) / max(n) - 1)
-  / sqrt(max((a * n * n * n + bb * n * n + c * n + d) / ((n - 1) * (n - 2) * (n - 3)))), 5) AS ad FROM b, q GROUP BY id""")
+  / sqrt(max((a * n * n * n + bb * n * n + c * n + d) / ((n - 1) * (n - 2) * (n - 3)))), 5) AS ad FROM b JOIN q USING (id) GROUP BY id""")
 def _(s, d):
     return stats.anderson_darling(observations(s, d)).select("id", F.round("ad", 5).alias("ad"))
 
@@ -732,17 +790,16 @@ def _(s, d):
     return stats.spread(stats.bootstrap_auc(rows, _key(), draws=20, size=6)).select(*_r("mean", "sd", "q05", "q95"))
 
 
-_TAIL = HIST - min(500, HIST // 3)
-
-
-@query("trn_05_jon_04_jon_05", f""", ps AS (SELECT id, (pos - {_TAIL + 1}) // 4 AS j, g AS s FROM sc WHERE pos > {_TAIL} AND pos <= {HIST} AND (pos - {_TAIL + 1}) % 4 = 0),
+@query("trn_05_jon_04_jon_05", """, tl AS (SELECT id, nh, nh - least(500, nh // 3) AS tail FROM sz), ps AS (SELECT id, (pos - tail - 1) // 4 AS j, g AS s FROM sc JOIN tl USING (id) WHERE pos > tail AND pos <= tl.nh AND (pos - tail - 1) % 4 = 0),
 w AS (SELECT id, count(*) AS c, avg(s) AS ma, greatest(stddev_pop(s), 1e-3) AS sa, quantile_cont(s, 0.9) AS q FROM ps GROUP BY id),
 r AS (SELECT id, j, s AS pa, avg(s) OVER (PARTITION BY id ORDER BY j) AS mt FROM ps)
 SELECT o.id, o.step, round(g, 6) AS s, round(ln(1 + o.step), 6) AS logt, round(pa, 6) AS p_at, round(mt, 6) AS p_mean_to, round(ma, 6) AS p_mean, round(sa, 6) AS p_sd, round(q, 6) AS p_q90,
   round(g - pa, 6) + 0.0 AS s_m_at, round(g - mt, 6) AS s_m_meanto, round((g - ma) / sa, 6) AS s_z FROM onl o JOIN w ON w.id = o.id JOIN r ON r.id = o.id AND r.j = least(o.step // 4, c - 1)""")
 def _(s, d):
     z = scored(s, d)
-    pseudo = z.filter((F.col("period") == 1) & (F.col("pos") > _TAIL)).select("id", (F.col("pos") - _TAIL - 1).alias("step"), F.col("g").alias("s")).filter("step % 4 = 0")
+    nh = F.max(F.when(F.col("period") == 1, F.col("pos"))).over(Window.partitionBy("id"))
+    past = z.withColumn("_t", nh - F.least(F.lit(500), F.floor(nh / 3))).filter((F.col("period") == 1) & (F.col("pos") > F.col("_t")))
+    pseudo = past.select("id", (F.col("pos") - F.col("_t") - 1).alias("step"), F.col("g").alias("s")).filter("step % 4 = 0")
     out = calibrated.stage2_features(z.filter("period = 2").select("id", "step", F.col("g").alias("s")), pseudo)
     return out.select("id", "step", *_r(*out.columns[2:])).withColumn("s_m_at", F.col("s_m_at") + 0.0)
 
@@ -750,25 +807,60 @@ def _(s, d):
 @query("agg_25_full")
 def _(s, d):
     """The bootstrap's defaults: 200 draws of up to 100 series."""
-    return stats.spread(stats.bootstrap_auc(labelled(s, d, rest=True).withColumn("score", F.col("g")), _key())).select(*_r("mean", "sd", "q05", "q95"))
+    return stats.spread(stats.bootstrap_auc(labelled(s, d).withColumn("score", F.col("g")), _key())).select(*_r("mean", "sd", "q05", "q95"))
 
 
 @query("tst_11_scales")
 def _(s, d):
     """The variance ratio's defaults: all scales up to 128."""
-    return stats.variance_ratio(scored(s, d, rest=True), cuts(s, d, rest=True), "z").select("id", "scale", *_r("vr_z", "dlog_vr"))
+    return stats.variance_ratio(scored(s, d), cuts(s, d), "z").select("id", "scale", *_r("vr_z", "dlog_vr"))
 
 
-_NAMES = STREAMS + ["sum_z", "log_n", "w16", "w64", "w256", "cusum_up", "cusum_dn", "ewma", "glr", "glr_age"] + bayes.COLUMNS
+_NAMES = features.FEATURES
+
+
+@query("fit_05_matrix")
+def _(s, d):
+    """The matrix of 417 features of every online row."""
+    return features.feature_matrix(observations(s, d))
+
+
+_STD = ["z", "z2", "g", "g2", "absg", "g4", "tail", "gg1", "zz1", "absdz", "dz2", "vol1", "g3", "vol5", "upper", "center", "gg10"]
+
+
+def _standardised_sql() -> str:
+    raw = {
+        "z": "z", "z2": "z * z", "g": "g", "g2": "g * g", "absg": "abs(g)", "g4": "least(pow(g, 4), 50)", "tail": "(abs(g) > 1.6448536269514722)::INT", "gg1": "g * lag(g) OVER w", "zz1": "z * lag(z) OVER w",
+        "absdz": "abs(z - lag(z) OVER w)", "dz2": "pow(z - lag(z) OVER w, 2)", "vol1": "abs(g) * abs(lag(g) OVER w)", "g3": "g * g * g", "vol5": "abs(g) * abs(lag(g, 5) OVER w)", "upper": "(g > 0)::INT",
+        "center": "(abs(g) < 0.2533471031357997)::INT", "gg10": "g * lag(g, 10) OVER w",
+    }
+    cols = ", ".join(f"({e})::DOUBLE AS {n}" for n, e in raw.items())
+    wide = ", ".join(f"round(max(CASE WHEN stream = '{n}' THEN s END), 5) + 0.0 AS {n}_sum, round(max(CASE WHEN stream = '{n}' THEN v END), 5) + 0.0 AS {n}_w64" for n in _STD)
+    return f""", ws AS (SELECT id, period, pos, step, {cols} FROM sc WINDOW w AS (PARTITION BY id ORDER BY pos)),
+lg AS (UNPIVOT ws ON {", ".join(_STD)} INTO NAME stream VALUE x),
+hi AS (SELECT id, stream, pos, x - avg(x) OVER p AS d, avg(x) OVER p AS mu, count(*) OVER p AS n FROM lg WHERE period = 1 AND pos > {features.LAGS} WINDOW p AS (PARTITION BY id, stream)),
+ac AS (SELECT a.id, a.stream, j, max(a.mu) AS mu, max(a.n) AS n, ceil(pow(max(a.n), 1 / 3.0::DOUBLE) - 1e-9) AS m, sum(a.d * b.d) / max(a.n) AS gj FROM hi a JOIN (SELECT unnest(range(0, 30)) AS j) ON TRUE JOIN hi b ON b.id = a.id AND b.stream = a.stream AND b.pos = a.pos - j GROUP BY ALL),
+nu AS (SELECT id, stream, max(mu) AS mu, CASE WHEN max(CASE WHEN j = 0 THEN gj END) <= 0 THEN 1e-6 ELSE sqrt(greatest(sum(CASE WHEN j = 0 THEN gj WHEN j <= m THEN 2 * (1 - j / (m + 1.0)) * gj ELSE 0 END), 0.1 * max(CASE WHEN j = 0 THEN gj END))) END AS sd FROM ac GROUP BY id, stream),
+es AS (SELECT lg.id, stream, step, (x - mu) / sd AS e FROM lg JOIN nu USING (id, stream) WHERE period = 2),
+st AS (SELECT id, stream, step, sum(e) OVER (PARTITION BY id, stream ORDER BY step) / sqrt(step + 1) AS s, sum(e) OVER (PARTITION BY id, stream ORDER BY step ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) / sqrt(least(step + 1, 64)) AS v FROM es)
+SELECT id, step, round(ln(step + 1), 5) AS log_n, {wide} FROM st GROUP BY id, step"""
+
+
+@query("fit_05_analytic", _standardised_sql())
+def _(s, d):
+    """Sums and windows of the matrix for the streams that SQL can say."""
+    m = features.feature_matrix(observations(s, d))
+    return m.select("id", "step", *[(F.round(c, 5) + 0.0).alias(c) for c in ["log_n", *[f"{n}_{k}" for n in _STD for k in ("sum", "w64")]]])
 
 
 def training_rows(s, d) -> DataFrame:
-    """Labelled online rows with every built feature; kept, as each fit reads them."""
-    obs = observations(s, d, rest=True)
-    on = windows.running_z(all_streams(s, d), "g")
-    on = windows.glr(windows.ewma(windows.cusum(windows.windowed_z(on, "g"), "g2", 1.1), "g"), "g")
-    wide = on.join(bayes.bayes_factors(scored(s, d, rest=True)).select("id", "step", *bayes.COLUMNS), ["id", "step"], "left")
-    return wide.join(src.labels(obs, break_index(obs)), ["id", "step"]).select("id", "step", "label", *_NAMES).persist()
+    """Labelled rows of the matrix, every second online step of each series and of two copies with a later start; kept, as each fit reads them."""
+    obs = observations(s, d)
+    moved = shifted(obs, break_index(obs), 2).withColumn("_id", F.col("id")).withColumn("id", F.concat_ws("#", "id", "copy"))
+    index = moved.groupBy("id").agg(F.first("_id").alias("series"), F.first("copy").alias("copy"), F.first("tau").alias("tau"))
+    rows = features.feature_matrix(moved.select("id", "period", "pos", "step", "value"), stride=2).join(index, "id")
+    label = ((F.col("tau") >= 0) & (F.col("step") >= F.col("tau"))).cast("int").alias("label")
+    return rows.select(F.col("series").alias("id"), "copy", "step", label, *_NAMES).persist()
 
 
 @query("trn_07_trn_12")
@@ -779,7 +871,7 @@ def _(s, d):
     rows = training_rows(s, d)
     part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2))
     models = ensemble.fit(rows.filter(part == 0), _NAMES)
-    return ensemble.score(rows.filter(part == 1), _NAMES, models).select("id", "step", "label", "score")
+    return ensemble.score(rows.filter((part == 1) & (F.col("copy") == 0)), _NAMES, models).select("id", "step", "label", "score")
 
 
 @query("trn_10")
@@ -800,7 +892,7 @@ def _(s, d):
 
 
 def _has_break(s, d) -> DataFrame:
-    return break_index(observations(s, d, rest=True)).select("id", (F.col("tau") >= 0).cast("int").alias("label"))
+    return break_index(observations(s, d)).select("id", (F.col("tau") >= 0).cast("int").alias("label"))
 
 
 @query("tst_13")
@@ -808,10 +900,10 @@ def _(s, d):
     """AUC of breaks told from the history's shape alone."""
     from ..operators import ensemble
 
-    shape = observations(s, d, rest=True).filter("period = 1").groupBy("id").agg(
+    shape = observations(s, d).filter("period = 1").groupBy("id").agg(
         F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count_distinct("value") / F.count("*")).alias("distinct_ratio"),
         F.ln(F.count("*")).alias("log_n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-    ).join(stats.quarter_moments(observations(s, d, rest=True).filter("period = 1")), "id")
+    ).join(stats.quarter_moments(observations(s, d).filter("period = 1")), "id")
     names = [c for c in shape.columns if c != "id"]
     return ensemble.predictability(shape.join(_has_break(s, d), "id").persist(), names).select(*_r("auc"))
 
@@ -821,7 +913,7 @@ def _(s, d):
     """AUC of breaks told from raw and calibrated statistics of the window after the cut."""
     from ..operators import ensemble
 
-    wide = calibrated.null_windows(scored(s, d, rest=True), cuts(s, d, rest=True), "g", _key())
+    wide = calibrated.null_windows(scored(s, d), cuts(s, d), "g", _key())
     names = [f"{c}_{k}" for c in calibrated.NULL_STATS for k in ("z", "cal")]
     return ensemble.predictability(wide.join(_has_break(s, d), "id").persist(), names).select(*_r("auc"))
 
@@ -831,4 +923,5 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return dict(_SQL)
+    texts = {name: sql() if callable(sql) else sql for name, sql in _SQL.items()}
+    return {name: sql if "FROM events" in sql else OBS + sql for name, sql in texts.items()}

@@ -10,21 +10,43 @@ NO_BREAK = -1
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("period", T.ByteType()), T.StructField("value", T.FloatType())])
 
 
-def chunked(df: DataFrame, key: str, order: str, value: str, hist: int, online: int, rest: bool = True) -> DataFrame:
-    """Cut each key's rows, in order, into series of ``hist`` and ``online`` points. One shuffle.
+#: Rows of a range of the order column; a key's rows are numbered range by range.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 1000
 
-    With ``rest`` all rows enter: those after the last full series make its online part longer, and a key
-    of fewer rows than a series is one short series, its history the same share (one point at least).
-    Without, only full series stay.
+
+def numbered(df: DataFrame, key: str, order: str, ranges: int | None = None) -> DataFrame:
+    """``df`` plus _r, the place of a row among those of its key (from 0), and _n, how many these are.
+
+    Rows are ranked in ranges of ``order`` (a number), and the counts of earlier ranges are added, so a key with most of the
+    rows is spread over as many tasks as there are ranges. ``ranges`` follows the count of rows; it changes no result.
+    """
+    if ranges is None:
+        ranges = min(MOST_RANGES, -(-df.count() // RANGE_ROWS))
+    part = F.lit(0)
+    if ranges > 1:
+        cuts = df.select(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10 * ranges)).head()[0]
+        # ranges - 1 numbers at most
+        part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order)))
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy(key, "_part").agg(F.count("*").alias("_c"))
+    of_key = Window.partitionBy(key).orderBy("_part")
+    before = F.coalesce(F.sum("_c").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1)
+    joined = ranked.join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_r", F.col("_r") + F.col("_before")).drop("_part", "_p", "_key", "_before")
+
+
+def chunked(df: DataFrame, key: str, order: str, value: str, hist: int, online: int, ranges: int | None = None) -> DataFrame:
+    """Cut each key's rows, in order, into series of ``hist`` and ``online`` points. All rows enter.
+
+    Those after the last full series make its online part longer, and a key of fewer rows than a series is one
+    short series, its history the same share (one point at least).
     """
     size = hist + online
-    row = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = df.select(F.col(key).alias("_k"), row.alias("_r"), F.count("*").over(Window.partitionBy(key)).alias("_n"), F.col(value).cast("double").alias("value"))
-    chunk, full = F.floor(F.col("_r") / size), F.floor(F.col("_n") / size)
-    if rest:
-        chunk = F.least(chunk, F.greatest(full - 1, F.lit(0)))
-    else:
-        rows = rows.filter(chunk < full)
+    rows = numbered(df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(value).cast("double").alias("value")), "_k", "_o", ranges)
+    full = F.floor(F.col("_n") / size)
+    chunk = F.least(F.floor(F.col("_r") / size), F.greatest(full - 1, F.lit(0)))
     rows = rows.select("_k", "_n", chunk.cast("int").alias("chunk"), (F.col("_r") - chunk * size + 1).cast("int").alias("pos"), "value")
     h = F.when(F.col("_n") >= size, F.lit(hist)).otherwise(F.greatest(F.floor(F.col("_n") * hist / size), F.lit(1))).cast("int")
     return rows.withColumn("_h", h).select(

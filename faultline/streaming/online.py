@@ -82,3 +82,13 @@ def calibrated_statistics(stream: DataFrame, params: DataFrame, widths: tuple[in
     joined = stream.join(params, "id")
     schema = "id string, pos long, " + ", ".join(f"{c} double" for c in columns)
     return joined.groupBy("id").applyInPandasWithState(step, schema, "n long, ew double, ring array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def score_stream(stream: DataFrame, nulls: DataFrame, models: list) -> DataFrame:
+    """id, pos, score: the averaged ensemble's log-odds for each row (id, pos, value) of a stream, as soon as it is there.
+
+    ``nulls`` are the fitted histories (``features.fit_nulls``); features and scores see nothing later than their row.
+    """
+    from ..operators import ensemble, features
+
+    return ensemble.score(features.stream_features(stream, nulls), features.FEATURES, models).select("id", "pos", "score")
