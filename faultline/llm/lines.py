@@ -1,14 +1,16 @@
 """Line deduplication with levelled sorted runs of line hashes (operator 6), DataFrame functions only.
 
-Documents come in batches of ascending doc_id. A run is a written table of (h1, h2, owner) sorted by
-hash: a line's 128-bit hash and the smallest doc_id that held it. For a batch, the hashes of its lines
-are merge-anti-joined with the runs, what is new becomes a run of level 0, and the batch's lines
-are joined with all runs: a line whose owner is another document goes. When ``FAN_IN`` runs of a
-level have gathered, they are merged into one run of the next, so n batches leave O(log n) runs and
-each hash is rewritten O(log n) times.
+Documents come in batches of ascending doc_id. A run is a table of (h1, h2, owner): a line's 128-bit
+hash and the smallest doc_id that held it, bucketed by hash with one sorted file a bucket. A
+batch's lines are reduced to one row a hash, which is merge-joined with every run: runs are read in
+their order, without exchange or sort. What no run holds is new and becomes a run of level 0
+(the anti-join); what a run holds, or two documents of the batch, is a repeated line, and only
+such hashes are joined with the batch's lines. When ``FAN_IN`` runs of a level have gathered, they are
+merge-joined into one run of the next, so n batches leave O(log n) runs and each hash is rewritten
+O(log n) times.
 
 A hash that a third of all documents hold is one row after map-side aggregation; in the join of
-lines with runs, both sides are plain exchanges, so adaptive execution splits its partition.
+lines with repeated hashes, both sides are plain exchanges, so adaptive execution splits its partition.
 """
 
 from __future__ import annotations
@@ -51,23 +53,34 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class Runs:
-    """Levelled sorted runs of (h1, h2, owner)."""
+    """Levelled sorted runs of (h1, h2, owner), disjoint in their hashes."""
 
-    def __init__(self, fan_in: int = FAN_IN):
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.buckets = store.partitions(spark)
         self.levels: list[list[DataFrame]] = []
-        self.fan_in = fan_in
 
-    def all(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
-
-    def add(self, batch: DataFrame) -> None:
-        """New hashes of a batch (h1, h2, owner, one row each) become a run; full levels are compacted."""
-        older = self.all()
-        fresh = batch if older is None else batch.join(older.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._put(0, store.written(fresh.sortWithinPartitions("h1", "h2")))
+    def met(self, hashes: DataFrame) -> DataFrame:
+        """``hashes`` (h1, h2, one row each) plus known, the owner in the run that holds the hash, and old, whether one does."""
+        known, old, out = F.lit(None).cast("long"), F.lit(False), hashes
+        for k, run in enumerate(r for level in self.levels for r in level):
+            side = run.select("h1", "h2", F.col("owner").alias(f"_o{k}"), F.lit(True).alias(f"_m{k}"))
+            out = out.join(side.hint("merge"), ["h1", "h2"], "left")
+            known, old = F.coalesce(known, f"_o{k}"), old | F.coalesce(f"_m{k}", F.lit(False))
+        return out.select(*hashes.columns, known.alias("known"), old.alias("old"))
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """New hashes of a batch (h1, h2, owner, some, one row each) become a run; full levels are compacted.
+
+        Returns the hashes whose lines may go (h1, h2, owner): some document of the batch is not the owner.
+        """
+        with store.ordered(self.spark):
+            merged = store.bucketed(self.met(batch), ["h1", "h2"], self.buckets)
+            run = store.bucketed(merged.filter(~F.col("old")).select("h1", "h2", "owner"), ["h1", "h2"], self.buckets)
+            repeated = store.written(merged.filter(F.col("old") | F.col("some")).select("h1", "h2", F.when(F.col("old"), F.col("known")).otherwise(F.col("owner")).alias("owner")))
+        store.dropped(merged)
+        self._put(0, run)
+        return repeated
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -75,21 +88,24 @@ class Runs:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fan_in:
             old = self.levels[level]
+            self.levels[level] = []
             merged = old[0]
+            # runs hold disjoint hashes, so a full merge join keeps every row of both
             for r in old[1:]:
-                merged = merged.unionByName(r)
-            self.levels[level] = []
-            # runs hold disjoint hashes, so a merge keeps every row
-            self._put(level + 1, store.written(merged.repartition(store.partitions(merged.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2")))
+                merged = merged.select(*merged.columns, F.lit(True).alias("_m")).join(r.withColumnRenamed("owner", "_o").hint("merge"), ["h1", "h2"], "full")
+                merged = merged.select("h1", "h2", F.when(F.col("_m"), F.col("owner")).otherwise(F.col("_o")).alias("owner"))
+            with store.ordered(self.spark):
+                run = store.bucketed(merged, ["h1", "h2"], self.buckets)
             for r in old:
                 store.dropped(r)
+            self._put(level + 1, run)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame | None:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, _t, gone: positions (from 0) of the lines that each document loses."""
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).head()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    runs, parts = Runs(fan_in), []
+    runs, parts = Runs(docs.sparkSession, fan_in), []
     # rows without doc_id come last: they own a line only among themselves, and then keep it
     for i in range(len(cuts) + 1):
         part = docs
@@ -98,30 +114,35 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
         if i < len(cuts):
             part = part.filter(F.col("doc_id") <= cuts[i])
         lines = _lines(part, min_chars)
-        runs.add(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner")))
-        found = lines.join(runs.all(), ["h1", "h2"]).filter(F.col("owner").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner")))
-        parts.append(store.written(found.select("doc_id", "_t", "pos").distinct()) if i < len(cuts) else found.select("doc_id", "_t", "pos").distinct())
+        some = (F.min("doc_id") < F.max("doc_id")) | (F.count("doc_id") < F.count("*"))
+        repeated = runs.add(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.coalesce(some, F.lit(False)).alias("some")))
+        found = lines.join(repeated, ["h1", "h2"]).filter(F.col("owner").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner")))
+        parts.append(store.written(found.select("doc_id", "_t", "pos").distinct()))
+        store.dropped(repeated)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("doc_id", "_t").agg(F.collect_list("pos").alias("gone"))
 
 
+@store.tidy
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines gone from text, plus n_lines (before) and n_dropped.
 
     Lines are split at line feeds; a null text is one empty line. Rows that share doc_id are one
-    document to the rule. All other columns stay.
+    document to the rule. All other columns stay, whatever their names, but for those called
+    n_lines or n_dropped, which are replaced.
     """
     gone = dropped_lines(docs.select("doc_id", "text"), **options)
-    left = docs.withColumn("_t", F.xxhash64("text"))
-    right = gone.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "gone")
-    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")), "left")
+    t, d, u, g = store.spare(docs.columns, "_t", "_d", "_u", "gone")
+    left = docs.withColumn(t, F.xxhash64("text"))
+    right = gone.select(F.col("doc_id").alias(d), F.col("_t").alias(u), F.col("gone").alias(g))
+    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(u)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    gone_or_none = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_or_none)
-    text = F.when(F.size(gone_or_none) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumns({"text": text, "n_lines": F.size(lines).cast("long"), "n_dropped": F.size(gone_or_none).cast("long")}).drop("_t", "_d", "_u", "gone")
+    none = F.coalesce(g, F.array().cast("array<int>"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), none)
+    text = F.when(F.size(none) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return joined.withColumns({"text": text, "n_lines": F.size(lines).cast("long"), "n_dropped": F.size(none).cast("long")}).drop(t, d, u, g)
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
