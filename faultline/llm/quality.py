@@ -5,8 +5,8 @@ max-pooled over overlapping chunks of two blocks of ``BLOCK`` places each, that
 these gives a chunk's vector. Mean, maximum and minimum over a text's chunks enter a logistic
 unit. As the first layer sees one-hot bytes, a filter is a sum of table rows, one a byte.
 
-The network learns from at most ``SAMPLE`` labelled rows (a documented bound), cut to ``CROPS`` windows
-of ``CROP`` characters spread over the text; scoring always covers the whole text.
+The network learns from whole texts of at most ``SAMPLE`` labelled rows, the first by a hash of doc_id whose texts have
+``SAMPLE_CHARS`` characters at most together (documented bounds on the sample); scoring covers all texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from . import store
 from .tokens import groups_of
 
 FILTERS, SPAN, BLOCK = 16, 5, 128
-SAMPLE, CROPS, CROP = 6000, 4, 1024
+SAMPLE, SAMPLE_CHARS = 6000, 24_000_000
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.02, 7
 _PAD = 256
 
@@ -147,19 +147,29 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteCnn:
-    """Fit on at most ``sample`` labelled rows, the first by md5 of doc_id, that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> ByteCnn:
+    """Fit on whole texts of at most ``sample`` labelled rows, the first by md5 of doc_id, that aren't held out.
 
-    Rows without label or doc_id are left out; of several labels of one document the largest counts. Without labels every text scores 0.5.
+    Of these, rows enter up to the one that would take their texts beyond ``sample_chars`` characters together. Rows without
+    label or doc_id are left out; of several labels of one document the largest counts, of several texts the smallest by
+    hash. Without labels every text scores 0.5.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
-    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
-    whole = CROPS * CROP
-    spread = F.concat(*[F.substring(text, (n * i / CROPS).cast("int") + 1, F.lit(CROP)) for i in range(CROPS)])
-    # at most `sample` rows of at most CROPS * CROP characters reach the driver
-    rows = docs.select("doc_id", F.when(n <= whole, text).otherwise(spread).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return ByteCnn().fit([r["text"].encode() for r in rows], [int(r["quality"]) for r in rows])
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    chosen = known.orderBy(order, "doc_id").limit(sample)
+    text = F.coalesce("text", F.lit(""))
+    met = docs.select("doc_id", text.alias("text"), F.length(text).alias("n")).join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id", "quality").agg(F.min_by("n", F.xxhash64("text")).alias("n"))
+    ids, total = {}, 0
+    for r in one.orderBy(order, "doc_id").collect():  # at most `sample` rows of numbers
+        total += r["n"]
+        if total > sample_chars:
+            break
+        ids[r["doc_id"]] = int(r["quality"])
+    picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    # at most `sample` rows of `sample_chars` characters together reach the driver
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").collect()
+    return ByteCnn().fit([r["text"].encode() for r in rows], [ids[r["doc_id"]] for r in rows])
 
 
 def score(docs: DataFrame, model: ByteCnn, text: str = "text") -> DataFrame:
