@@ -13,82 +13,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .words import grams, text_hashes
+from .words import _powers, grams, text_hashes
 
-MIN_MATCH, COVERAGE, START = 5, 0.8, 32
+MIN_MATCH, COVERAGE = 5, 0.8
 #: Benchmarks of at most so many characters are sent to every task; larger ones are joined by seed.
 BROADCAST_CHARS = 16_000_000
-_MOD, _BASE = (1 << 61) - 1, 1_000_003
 SCHEMA = "doc_id long, item_id long, n_tiles int, covered int, n_words int, coverage double"
 
 
-def _prefix(a: list[int]) -> list[int]:
-    out = [0]
-    for x in a:
-        out.append((out[-1] * _BASE + x) % _MOD)
+def _prefix(x):
+    """Sums of powers of an odd base, mod 2 ** 64, of the words before each place."""
+    import numpy as np
+
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * _powers(len(x) + 1)[0][: len(x)], out=out[1:])
     return out
 
 
-def tiles(a: list[int], b: list[int], least: int = MIN_MATCH, start: int = START) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, length) of greedy tiles of at least ``least`` equal words."""
-    pa, pb = _prefix(a), _prefix(b)
-    free_a, free_b = bytearray(b"\1") * len(a), bytearray(b"\1") * len(b)
-    out, s = [], max(least, min(start, len(b)))
+def _windows(sums, free, s: int):
+    """Places where ``s`` free words begin, and the Karp-Rabin hash of these words."""
+    import numpy as np
+
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(taken[s:] == taken[: len(taken) - s])
+    return at, (sums[at + s] - sums[at]) * _powers(len(sums))[1][at]
+
+
+def _matches(a, b, sums_a, sums_b, free_a, free_b, s: int):
+    """(length, place in a, place in b) of runs of ``s`` or more equal free words that can't begin earlier, longest first."""
+    import numpy as np
+
+    at_a, h_a = _windows(sums_a, free_a, s)
+    at_b, h_b = _windows(sums_b, free_b, s)
+    order = np.argsort(h_b, kind="stable")
+    at_b, h_b = at_b[order], h_b[order]
+    lo, hi = np.searchsorted(h_b, h_a), np.searchsorted(h_b, h_a, "right")
+    at_a, lo, hi = at_a[hi > lo], lo[hi > lo], hi[hi > lo]
+    open_, found = {}, []  # runs by diagonal: begin in a, and where the last window began
+    for k, x, y in zip(at_a.tolist(), lo.tolist(), hi.tolist()):
+        met = {}
+        for j in at_b[x:y].tolist():
+            d = k - j
+            begin, last = open_.get(d, (k, k))
+            if last < k - 1:
+                found.append((last + s - begin, begin, begin - d))
+                begin = k
+            met[d] = begin, k
+        open_.update(met)
+    found += [(last + s - begin, begin, begin - d) for d, (begin, last) in open_.items()]
+    return sorted((x for x in found if (a[x[1] : x[1] + x[0]] == b[x[2] : x[2] + x[0]]).all()), key=lambda x: (-x[0], x[1], x[2]))
+
+
+def tiles(a, b, least: int = MIN_MATCH, gaps=None) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of greedy tiles of at least ``least`` equal words; no tile covers a place in ``gaps`` of a.
+
+    A round hashes all free runs of s words (Karp-Rabin) and joins equal ones on their diagonals; longest runs are marked
+    first, and of a run that another tile has cut, each free part that is long enough is. s begins at the length of b, so that a text
+    of one repeated word costs no more than its length, and falls by half from round to round.
+    """
+    import numpy as np
+
+    a, b = np.asarray(a, np.uint64), np.asarray(b, np.uint64)
+    sums_a, sums_b = _prefix(a), _prefix(b)
+    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    if gaps is not None:
+        free_a[gaps] = False
+    out, s = [], max(least, len(b))
     while True:
-        power = pow(_BASE, s, _MOD)
-        longest = 0
-        at: dict[int, list[int]] = {}
-        run = 0
-        for j in range(len(b)):
-            run = run + 1 if free_b[j] else 0
-            if run >= s:
-                k = j - s + 1
-                at.setdefault((pb[k + s] - pb[k] * power) % _MOD, []).append(k)
-        found, run = [], 0
-        for i in range(len(a)):
-            run = run + 1 if free_a[i] else 0
-            if run < s:
-                continue
-            k = i - s + 1
-            for j in at.get((pa[k + s] - pa[k] * power) % _MOD, ()):
-                n = 0
-                while k + n < len(a) and j + n < len(b) and a[k + n] == b[j + n] and free_a[k + n] and free_b[j + n]:
-                    n += 1
-                if n >= s:
-                    found.append((n, k, j))
-                    longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for n, k, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            while n >= s and not (free_a[k] and free_b[j]):
-                n, k, j = n - 1, k + 1, j + 1
-            m = 0
-            while m < n and free_a[k + m] and free_b[j + m]:
-                m += 1
-            if m >= s:
-                free_a[k : k + m] = free_b[j : j + m] = bytes(m)
-                out.append((k, j, m))
+        for n, k, j in _matches(a, b, sums_a, sums_b, free_a, free_b, s) if min(free_a.sum(), free_b.sum()) >= s else ():
+            both = free_a[k : k + n] & free_b[j : j + n]
+            edge = np.flatnonzero(np.diff(both, prepend=False, append=False))
+            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if y - x >= s:
+                    free_a[k + x : k + y] = free_b[j + x : j + y] = False
+                    out.append((k + x, j + x, y - x))
         if s == least:
             return out
         s = max(least, s // 2)
 
 
-def _pair(doc: list[int], item: list[int], least: int) -> tuple[int, int]:
-    got = tiles(doc, item, least)
-    return len(got), sum(n for _, _, n in got)
-
+def _pair(h, hits, item, least: int) -> tuple[int, int]:
+    """Tiles and covered words of a pair. Only words of the document's seeds in the item can be touched; what lies between is a gap."""
+    import numpy as np
 
-def _near(hits, n: int, least: int) -> list[int]:
-    """Places that a tile can touch: all words of the seeds hit, with gaps kept as breaks (-1)."""
-    out, last = [], -1
-    for p in hits:
-        a = max(last + 1, p)
-        if p > last + 1 and out:
-            out.append(-1)
-        out.extend(range(a, min(n, p + least)))
-        last = max(last, min(n, p + least) - 1)
-    return out
+    near = np.unique((np.asarray(hits)[:, None] + np.arange(least)).ravel())
+    near = near[near < len(h)]
+    # one gap where places are not consecutive
+    jump = np.flatnonzero(np.diff(near) > 1) + 1
+    got = tiles(np.insert(h[near], jump, 0), item, least, gaps=jump + np.arange(len(jump)))
+    return len(got), sum(n for _, _, n in got)
 
 
 class Index:
@@ -104,7 +117,7 @@ class Index:
         for row, (item, text) in enumerate(items):
             h = text_hashes(text)
             if len(h):
-                self.items[row] = item, [int(x) for x in h]
+                self.items[row] = item, h
                 n = min(least, len(h))
                 by.setdefault(n, []).append((grams(h, n), row))
         self.by = {}
@@ -131,14 +144,14 @@ class Index:
                 for row in dict.fromkeys(owner[x:y].tolist()):
                     places.setdefault(row, []).append(p)
             for row, hits in places.items():
-                near = [int(h[p]) if p >= 0 else -1 for p in _near(hits, len(h), n)]
                 item, words = self.items[row]
-                k, covered = _pair(near, words, n)
+                k, covered = _pair(h, hits, words, n)
                 size = len(words)
                 if covered >= coverage * size:
                     yield item, k, covered, size, covered / size
 
 
+@store.tidy
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Pairs of a document and a benchmark item that it covers: doc_id, item_id, n_tiles, covered, n_words, coverage.
 
@@ -165,6 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+@store.tidy
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """``docs`` (any columns, among them doc_id and text) without the rows that cover a benchmark item."""
     spark = docs.sparkSession
@@ -172,8 +186,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.length("text") + 50), F.lit(0))).head()[0]
     if size > broadcast_chars:
-        found = _pairs(docs, items, least, coverage).select("_doc").distinct().withColumnRenamed("_doc", "_leak")
-        return docs.join(found, _content("text") == F.col("_leak"), "left_anti")
+        (leak,) = store.spare(docs.columns, "_leak")
+        found = _pairs(docs, items, least, coverage).select(F.col("_doc").alias(leak)).distinct()
+        return docs.join(found, _content("text") == F.col(leak), "left_anti")
     rows = [(r[0], r[1]) for r in items.collect()]  # of a size just checked
 
     def run(batches):
@@ -199,7 +214,9 @@ def _content(text: str):
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def _seeds(rows: DataFrame, key: str, least: int) -> DataFrame:
+def _seeds(rows: DataFrame, key: str, least: int, lengths: list[int]) -> DataFrame:
+    """key, n, seed: a text's distinct seeds, for documents of each of the ``lengths``, for items of the item's own."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -207,9 +224,8 @@ def _seeds(rows: DataFrame, key: str, least: int) -> DataFrame:
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = text_hashes(t)
-                # short items are rare and short seeds too: one set for each length below the least
-                g = [np.unique(grams(h, n)) for n in range(1, least + 1)] if key == "_doc" else [np.unique(grams(h, min(least, len(h))))] if len(h) else []
-                sizes = range(1, least + 1) if key == "_doc" else [min(least, len(h))]
+                sizes = lengths if key == "_doc" else [min(least, len(h))] * (len(h) > 0)
+                g = [np.unique(grams(h, n)) for n in sizes]
                 for n, x in zip(sizes, g):
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array([k] * len(x), pa.string()), pa.array([n] * len(x), pa.int32()), pa.array(x.view("<i8"))], [key, "n", "seed"])
@@ -221,7 +237,9 @@ def _pairs(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> Da
     """_doc, _item (contents) and the figures of each leaking pair of texts; equal texts are one. Seeds are joined, then the texts of each pair."""
     doc = docs.select(_content("text").alias("_doc"), "text").filter(F.col("text").isNotNull())
     item = items.select(_content("text").alias("_item"), "text").dropDuplicates(["_item"])
-    met = store.written(_seeds(doc, "_doc", least).join(_seeds(item, "_item", least), ["n", "seed"]).select("_doc", "_item").distinct())
+    seeds = store.written(_seeds(item, "_item", least, []))
+    lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # at most ``least`` numbers
+    met = store.written(_seeds(doc, "_doc", least, lengths).join(seeds, ["n", "seed"]).select("_doc", "_item").distinct())
     one = doc.join(met.select("_doc").distinct(), "_doc", "left_semi").dropDuplicates(["_doc"])  # few texts meet an item
     texts = met.join(one.withColumnRenamed("text", "doc"), "_doc").join(item.withColumnRenamed("text", "item"), "_item")
 
