@@ -300,11 +300,11 @@ def _(s, d):
 
 
 _LRV = """, d AS (SELECT id, pos, g - avg(g) OVER (PARTITION BY id) AS d, count(*) OVER (PARTITION BY id) AS n FROM sc WHERE period = 1), e AS (SELECT *, ceil(pow(n, 1 / 3.0::DOUBLE) - 1e-9) AS m FROM d),
-l AS (SELECT a.id, j, max(a.m) AS m, sum(a.d * b.d) / max(a.n) AS gj FROM e a JOIN (SELECT unnest(range(0, 100)) AS j) ON j <= a.m JOIN e b ON a.id = b.id AND b.pos = a.pos - j GROUP BY a.id, j)
-SELECT id, round(CASE WHEN max(CASE WHEN j = 0 THEN gj END) <= 0 THEN 1e-6 ELSE sqrt(greatest(sum(CASE WHEN j = 0 THEN gj ELSE 2 * (1 - j / (m + 1.0)) * gj END), 0.1 * max(CASE WHEN j = 0 THEN gj END))) END, 6) AS lrsd FROM l GROUP BY id"""
+l AS (SELECT a.id, j, max(a.m) AS m, sum(a.d * b.d) / max(a.n) AS gj FROM e a JOIN (SELECT unnest(range(0, 100)) AS j) ON j <= a.m JOIN e b ON a.id = b.id AND b.pos = a.pos - j GROUP BY a.id, j),
+lr AS (SELECT id, CASE WHEN max(CASE WHEN j = 0 THEN gj END) <= 0 THEN 1e-6 ELSE sqrt(greatest(sum(CASE WHEN j = 0 THEN gj ELSE 2 * (1 - j / (m + 1.0)) * gj END), 0.1 * max(CASE WHEN j = 0 THEN gj END))) END AS lrsd FROM l GROUP BY id)"""
 
 
-@query("agg_09", _LRV)
+@query("agg_09", _LRV + " SELECT id, round(lrsd, 6) AS lrsd FROM lr")
 def _(s, d):
     return windows.long_run_sd(scored(s, d).filter("period = 1"), "g").select("id", *_r("lrsd"))
 
@@ -415,8 +415,18 @@ def all_streams(s, d) -> DataFrame:
 def _(s, d):
     """Univariate AUC of every stream, best first."""
     obs = observations(s, d)
-    wide = all_streams(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"])
-    names = STREAMS
+    return stream_aucs(all_streams(s, d).join(src.labels(obs, break_index(obs)), ["id", "step"]), STREAMS)
+
+
+_ANALYTIC_SQL = {
+    "z": "z", "z2": "z * z", "g": "g", "g2": "g * g", "absg": "abs(g)", "g3": "g * g * g", "g4": "least(pow(g, 4), 50)", "tail": "(abs(g) > 1.6448536269514722)::INT", "gg1": "g * lag(g) OVER w", "gg2": "g * lag(g, 2) OVER w",
+    "gg3": "g * lag(g, 3) OVER w", "gg5": "g * lag(g, 5) OVER w", "gg10": "g * lag(g, 10) OVER w", "zz1": "z * lag(z) OVER w", "absdz": "abs(z - lag(z) OVER w)", "dz2": "pow(z - lag(z) OVER w, 2)", "vol1": "abs(g) * abs(lag(g) OVER w)",
+    "vol5": "abs(g) * abs(lag(g, 5) OVER w)", "sgn1": "sign(g) * sign(lag(g) OVER w)", "upper": "(g > 0)::INT", "center": "(abs(g) < 0.2533471031357997)::INT",
+}
+
+
+def stream_aucs(wide: DataFrame, names: list[str]) -> DataFrame:
+    """feature, auc: the time-stratified AUC of every named column of labelled rows, best first."""
     long = wide.select("step", "label", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("feature", "score")).filter("score IS NOT NULL")
     cells = long.groupBy("feature", "step", "score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("q"))
     less = F.coalesce(F.sum("q").over(Window.partitionBy("feature", "step").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -424,10 +434,33 @@ def _(s, d):
     return per.groupBy("feature").agg(F.round(F.sum("w") / F.sum("n"), 6).alias("auc")).orderBy(F.desc("auc"), "feature")
 
 
+# scores are cut to nine places, so that rounding in the last makes no ties of its own
+@query("agg_22_analytic", _LAB + ", ws AS (SELECT id, period, step, " + ", ".join(f"round(({e})::DOUBLE, 9) AS {n}" for n, e in _ANALYTIC_SQL.items()) + f""" FROM sc WINDOW w AS (PARTITION BY id ORDER BY pos)),
+lg AS (UNPIVOT ws ON {", ".join(_ANALYTIC_SQL)} INTO NAME feature VALUE x), fl AS (SELECT feature, lg.step, label, x + 0.0 AS x FROM lg JOIN lab ON lab.id = lg.id AND lab.step = lg.step WHERE lg.period = 2),
+rk AS (SELECT feature, step, label, rank() OVER (PARTITION BY feature, step ORDER BY x) + (count(*) OVER (PARTITION BY feature, step, x) - 1) / 2.0 AS r FROM fl),
+ps AS (SELECT feature, step, sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0 AS won, sum(label) * (count(*) - sum(label)) AS n FROM rk GROUP BY ALL)
+SELECT feature, round(sum(won) / sum(n), 6) AS auc FROM ps GROUP BY feature ORDER BY auc DESC, feature""")
+def _(s, d):
+    """AUC of the streams of z and g, that SQL can say."""
+    obs = observations(s, d)
+    wide = windows.streams(scored(s, d)).filter("period = 2").join(src.labels(obs, break_index(obs)), ["id", "step"])
+    return stream_aucs(wide.select("step", "label", *[(F.round(n, 9) + 0.0).alias(n) for n in _ANALYTIC_SQL]), list(_ANALYTIC_SQL))
+
+
 # Whole menus: estimators, lags, scales
 
 
-@query("agg_11_menu")
+def _menu_sql() -> str:
+    sizes = (25, 50, 100)
+    means = "".join(f", m{n} AS (SELECT id, (pos - 1) // {n} AS b, avg(g) AS m FROM sc WHERE period = 1 GROUP BY ALL HAVING count(*) = {n}), b{n} AS (SELECT id, stddev_samp(m) * sqrt({n}) AS v FROM m{n} GROUP BY id)" for n in sizes)
+    joins = "".join(f" LEFT JOIN b{n} ON b{n}.id = lr.id" for n in sizes)
+    return (
+        _LRV + means + ", ii AS (SELECT id, stddev_pop(g) AS v FROM sc WHERE period = 1 GROUP BY id) SELECT lr.id, round(lrsd, 6) AS bartlett, round(ii.v, 6) AS iid, "
+        + ", ".join(f"round(b{n}.v, 6) AS bm{n}" for n in sizes) + f", round(greatest(lrsd, b50.v), 6) AS max_b_bm50 FROM lr JOIN ii ON ii.id = lr.id{joins}"
+    )
+
+
+@query("agg_11_menu", _menu_sql())
 def _(s, d):
     """Six estimators of the long-run sd of the normal score's history."""
     h = scored(s, d).filter("period = 1").select("id", "pos", "g")
@@ -436,22 +469,29 @@ def _(s, d):
     return out.select("id", *_r("bartlett", "iid", "bm25", "bm50", "bm100", "max_b_bm50"))
 
 
-@query("agg_15_lb")
+@query("agg_15_lb", ", h AS (SELECT id, pos, g FROM sc WHERE period = 1), c AS (SELECT a.id, k, corr(a.g, b.g) AS r FROM h a JOIN (SELECT unnest(range(1, 31)) AS k) ON TRUE JOIN h b ON b.id = a.id AND b.pos = a.pos - k GROUP BY a.id, k) SELECT id, round(sum(CASE WHEN k <= 10 THEN r * r END), 6) AS lb10, round(sum(r * r), 6) AS lb30 FROM c GROUP BY id")
 def _(s, d):
     return stats.portmanteau(scored(s, d).filter("period = 1"), "g").select("id", *_r("lb10", "lb30"))
 
 
-@query("agg_17_quarters")
+_QUARTERS = {"first": "r <= n // 4", "last": "r > n - n // 4"}
+
+
+@query("agg_17_quarters", ", q AS (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY pos) AS r, count(*) OVER (PARTITION BY id) AS n FROM obs WHERE period = 1) SELECT id, "
+       + ", ".join([f"round(avg(CASE WHEN {c} THEN value END) - avg(value), 6) AS mean_{k}_q" for k, c in _QUARTERS.items()] + [f"round(stddev_pop(CASE WHEN {c} THEN value END) / stddev_pop(value), 6) AS sd_{k}_q" for k, c in _QUARTERS.items()]) + " FROM q GROUP BY id")
 def _(s, d):
     out = stats.quarter_moments(observations(s, d).filter("period = 1"))
     return out.select("id", *_r(*out.columns[1:]))
 
 
-@query("win_11_scales")
+_SCALES = (2, 4, 8, 16, 32, 64, 128)
+
+
+@query("win_11_scales", "SELECT id, pos, " + ", ".join(f"CASE WHEN pos >= {k} THEN round(pow(sum(g) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 2) / {k}, 5) END AS b{k}" for k in _SCALES) + " FROM sc")
 def _(s, d):
     """Squared block sums of all seven scales; null where the block would begin before the series."""
     n = F.row_number().over(windows.by_pos())
-    blocks = {f"b{k}": F.when(n >= k, F.pow(F.sum("g").over(windows.by_pos().rowsBetween(1 - k, 0)), F.lit(2)) / k) for k in (2, 4, 8, 16, 32, 64, 128)}
+    blocks = {f"b{k}": F.when(n >= k, F.pow(F.sum("g").over(windows.by_pos().rowsBetween(1 - k, 0)), F.lit(2)) / k) for k in _SCALES}
     return scored(s, d).select("id", "pos", *[F.round(c, 5).alias(name) for name, c in blocks.items()])
 
 
@@ -764,15 +804,15 @@ def _(s, d):
 _VR = (2, 4, 8, 16)
 
 
-def _variance_sql() -> str:
+def _variance_sql(scales=_VR) -> str:
     blocks = " UNION ALL ".join(
-        f"SELECT id, period, pos, step, {k} AS scale, pow(sum(z) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 2) / {k} AS s FROM sc" for k in _VR
+        f"SELECT id, period, pos, step, {k} AS scale, pow(sum(z) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 2) / {k} AS s FROM sc" for k in scales
     )
     return f""", bl AS (SELECT * FROM ({blocks}) WHERE pos >= scale), h AS (SELECT id, scale, avg(s) AS mh FROM bl WHERE period = 1 GROUP BY ALL),
 bt AS (SELECT id, scale, (pos - scale) // (4 * scale) AS b, avg(s) AS m FROM bl WHERE period = 1 GROUP BY ALL HAVING count(*) = 4 * scale),
 bs AS (SELECT id, scale, stddev_samp(m) * sqrt(4 * scale) AS sd FROM bt GROUP BY id, scale),
 p AS (SELECT bl.id, scale, avg(s) AS mp, count(*) AS np FROM bl JOIN cut ON cut.id = bl.id WHERE period = 2 AND step >= t GROUP BY ALL HAVING count(*) >= 30)
-SELECT id, scale, round(abs(mp - mh) / sd * sqrt(np), 5) AS vr_z, round(abs(ln(mp + 1e-9) - ln(mh + 1e-9)), 5) AS dlog_vr FROM h JOIN bs USING (id, scale) JOIN p USING (id, scale)"""
+SELECT id, scale, round(abs(mp - mh) / sd * sqrt(np), 5) AS vr_z, round(abs(ln(mp + 1e-9) - ln(mh + 1e-9)), 5) AS dlog_vr FROM h LEFT JOIN bs USING (id, scale) JOIN p USING (id, scale)"""
 
 
 @query("tst_11", _CUT + _variance_sql())
@@ -780,11 +820,15 @@ def _(s, d):
     return stats.variance_ratio(scored(s, d), cuts(s, d), "z", _VR).select("id", "scale", F.round("vr_z", 5).alias("vr_z"), F.round("dlog_vr", 5).alias("dlog_vr"))
 
 
-@query("agg_25", _KEY + _LAB + """, pk AS (SELECT id, draw FROM (SELECT id, draw, row_number() OVER (PARTITION BY draw ORDER BY (key * (2 * draw + 1) * 69069 + draw * 12345) % 1000003, id) AS r FROM ix, range(20) d(draw)) WHERE r <= 6),
+def _bootstrap_sql(draws: int, size: int) -> str:
+    return _KEY + _LAB + f""", pk AS (SELECT id, draw FROM (SELECT id, draw, row_number() OVER (PARTITION BY draw ORDER BY (key * (2 * draw + 1) * 69069 + draw * 12345) % 1000003, id) AS r FROM ix, range({draws}) d(draw)) WHERE r <= {size}),
 rk AS (SELECT draw, step, label, rank() OVER (PARTITION BY draw, step ORDER BY g) + (count(*) OVER (PARTITION BY draw, step, g) - 1) / 2.0 AS r FROM lab JOIN pk USING (id)),
 ps AS (SELECT draw, step, sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0 AS won, sum(label) AS a, count(*) - sum(label) AS b FROM rk GROUP BY ALL),
 au AS (SELECT draw, CASE WHEN sum(a * b) > 0 THEN sum(won) / sum(a * b) ELSE 0.5 END AS auc FROM ps GROUP BY draw)
-SELECT round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS sd, round(quantile_cont(auc, 0.05), 6) AS q05, round(quantile_cont(auc, 0.95), 6) AS q95 FROM au""")
+SELECT round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS sd, round(quantile_cont(auc, 0.05), 6) AS q05, round(quantile_cont(auc, 0.95), 6) AS q95 FROM au"""
+
+
+@query("agg_25", _bootstrap_sql(20, 6))
 def _(s, d):
     rows = labelled(s, d).withColumn("score", F.col("g"))
     return stats.spread(stats.bootstrap_auc(rows, _key(), draws=20, size=6)).select(*_r("mean", "sd", "q05", "q95"))
@@ -804,16 +848,16 @@ def _(s, d):
     return out.select("id", "step", *_r(*out.columns[2:])).withColumn("s_m_at", F.col("s_m_at") + 0.0)
 
 
-@query("agg_25_full")
+@query("agg_25_full", _bootstrap_sql(200, 100))
 def _(s, d):
     """The bootstrap's defaults: 200 draws of up to 100 series."""
     return stats.spread(stats.bootstrap_auc(labelled(s, d).withColumn("score", F.col("g")), _key())).select(*_r("mean", "sd", "q05", "q95"))
 
 
-@query("tst_11_scales")
+@query("tst_11_scales", lambda: _CUT + _variance_sql(_SCALES))
 def _(s, d):
     """The variance ratio's defaults: all scales up to 128."""
-    return stats.variance_ratio(scored(s, d), cuts(s, d), "z").select("id", "scale", *_r("vr_z", "dlog_vr"))
+    return stats.variance_ratio(scored(s, d), cuts(s, d), "z").select("id", "scale", F.round("vr_z", 5).alias("vr_z"), F.round("dlog_vr", 5).alias("dlog_vr"))
 
 
 _NAMES = features.FEATURES
