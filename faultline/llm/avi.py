@@ -301,8 +301,9 @@ def _payload(text: str | None) -> tuple[bytes, int]:
 
 
 def to_media(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` plus ``media``: each text as a file of its own. Null texts are stored as empty ones."""
+    """``rows`` plus ``media``: each text as a file of its own. Null texts are stored as empty ones; a column media is replaced."""
     store.small_batches(rows.sparkSession, 500)
+    rows = rows.drop("media")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches):

@@ -76,15 +76,18 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
     return out if with_ids else out.drop("ids")
 
 
+@store.tidy
 def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """``items`` (any columns, with ``length`` from 1 to the capacity) plus sequence_id and offset.
 
     ``items`` is read more than once, so it should be a written table. Equal rows are packed one by
-    one; an empty table gives an empty one.
+    one; an empty table gives an empty one. Columns called sequence_id or offset are replaced.
     """
     spark = items.sparkSession
+    items = items.drop("sequence_id", "offset")
     names = items.columns
-    store.small_batches(spark, 50_000)
+    own, fill = store.spare([*names, "sequence_id", "offset"], "_bin", "_fill")
+    into, at_, old = store.spare([*names, "sequence_id", "offset", own, fill], "_into", "_at", "_old")
 
     def local(batches):
         import pyarrow as pa
@@ -97,9 +100,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
             nonlocal first
             sizes = table.column("length").to_pylist()
             at, offset, fills = best_fit(sizes, capacity)
-            out = table.append_column("_bin", pa.array([first + b for b in at], pa.int64()))
+            out = table.append_column(own, pa.array([first + b for b in at], pa.int64()))
             out = out.append_column("offset", pa.array(offset, pa.int64()))
-            out = out.append_column("_fill", pa.array([fills[b] for b in at], pa.int64()))
+            out = out.append_column(fill, pa.array([fills[b] for b in at], pa.int64()))
             first += len(fills)
             return out.to_batches()
 
@@ -113,9 +116,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
             yield from packed(pa.Table.from_batches(held))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    first = store.written(items.mapInArrow(local, f"{schema}, _bin long, offset long, _fill long"))
+    with store.setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 50_000):
+        first = store.written(items.mapInArrow(local, f"{schema}, `{own}` long, offset long, `{fill}` long"))
     full = capacity * nearly_full
-    bins = first.filter((F.col("offset") == 0) & (F.col("_fill") < full)).select(F.col("_bin").alias("bin"), F.col("_fill").alias("fill"), F.shiftright("_bin", 40).cast("int").alias("grp"))
+    bins = first.filter((F.col("offset") == 0) & (F.col(fill) < full)).select(F.col(own).alias("bin"), F.col(fill).alias("fill"), F.shiftright(own, 40).cast("int").alias("grp"))
     where = None  # of each bin that was merged: the bin it is in now, and its place there
     used: list[DataFrame] = []
     while True:
@@ -142,10 +146,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
             break
         bins = merged.filter((F.col("at") == 0) & (F.col("fill") < full)).select(F.col("into").alias("bin"), "fill", "grp")
     if where is None:
-        return first.select(*names, F.col("_bin").alias("sequence_id"), "offset")
-    return first.join(where.filter((F.col("bin") != F.col("into")) | (F.col("at") != 0)).select(F.col("bin").alias("_bin"), "into", "at"), "_bin", "left").select(
-        *names, F.coalesce("into", "_bin").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset")
-    )
+        return first.select(*names, F.col(own).alias("sequence_id"), "offset")
+    moved = where.filter((F.col("bin") != F.col("into")) | (F.col("at") != 0)).select(F.col("bin").alias(old), F.col("into").alias(into), F.col("at").alias(at_))
+    return first.join(moved, F.col(own) == F.col(old), "left").select(*names, F.coalesce(into, own).alias("sequence_id"), (F.col("offset") + F.coalesce(at_, F.lit(0))).alias("offset"))
 
 
 def _useful(bins: DataFrame, capacity: int) -> DataFrame | None:
@@ -174,6 +177,7 @@ def _merge(group, capacity: int):
     return pd.DataFrame({"grp": group["grp"].iloc[0], "bin": ids, "into": [head[b] for b in at], "at": offset, "fill": [fills[b] for b in at]})
 
 
+@store.tidy
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with the sequence and offset they go to. Null texts are empty: one end id."""
     cut = store.written(pieces(docs, tokenizer, kind, end_id, capacity))
@@ -188,7 +192,6 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, kind: str = "b
     ids = full.dropDuplicates(keys)
     cond = [placed[k].eqNullSafe(ids[k]) for k in keys]
     joined = placed.join(ids, cond).select(placed["sequence_id"], placed["offset"], placed["length"], ids["ids"])
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return joined.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.expr("array_join(transform(array_sort(collect_list(struct(offset, ids))), x -> hex(x.ids)), '')").alias("_h")).select(
         "sequence_id", "n_tokens", F.unhex("_h").alias("ids")
     )

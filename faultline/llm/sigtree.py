@@ -302,6 +302,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+@store.tidy
 def jaccard_components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
@@ -334,15 +335,19 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
+@store.tidy
 def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id. Rows without doc_id stay."""
+    """``docs`` with one row of each component: the one with the smallest doc_id. Rows without doc_id stay, and so do all columns.
+
+    Of several rows with that doc_id one stays, whichever.
+    """
     found = store.written(jaccard_components(docs, n, num, den))
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
     if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter(F.col("count") > 1).isEmpty():
         return kept
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_alone", alone).dropDuplicates(["doc_id", "_alone"]).drop("_alone")
+    (alone,) = store.spare(docs.columns, "_alone")
+    return kept.withColumn(alone, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", alone]).drop(alone)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame, n: int, levels) -> DataFrame:
