@@ -19,7 +19,7 @@ import struct
 import zlib
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -99,24 +99,34 @@ class Writer:
 
 
 class Reader:
-    """A shard's bytes: whole scans and lookups by key."""
+    """A shard: whole scans, and lookups by key that read footer, index, filter and one block.
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        self.index_at, n, self.bloom_at, self.bits, self.n, self.tokens, self.width, magic = _FOOTER.unpack(self.data[-_FOOTER.size :])
+    ``source`` is the shard's bytes, or an open file that reads ranges (``size`` and ``read_at``).
+    """
+
+    def __init__(self, source):
+        self.source, self.asked = source, 0
+        size = source.size() if hasattr(source, "read_at") else len(source)
+        self.index_at, n, self.bloom_at, self.bits, self.n, self.tokens, self.width, magic = _FOOTER.unpack(self._at(size - _FOOTER.size, _FOOTER.size))
         if magic != _MAGIC:
             raise ValueError("not a shard")
-        self.blocks, i, end = [], self.index_at, self.index_at + n
-        while i < end:
-            k, o, size = struct.unpack_from("<BQQ", self.data, i)
-            self.blocks.append((bytes(self.data[i + 17 : i + 17 + k]), o, size))
+        index, i, self.blocks = self._at(self.index_at, n), 0, []
+        while i < n:
+            k, o, size = struct.unpack_from("<BQQ", index, i)
+            self.blocks.append((index[i + 17 : i + 17 + k], o, size))
             i += 17 + k
+        self.last_keys = [k for k, _, _ in self.blocks]
+        self._bloom = None
+
+    def _at(self, offset: int, n: int) -> bytes:
+        self.asked += n
+        return bytes(self.source.read_at(n, offset)) if hasattr(self.source, "read_at") else bytes(self.source[offset : offset + n])
 
     def _block(self, b: int):
         import zstandard
 
         _, o, n = self.blocks[b]
-        raw = zstandard.ZstdDecompressor().decompress(bytes(self.data[o : o + n]))
+        raw = zstandard.ZstdDecompressor().decompress(self._at(o, n))
         i, key = 0, b""
         while i < len(raw):
             shared, rest, count = _ENTRY.unpack_from(raw, i)
@@ -137,38 +147,43 @@ class Reader:
                 yield doc_of(key), self.ids(raw)
 
     def may_hold(self, doc_id: int | None) -> bool:
-        return all(self.data[self.bloom_at + p // 8] >> p % 8 & 1 for p in _probes(key_of(doc_id), self.bits))
+        if self._bloom is None:
+            self._bloom = self._at(self.bloom_at, -(-self.bits // 8))
+        return all(self._bloom[p // 8] >> p % 8 & 1 for p in _probes(key_of(doc_id), self.bits))
 
     def get(self, doc_id: int | None) -> list:
         """The ids of every entry with this key, in order."""
         key, found = key_of(doc_id), []
         if self.n and self.may_hold(doc_id):
-            b = bisect_left([k for k, _, _ in self.blocks], key)
+            b = bisect_left(self.last_keys, key)
             while b < len(self.blocks):
                 found += [self.ids(raw) for k, raw in self._block(b) if k == key]
-                if self.blocks[b][0] > key:
+                if self.last_keys[b] > key:
                     break
                 b += 1
         return found
 
 
-def _save(uri: str, data: bytes, attempt: int) -> None:
-    """Write beside the target, then rename: a lost or repeated task never leaves half a shard."""
+def _save(uri: str, data: bytes) -> None:
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(f"{path}.tmp{attempt}") as f:
+    with where.open_output_stream(path) as f:
         f.write(data)
-    where.move(f"{path}.tmp{attempt}", path)
+
+
+MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, kind: str, end_id: int, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """Encode ``docs`` (doc_id, text) into shards in ascending doc_id order.
 
     Null or empty texts have only the end id; null doc_ids sort first; rows that share a doc_id stay
-    apart, beside each other. Returns the shards' folder and a manifest (part, seq, file, n_docs,
-    n_tokens, start) in which ``start`` counts all ids of earlier shards.
+    apart, beside each other. Returns the shards' folder and a manifest, a written table of one row a shard: part, seq,
+    file, n_docs, n_tokens, first_id and last_id, has_null (whether null doc_ids are in it), and start, which counts all
+    ids of earlier shards. A file bears its task attempt in its name, so what a lost or repeated task left is no
+    shard: only files in the manifest are.
     """
     spark = docs.sparkSession
     folder = store.shared_dir(spark)
@@ -185,9 +200,10 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str, end_id: int, shards
         writer, seq, held, made = Writer(width), 0, 0, []
 
         def close():
-            name = f"{part:06d}-{seq:06d}.sst"
-            _save(f"{folder}/{name}", writer.finish(), attempt)
-            made.append((part, seq, name, len(writer.keys), writer.tokens))
+            name = f"{part:06d}-{seq:06d}-{attempt}.sst"
+            _save(f"{folder}/{name}", writer.finish())
+            known = [k for k in (writer.keys[0], next((k for k in writer.keys if k), b""), writer.keys[-1])]
+            made.append((part, seq, name, len(writer.keys), writer.tokens, doc_of(known[1]), doc_of(known[2]), not known[0]))
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -200,16 +216,16 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str, end_id: int, shards
                         writer, seq, held = Writer(width), seq + 1, 0
         if writer.keys:
             close()
-        cols = list(zip(*made)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "file", "n_docs", "n_tokens"])
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made)) or [[]] * 8, types)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    made = sorted(rows.mapInArrow(write, "part int, seq int, file string, n_docs long, n_tokens long").collect())
-    start, manifest = 0, []
-    for r in made:  # one row a shard of many MB
-        manifest.append((*r, start))
-        start += r.n_tokens
-    return folder, spark.createDataFrame(manifest, "part int, seq int, file string, n_docs long, n_tokens long, start long")
+    made = store.written(rows.mapInArrow(write, MANIFEST))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition, then the shards of each
+    parts = made.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("_start"))
+    manifest = made.withColumn("_in", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part")
+    return folder, store.written(manifest.withColumn("start", F.col("_start") + F.col("_in")).drop("_start", "_in"))
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -244,10 +260,18 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     )
 
 
-def lookup(spark: SparkSession, folder: str, file: str, doc_id: int | None) -> list:
-    """The ids stored for one document in a shard, by Bloom filter, bisection and one block."""
-    data = spark.read.format("binaryFile").load(f"{folder}/{file}").select("content").head()[0]
-    return Reader(bytes(data)).get(doc_id)
+def lookup(folder: str, manifest: DataFrame, doc_id: int | None) -> list:
+    """The ids stored for one document: the manifest's key ranges name the shards, and of each only footer, index, filter and a block are read."""
+    from pyarrow import fs
+
+    hit = F.col("has_null") if doc_id is None else (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    out = []
+    # shards are cut by key, so that one key is in few of them
+    for r in manifest.filter(hit).select("part", "seq", "file").orderBy("part", "seq").toLocalIterator():
+        where, path = fs.FileSystem.from_uri(f"{folder}/{r['file']}")
+        with where.open_input_file(path) as f:
+            out += Reader(f).get(doc_id)
+    return out
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
