@@ -5,9 +5,11 @@ grams (common grams last, by a sketch of fixed size; the leftmost of equals), so
 they are, have equal owners. Consecutive windows with one owner make a segment of words. Segments whose
 owner occurs once are done; the others, one of each content with its number of copies, are dealt to
 shards by owner. A shard builds an FM-index over its segments (Burrows-Wheeler transform in a wavelet
-matrix with rank directories) and streams the segments against it: backward search extends a match
-leftwards while at least two places match, which gives matching statistics; windows inside a match
-of ``WINDOW`` words or more are repeated. All rounds of the search run on all segments of a shard at once.
+matrix, whose 64-bit words of equal bits are not stored, with rank directories) and streams the segments against it:
+backward search extends a match leftwards while at least two places match, which gives matching statistics;
+windows inside a match of ``WINDOW`` words or more are repeated, and so are those of a segment with several copies.
+All rounds of the search run on all segments of a shard at once. :func:`intervals` reports what is found as
+maximal intervals of words of each document.
 
 An owner with more than ``OWNER_SEGMENTS`` different segments has its windows dealt one by one, by their
 content, over as many shards as it needs.
@@ -25,6 +27,7 @@ from .words import grams, mix, text_hashes, words
 
 WINDOW, GRAM = 35, 12
 SKETCH, SHARD_WORDS, OWNER_SEGMENTS = 20, 400_000, 20_000
+MOST_WINDOWS = 60  # of a segment: their flags are one 64-bit number
 
 
 def _bucket(g):
@@ -34,7 +37,7 @@ def _bucket(g):
 
 
 def common_grams(docs: DataFrame, gram: int = GRAM) -> list[int]:
-    """Buckets of the sketch that hold common grams; at most 2 ** SKETCH numbers."""
+    """Buckets of the sketch that hold common grams, 32 hits and four times the mean or more; at most 2 ** SKETCH numbers."""
 
     def run(batches):
         import numpy as np
@@ -48,15 +51,21 @@ def common_grams(docs: DataFrame, gram: int = GRAM) -> list[int]:
                     np.add.at(sketch, b, 1)
         mean = sketch.mean()
         hot = np.flatnonzero(sketch > mean + 6 * mean**0.5 + 8)
-        yield pa.RecordBatch.from_arrays([pa.array(hot.astype(np.int32)), pa.array(sketch[hot])], ["bucket", "hits"])
+        # the total, as bucket -1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hot, -1).astype(np.int32)), pa.array(np.append(sketch[hot], sketch.sum()))], ["bucket", "hits"])
 
     store.small_batches(docs.sparkSession)
     found = docs.select("text").mapInArrow(run, "bucket int, hits long").groupBy("bucket").agg(F.sum("hits").alias("hits"))
-    return sorted(r[0] for r in found.filter(F.col("hits") >= 32).collect())
+    hits = dict(map(tuple, found.filter((F.col("hits") >= 32) | (F.col("bucket") < 0)).collect()))
+    least = max(32, 4 * hits.pop(-1, 0) / (1 << SKETCH))
+    return sorted(b for b, n in hits.items() if n >= least)
 
 
 def segments(h, common, window: int = WINDOW, gram: int = GRAM):
-    """(owner's hash, first window, number of windows) of each segment, as arrays; none below ``window`` words."""
+    """(owner's hash, first window, number of windows) of each segment, as arrays; none below ``window`` words.
+
+    A run of more than MOST_WINDOWS windows is cut; its parts have the same owner, so they meet what the whole would.
+    """
     import numpy as np
 
     n = len(h) - window + 1
@@ -75,9 +84,38 @@ def segments(h, common, window: int = WINDOW, gram: int = GRAM):
         best = np.where(right, best[step:], best[:m])
         width += step
     cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    if target > MOST_WINDOWS:
+        place = np.arange(n) - np.repeat(cut, np.diff(np.append(cut, n)))
+        cut = np.flatnonzero(place % MOST_WINDOWS == 0)
     return g[at[cut]], cut, np.diff(np.append(cut, n))
 
 
+class Bits:
+    """A bit vector with rank. Words of 64 equal bits are only told by a code in the directory, the others stored."""
+
+    def __init__(self, bit):
+        import numpy as np
+
+        n = len(bit)
+        packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view("<u8")
+        counts = np.bitwise_count(packed)
+        self.ones = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[:-1].astype(np.int32)
+        mixed = (counts > 0) & (counts < 64)
+        self.words = np.concatenate([packed[mixed], np.zeros(2, np.uint64)])
+        # place of a stored word; -1 and -2 for words of zeros and ones
+        self.slot = np.where(mixed, np.cumsum(mixed) - 1, np.where(counts == 0, -1, -2)).astype(np.int32)
+        self.plain_bytes, self.bytes = 12 * len(packed), 8 * int(mixed.sum()) + 8 * len(packed)
+
+    def rank(self, i):
+        """Ones before places ``i``."""
+        import numpy as np
+
+        w, b = i >> 6, i & 63
+        s = self.slot[w]
+        inside = np.bitwise_count(self.words[s] & ((np.uint64(1) << b.astype(np.uint64)) - np.uint64(1)))
+        return self.ones[w] + np.where(s >= 0, inside, np.where(s == -2, b, 0))
+
+
 class FmIndex:
     """Burrows-Wheeler transform of a sequence of symbols from 0 up, sorted to ``depth`` symbols, in a wavelet matrix."""
 
@@ -106,9 +144,7 @@ class FmIndex:
         self.levels = []
         for b in range(self.bits - 1, -1, -1):
             bit = (bwt >> b & 1).astype(bool)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view("<u8")
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])[:-1].astype(np.int32)
-            self.levels.append((b, packed, ones, int(n - bit.sum())))
+            self.levels.append((b, Bits(bit), int(n - bit.sum())))
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
         symbols = np.arange(size)
         self.base = self.counts[:-1] - self._down(symbols, np.zeros(size, np.int64))
@@ -116,10 +152,8 @@ class FmIndex:
     def _down(self, c, i):
         import numpy as np
 
-        one, low = np.uint64(1), np.uint64(63)
-        for b, packed, ones, zeros in self.levels:
-            w = i >> 6
-            r = ones[w] + np.bitwise_count(packed[w] & ((one << (i.astype(np.uint64) & low)) - one))
+        for b, bits, zeros in self.levels:
+            r = bits.rank(i)
             i = np.where(c >> b & 1, zeros + r, i - r)
         return i
 
@@ -144,6 +178,10 @@ def repeated_windows(contents: list[list[bytes]], copies: list[int], window: int
         starts.append(at)
         seq[at : at + len(c)] = [ids.setdefault(w, len(ids) + 1) for w in c]
         at += len(c) + 1  # symbol 0 ends a segment
+    # frequent words get small numbers, so that the upper levels are mostly zeros
+    rank = np.zeros(len(ids) + 1, np.int64)
+    rank[1 + np.argsort(-np.bincount(seq, minlength=len(ids) + 1)[1:], kind="stable")] = np.arange(1, len(ids) + 1)
+    seq = rank[seq]
     index = FmIndex(seq, int(sizes.max()))
     start = np.array(starts)
     k = len(sizes)
@@ -263,7 +301,7 @@ def _searched(contents: DataFrame, parts: int, window: int) -> DataFrame:
 
 
 def _covered(spans: DataFrame, window: int) -> DataFrame:
-    """cid, n_removed, sha, kept of each text, from its windows found repeated."""
+    """cid, n_removed, sha, kept of each text, and its maximal intervals (start, n_words), from its windows found repeated."""
 
     def run(batches):
         import numpy as np
@@ -283,15 +321,16 @@ def _covered(spans: DataFrame, window: int) -> DataFrame:
                         m, s = m >> 1, s + 1
                 keep = np.cumsum(step[:-1]) == 0
                 kept = b" ".join([w for w, k in zip(ws, keep.tolist()) if k])
-                out.append((cid, int(len(ws) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, types)], ["cid", "n_removed", "sha", "kept"])
+                edge = np.flatnonzero(np.diff(~keep, prepend=False, append=False))
+                out.append((cid, int(len(ws) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), edge[::2], edge[1::2] - edge[::2]))
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], ["cid", "n_removed", "sha", "kept", "starts", "lengths"])
 
-    return spans.select("cid", "text", "rows").mapInArrow(run, "cid long, n_removed long, sha string, kept string")
+    return spans.select("cid", "text", "rows").mapInArrow(run, "cid long, n_removed long, sha string, kept string, starts array<long>, lengths array<long>")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, owner_segments: int = OWNER_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cid, n_words, sha of all words) of every row, and (cid, n_removed, sha, kept) of texts that lose words.
+    """(doc_id, cid, n_words, sha of all words) of every row, and (cid, n_removed, sha, kept, starts, lengths) of texts that lose words.
 
     Null texts have no words; texts below ``window`` words lose none. Equal texts are one class (cid,
     a 64-bit fingerprint) with its number of copies; rows that share a doc_id stay apart.
@@ -334,8 +373,16 @@ def _same_text(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
 
 
-def _with_cid(docs: DataFrame) -> DataFrame:
-    """``docs`` plus _cid, the fingerprint of the text."""
+@store.tidy
+def intervals(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """doc_id, start, n_words: the maximal runs of words of each row that windows which occur elsewhere cover."""
+    rows, covered = find_repeats(docs, window, **options)
+    spans = covered.select("cid", F.explode(F.arrays_zip("starts", "lengths")).alias("_s"))
+    return rows.join(spans, "cid").select("doc_id", F.col("_s.starts").alias("start"), F.col("_s.lengths").alias("n_words"))
+
+
+def _with_cid(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus the fingerprint of the text, under that name."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
@@ -344,21 +391,24 @@ def _with_cid(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.append_column("_cid", pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts], pa.int64()))
+            yield batch.append_column(name, pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts], pa.int64()))
 
-    return docs.mapInArrow(run, f"{schema}, _cid long")
+    return docs.mapInArrow(run, f"{schema}, `{name}` long")
 
 
+@store.tidy
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the words of repeated windows gone from text; texts that lose nothing stay as they are.
 
     What a text loses depends on the text alone, so rows are joined by its fingerprint, whatever their doc_id.
     """
     _, covered = find_repeats(docs, **options)
-    per = covered.select(F.col("cid").alias("_cid"), F.col("kept").alias("_kept"))
-    return _with_cid(docs).join(per, "_cid", "left").withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
+    own, kept = store.spare(docs.columns, "_cid", "_kept")
+    per = covered.select(F.col("cid").alias(own), F.col("kept").alias(kept))
+    return _with_cid(docs, own).join(per, own, "left").withColumn("text", F.coalesce(kept, "text")).select(docs.columns)
 
 
+@store.tidy
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, covered = find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = rows.join(covered.select("cid", "n_removed", F.col("sha").alias("_sha")), "cid", "left")
