@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import store
 from .tokens import groups_of
 
-# Fixed values of the HTML standard: element names by role.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Fixed values of the HTML standard: element names by role. RAW holds what is no text of an article: scripts, styles, fields of
+# forms, graphics and players; formulas and the text in an object are text like any other.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mrow mspace msqrt mstyle msub msubsup msup mtext munder object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select button head title".split())
+RAW = frozenset("script style noscript template iframe svg canvas audio video textarea select button head title".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -263,24 +264,28 @@ def labelled_pages(n: int = 500, seed: int = 11):
                     elif out[-1].startswith("<p>"):
                         out.append("</p>")
                     else:
-                        out.append("<br>" if False else "<hr>")
+                        out.append("<hr>")
             out.append(f"</{tag}>")
 
         out.append('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' + sentence() + "</title><style>p{}</style><script>var a='</p>';</script></head><body>")
         before = [k for k in ("header", "nav", "notice", "ad", "aside") if rng.random() < 0.5]
         after = [k for k in ("aside", "comments", "form", "notice", "ad", "nav", "footer") if rng.random() < 0.5]
-        inside = [k for k in ("ad", "aside", "form", "notice") if rng.random() < 0.15]
+        inside = [k for k in ("ad", "aside", "form", "notice") if rng.random() < 0.25]
         for k in before:
             chrome(k)
         tag = rng.choice(("article", "article", "main", "div"))
         attr = f' class="{rng.choice(_MAIN)}"' if tag == "div" or rng.random() < 0.3 else ""
         wrap = rng.random() < 0.3
         out.append(("<div>" if wrap else "") + f"<{tag}{attr}>")
+        plain = rng.random() < 0.15  # a page whose paragraphs are bare divisions
         if rng.random() < 0.7:
-            put("<h1>", words(rng.randint(1, 9)), "</h1>", 1)
+            head = "<div>" if plain else "<h1>"
+            put(head, words(rng.randint(1, 9)), head.replace("<", "</"), 1)
         for _ in range(rng.randint(1, 14)):
             style = rng.random()
-            if style < 0.6:
+            if plain:
+                put("<div>", prose(), "</div>", 1)
+            elif style < 0.6:
                 put("<p>", prose(), "</p>", 1)
             elif style < 0.75:
                 put("<p><b>", prose(), "<br>", 1)
