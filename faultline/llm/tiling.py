@@ -9,6 +9,8 @@ least ``COVERAGE`` of the item's words.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def _windows(sums, free, s: int):
 
 
 def _matches(a, b, sums_a, sums_b, free_a, free_b, s: int):
-    """(length, place in a, place in b) of runs of ``s`` or more equal free words that can't begin earlier, longest first."""
+    """(-length, place in a, place in b) of runs of ``s`` or more equal free words that can't begin earlier or end later."""
     import numpy as np
 
     at_a, h_a = _windows(sums_a, free_a, s)
@@ -61,14 +63,15 @@ def _matches(a, b, sums_a, sums_b, free_a, free_b, s: int):
             met[d] = begin, k
         open_.update(met)
     found += [(last + s - begin, begin, begin - d) for d, (begin, last) in open_.items()]
-    return sorted((x for x in found if (a[x[1] : x[1] + x[0]] == b[x[2] : x[2] + x[0]]).all()), key=lambda x: (-x[0], x[1], x[2]))
+    return [(-n, k, j) for n, k, j in found if (a[k : k + n] == b[j : j + n]).all()]
 
 
 def tiles(a, b, least: int = MIN_MATCH, gaps=None) -> list[tuple[int, int, int]]:
     """(place in a, place in b, length) of greedy tiles of at least ``least`` equal words; no tile covers a place in ``gaps`` of a.
 
-    A round hashes all free runs of s words (Karp-Rabin) and joins equal ones on their diagonals; longest runs are marked
-    first, and of a run that another tile has cut, each free part that is long enough is. s begins at the length of b, so that a text
+    A round hashes all free runs of s words (Karp-Rabin) and joins equal ones on their diagonals. The longest run is marked
+    first, the leftmost of equals; of a run that a tile has cut, the free parts of s words or more queue up again, and
+    shorter ones are left to a later round, so at any time the longest free run of all comes next. s begins at the length of b, so that a text
     of one repeated word costs no more than its length, and falls by half from round to round.
     """
     import numpy as np
@@ -80,13 +83,19 @@ def tiles(a, b, least: int = MIN_MATCH, gaps=None) -> list[tuple[int, int, int]]
         free_a[gaps] = False
     out, s = [], max(least, len(b))
     while True:
-        for n, k, j in _matches(a, b, sums_a, sums_b, free_a, free_b, s) if min(free_a.sum(), free_b.sum()) >= s else ():
-            both = free_a[k : k + n] & free_b[j : j + n]
+        heap = _matches(a, b, sums_a, sums_b, free_a, free_b, s) if min(free_a.sum(), free_b.sum()) >= s else []
+        heapify(heap)
+        while heap:
+            n, k, j = heappop(heap)
+            both = free_a[k : k - n] & free_b[j : j - n]
+            if both.all():
+                free_a[k : k - n] = free_b[j : j - n] = False
+                out.append((k, j, -n))
+                continue
             edge = np.flatnonzero(np.diff(both, prepend=False, append=False))
             for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 if y - x >= s:
-                    free_a[k + x : k + y] = free_b[j + x : j + y] = False
-                    out.append((k + x, j + x, y - x))
+                    heappush(heap, (x - y, k + x, j + x))
         if s == least:
             return out
         s = max(least, s // 2)
