@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -13,41 +16,69 @@ def assemble(features: DataFrame, columns: list[str]) -> DataFrame:
     return features.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])))
 
 
-def fit(features: DataFrame, columns: list[str], seeds=(0, 1, 2), rounds: int = 20, rate: float = 0.1, depth: int = 4, weight: str | None = None) -> list[GBTClassificationModel]:
+#: Boosting rounds and seeds of an ensemble, where a call names no others.
+ROUNDS, SEEDS = 20, (0, 1, 2)
+#: Models trained at a time, and rows of a partition: a model is a chain of many short jobs, whose tasks should not be shorter still.
+PARALLEL, PARTITION_ROWS = 8, 20_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Persisted rows, computed, in as many partitions as they need at most."""
+    return rows.coalesce(max(1, -(-rows.count() // PARTITION_ROWS)))
+
+
+def _train(jobs, rounds: int, rate: float, depth: int, weight: str | None) -> list[GBTClassificationModel]:
+    """A model for each (assembled rows, seed), several at a time."""
+    params = {"featuresCol": "features", "labelCol": "label", "maxIter": rounds, "stepSize": rate, "maxDepth": depth, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7"}
+    if weight:
+        params["weightCol"] = weight
+    with ThreadPool(max(1, min(PARALLEL, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(jobs[0][0].sparkSession)(lambda job: GBTClassifier(seed=job[1], **params).fit(job[0])), jobs, 1)
+
+
+def fit(features: DataFrame, columns: list[str], seeds=None, rounds: int | None = None, rate: float = 0.1, depth: int = 4, weight: str | None = None) -> list[GBTClassificationModel]:
     """One model for each seed; the assembled rows are kept for all of them."""
-    rows = assemble(features, columns).persist()
+    rows = assemble(features, columns).select("label", "features", *([weight] if weight else [])).persist()
     try:
-        params = {"featuresCol": "features", "labelCol": "label", "maxIter": rounds, "stepSize": rate, "maxDepth": depth, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7"}
-        if weight:
-            params["weightCol"] = weight
-        return [GBTClassifier(seed=s, **params).fit(rows) for s in seeds]
+        dealt = _dealt(rows)
+        return _train([(dealt, s) for s in seeds or SEEDS], rounds or ROUNDS, rate, depth, weight)
     finally:
         rows.unpersist()
 
 
-def score(features: DataFrame, columns: list[str], models: list[GBTClassificationModel]) -> DataFrame:
-    """Rows plus score, the mean log-odds; the raw prediction of the library is half of the log-odds."""
-    rows = assemble(features, columns)
+def _scored(rows: DataFrame, models: list[GBTClassificationModel]) -> DataFrame:
     for k, m in enumerate(models):
         rows = m.transform(rows).withColumn(f"_s{k}", 2 * vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
     total = sum((F.col(f"_s{k}") for k in range(len(models))), F.lit(0.0))
     return rows.withColumn("score", total / len(models)).drop("features", *[f"_s{k}" for k in range(len(models))])
 
 
+def score(features: DataFrame, columns: list[str], models: list[GBTClassificationModel]) -> DataFrame:
+    """Rows plus score, the mean log-odds; the raw prediction of the library is half of the log-odds."""
+    return _scored(assemble(features, columns), models)
+
+
 def importances(models: list[GBTClassificationModel], columns: list[str], top: int = 20) -> list[tuple[str, float]]:
     mean = sum(m.featureImportances.toArray() for m in models) / len(models)
     return sorted(zip(columns, mean.tolist()), key=lambda x: (-x[1], x[0]))[:top]
 
 
-def cross_validated(features: DataFrame, columns: list[str], folds: int = 5, **options) -> DataFrame:
-    """Rows (id, step, label, score, fold) scored by models that never saw their series."""
-    rows = features.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
+def cross_validated(features: DataFrame, columns: list[str], folds: int = 5, seeds=None, rounds: int | None = None, rate: float = 0.1, depth: int = 4, weight: str | None = None) -> DataFrame | None:
+    """Rows (id, step, label, score, fold) scored by models that never saw their series; None without rows.
+
+    The assembled rows are kept for all folds and stay so, as the scores read them.
+    """
+    rows = assemble(features, columns).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
+    rows = rows.select("id", "step", "label", "fold", "features", *([weight] if weight else [])).persist()
+    present = sorted(r[0] for r in rows.select("fold").distinct().collect())  # at most ``folds`` numbers
+    if not present:
+        return None
+    dealt, seeds = _dealt(rows), seeds or SEEDS
+    jobs = [(dealt.filter(F.col("fold") != k), s) for k in present for s in seeds]
+    models = _train(jobs, rounds or ROUNDS, rate, depth, weight)
     out = None
-    for k in range(folds):
-        if rows.filter(F.col("fold") == k).isEmpty():
-            continue
-        models = fit(rows.filter(F.col("fold") != k), columns, **options)
-        part = score(rows.filter(F.col("fold") == k), columns, models).select("id", "step", "label", "score", "fold")
+    for i, k in enumerate(present):
+        part = _scored(rows.filter(F.col("fold") == k), models[i * len(seeds) : (i + 1) * len(seeds)]).select("id", "step", "label", "score", "fold")
         out = part if out is None else out.unionByName(part)
     return out
 

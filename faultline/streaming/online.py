@@ -40,6 +40,8 @@ def _horizon_factor(curve, k):
     """1 / sd at horizons ``k`` by the same interpolation as the batch operator's."""
     import numpy as np
 
+    if curve is None:
+        return np.full(len(k), np.nan)
     sd = np.log(np.maximum(np.asarray(curve, float), 1e-9))
     x = np.minimum(np.log2(k), 10.0)
     lo = np.minimum(np.floor(x), 9).astype(int)

@@ -9,7 +9,7 @@ import pytest
 from statistics import NormalDist
 
 from faultline.functions.normal import ndtri
-from faultline.operators import stats, windows
+from faultline.operators import ensemble, stats, windows
 from faultline.plans import catalog
 from faultline.sources import series as src
 from faultline.streaming.online import online_statistics
@@ -26,7 +26,10 @@ def duck():
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
-def test_query_equals_sql(spark, duck, name):
+def test_query_equals_sql(spark, duck, name, monkeypatch):
+    # ensembles as small as can be: what they learn is tested elsewhere
+    monkeypatch.setattr(ensemble, "ROUNDS", 1)
+    monkeypatch.setattr(ensemble, "SEEDS", (0,))
     got = catalog.queries()[name](spark, SF)
     cols = sorted(got.columns)
     rows = sorted(repr(tuple(r[c] for c in cols)) for r in got.collect())

@@ -81,10 +81,10 @@ def test_calibrated_stream_equals_batch_and_carries_state(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(i, 1 if p <= n else 2, p, float(v)) for i, n in (("a", 150), ("b", 90), ("c", 3)) for p, v in enumerate(rng.normal(size=n + 60), 1)]
     s = spark.createDataFrame(rows, "id string, period int, pos int, e double")
-    params = calibrated.calibration(s, "e", burn=100)
+    params = calibrated.calibration(s, "e", skip=20)
     on = s.filter("period = 2").join(params.select("id", "mu"), "id").withColumn("x", F.col("e") - F.col("mu"))
-    curves = calibrated.curve(s.filter("period = 1"), "e")
-    batch = calibrated.recalibrated(on, curves, "x", (4, 16)).join(calibrated.calibrated_ewma(s, "e", burn=100).select("id", "pos", "cal_ewma"), ["id", "pos"])
+    curves = calibrated.curve(s.filter("period = 1"), "e", 20)
+    batch = calibrated.recalibrated(on, curves, "x", (4, 16)).join(calibrated.calibrated_ewma(s, "e", skip=20).select("id", "pos", "cal_ewma"), ["id", "pos"])
     want = {(r.id, r.pos): (r.sum_z, r.w4, r.w16, r.cal_ewma) for r in batch.collect()}
     for k in range(3):
         online = "pos > CASE id WHEN 'a' THEN 150 WHEN 'b' THEN 90 ELSE 3 END + {} AND pos <= CASE id WHEN 'a' THEN 150 WHEN 'b' THEN 90 ELSE 3 END + {}"
