@@ -5,8 +5,8 @@ grams (common grams last, by a sketch of fixed size; the leftmost of equals), so
 they are, have equal owners. Consecutive windows with one owner make a segment of words. Segments whose
 owner occurs once are done; the others, one of each content with its number of copies, are dealt to
 shards by owner. A shard builds an FM-index over its segments (Burrows-Wheeler transform in a wavelet
-matrix, whose 64-bit words of equal bits are not stored, with rank directories) and streams the segments against it:
-backward search extends a match leftwards while at least two places match, which gives matching statistics;
+matrix of as many bits a word as the shard's vocabulary needs, with small rank directories) and streams the segments
+against it: backward search extends a match leftwards while at least two places match, which gives matching statistics;
 windows inside a match of ``WINDOW`` words or more are repeated, and so are those of a segment with several copies.
 All rounds of the search run on all segments of a shard at once. :func:`intervals` reports what is found as
 maximal intervals of words of each document.
@@ -91,29 +91,25 @@ def segments(h, common, window: int = WINDOW, gram: int = GRAM):
 
 
 class Bits:
-    """A bit vector with rank. Words of 64 equal bits are only told by a code in the directory, the others stored."""
+    """A bit vector with rank: 64-bit words, and a directory of 16 bits a word and 32 bits every 16 words."""
 
     def __init__(self, bit):
         import numpy as np
 
         n = len(bit)
-        packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view("<u8")
-        counts = np.bitwise_count(packed)
-        self.ones = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[:-1].astype(np.int32)
-        mixed = (counts > 0) & (counts < 64)
-        self.words = np.concatenate([packed[mixed], np.zeros(2, np.uint64)])
-        # place of a stored word; -1 and -2 for words of zeros and ones
-        self.slot = np.where(mixed, np.cumsum(mixed) - 1, np.where(counts == 0, -1, -2)).astype(np.int32)
-        self.plain_bytes, self.bytes = 12 * len(packed), 8 * int(mixed.sum()) + 8 * len(packed)
+        self.words = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view("<u8")
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
+        self.far = ones[::16].astype(np.int32)
+        self.near = (ones - np.repeat(self.far, 16)[: len(ones)]).astype(np.uint16)
+        self.bytes = self.words.nbytes + self.far.nbytes + self.near.nbytes
 
     def rank(self, i):
         """Ones before places ``i``."""
         import numpy as np
 
-        w, b = i >> 6, i & 63
-        s = self.slot[w]
-        inside = np.bitwise_count(self.words[s] & ((np.uint64(1) << b.astype(np.uint64)) - np.uint64(1)))
-        return self.ones[w] + np.where(s >= 0, inside, np.where(s == -2, b, 0))
+        w = i >> 6
+        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.far[w >> 4] + self.near[w] + np.bitwise_count(self.words[w] & below)
 
 
 class FmIndex:
@@ -178,10 +174,6 @@ def repeated_windows(contents: list[list[bytes]], copies: list[int], window: int
         starts.append(at)
         seq[at : at + len(c)] = [ids.setdefault(w, len(ids) + 1) for w in c]
         at += len(c) + 1  # symbol 0 ends a segment
-    # frequent words get small numbers, so that the upper levels are mostly zeros
-    rank = np.zeros(len(ids) + 1, np.int64)
-    rank[1 + np.argsort(-np.bincount(seq, minlength=len(ids) + 1)[1:], kind="stable")] = np.arange(1, len(ids) + 1)
-    seq = rank[seq]
     index = FmIndex(seq, int(sizes.max()))
     start = np.array(starts)
     k = len(sizes)
