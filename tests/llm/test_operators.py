@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import avi, fmindex, html_crf, lines, packing, quality, ring, sigtree, sstable, store, tiling
+from faultline.llm import avi, fmindex, html_crf, lines, packing, quality, ring, sigtree, sstable, store, tiling, tokens
 from faultline.llm.components import components
 from faultline.llm.tokens import Encoder, vocabulary
 from faultline.llm.words import words
@@ -582,3 +582,18 @@ def test_op10_loads_differ_by_one_and_movement_is_small(spark, docs, empty):
     loads = Counter(r.shard for r in odd)
     assert sum(loads.values()) == len(DOCS) and max(loads.values()) - min(loads.get(s, 0) for s in range(4)) <= 1
     assert ring.shard_rows(empty.select("doc_id"), shards=4).count() == 0
+
+
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_in_use_are_learned_once(name, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
+    enc = Encoder(vocabulary(name), kind)
+    learned, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda units: learned.extend(units) or learn(units))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(26):
+        text = "common words " + " ".join(f"x{letters[k]}{a}" for a in letters[:20])
+        got = enc.encode([text])[0]
+        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == enc.lib.encode(text, add_special_tokens=False).ids
+        assert len(enc.units) <= 40 + 22 and len(enc.older) <= 40 + 22
+    assert [u.strip() for u in learned].count("common") == [u.strip() for u in learned].count("words") == 1
