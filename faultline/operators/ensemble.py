@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -10,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
+
 
 def assemble(features: DataFrame, columns: list[str]) -> DataFrame:
     """Adds the columns as one vector, null as 0; the columns themselves stay as they are."""
@@ -66,21 +69,33 @@ def importances(models: list[GBTClassificationModel], columns: list[str], top: i
 def cross_validated(features: DataFrame, columns: list[str], folds: int = 5, seeds=None, rounds: int | None = None, rate: float = 0.1, depth: int = 4, weight: str | None = None) -> DataFrame | None:
     """Rows (id, step, label, score, fold) scored by models that never saw their series; None without rows.
 
-    The assembled rows are kept for all folds and stay so, as the scores read them.
+    All models grow in step over one binned table (:mod:`boosting`), which stays kept, as the scores read it.
     """
-    rows = assemble(features, columns).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
-    rows = rows.select("id", "step", "label", "fold", "features", *([weight] if weight else [])).persist()
-    present = sorted(r[0] for r in rows.select("fold").distinct().collect())  # at most ``folds`` numbers
-    if not present:
+    rows = features.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
+    counts = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}  # at most ``folds`` rows
+    if not counts:
         return None
-    dealt, seeds = _dealt(rows), seeds or SEEDS
-    jobs = [(dealt.filter(F.col("fold") != k), s) for k in present for s in seeds]
-    models = _train(jobs, rounds or ROUNDS, rate, depth, weight)
-    out = None
-    for i, k in enumerate(present):
-        part = _scored(rows.filter(F.col("fold") == k), models[i * len(seeds) : (i + 1) * len(seeds)]).select("id", "step", "label", "score", "fold")
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark, width, n = features.sparkSession, len(columns), sum(counts.values())
+    cuts = boosting.bounds(rows, columns, n)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, n // 1000))
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", boosting.CHUNK_ROWS):
+        table = boosting.chunks(rows, columns, cuts, weight).coalesce(tasks).persist()  # each task sends sums of fixed size
+        table.count()
+    models = [boosting.Model(k, s) for k in sorted(counts) for s in seeds or SEEDS]
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 4):
+        boosting.train(table, models, width, rounds or ROUNDS, rate, depth)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return boosting.scores(table, models, width, rate, f"id {types['id']}, step {types['step']}, label {types['label']}, score double, fold int")
+
+
+@contextmanager
+def _setting(spark, key: str, value):
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def predictability(features: DataFrame, columns: list[str], folds: int = 5, **options) -> DataFrame:

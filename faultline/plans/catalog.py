@@ -923,7 +923,10 @@ def _(s, d):
     """Scores by models that never saw their series."""
     from ..operators import ensemble
 
-    return ensemble.cross_validated(training_rows(s, d), _NAMES)
+    rows = training_rows(s, d)
+    out = ensemble.cross_validated(rows, _NAMES)
+    rows.unpersist()
+    return out
 
 
 @query("agg_23")

@@ -183,3 +183,90 @@ def test_ensemble_queries_run_with_the_defaults(spark, monkeypatch):
         catalog.queries()[name](spark, "/root/testdata/sf0.01")
     # the matrix of the reference, which the Bayes factors are not part of
     assert seen == [(n, 5, {}) for n in (417, 417, 417, 12, 10)]
+
+
+def _labelled(spark, n=1200):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(n, 3)).round(3)
+    rows = [(f"s{k % 40}", k // 40, int(a + 0.5 * b * b > 0.6), float(a), float(b), None if k % 50 == 0 else float(c), 1.0 + k % 2) for k, (a, b, c) in enumerate(x)]
+    return spark.createDataFrame(rows, "id string, step int, label int, a double, b double, c double, w double")
+
+
+def test_models_of_all_folds_and_seeds_share_their_passes(spark):
+    rows, sc = _labelled(spark), spark.sparkContext
+    jobs = []
+    for k, seeds in enumerate(((0,), (0, 1, 2))):
+        sc.setJobGroup(f"cv{k}", "")
+        out = ensemble.cross_validated(rows, ["a", "b", "c"], seeds=seeds, rounds=2, depth=2)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"cv{k}")))
+        assert out.count() == 1200 and stats.pooled_auc(out).head().auc > 0.8
+    sc.setJobGroup("rest", "")
+    assert jobs[1] <= jobs[0] + 2  # MLlib had a chain of jobs for each model
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_scores_do_not_depend_on_partitions(spark, weight):
+    rows = _labelled(spark)
+    got = [{(r.id, r.step): r.score for r in ensemble.cross_validated(rows.repartition(n), ["a", "b", "c"], seeds=(0, 1), rounds=3, depth=3, weight=weight).collect()} for n in (1, 3)]
+    assert len(got[0]) == 1200 and got[0] == pytest.approx(got[1], abs=1e-9)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_trees_equal_those_of_plain_loops(spark, weight):
+    import numpy as np
+
+    from faultline.operators import boosting
+
+    names, depth, rate = ["a", "b", "c"], 3, 0.1
+    rows = _labelled(spark).withColumn("fold", (F.col("step") % 2).cast("int")).coalesce(2)
+    table = boosting.chunks(rows, names, boosting.bounds(rows, names, 1200), weight).persist()
+    models = [boosting.Model(0, 5), boosting.Model(1, 6)]
+    boosting.train(table, models, 3, 3, rate, depth)
+    parts = [boosting._opened(r, 3) for b in table.toArrow().to_batches() for r in boosting._rows(b)]
+    label, fold = (np.concatenate([p[0].column(c).to_numpy() for p in parts]) for c in ("label", "fold"))
+    draws, w, bins = (np.concatenate([p[k] for p in parts], axis=-1) for k in (1, 2, 3))
+    y = np.where(label > 0, 1.0, -1.0)
+    for m in models:
+        margin = np.zeros(len(y))
+        for turn, tree in enumerate(m.trees):
+            g = 4 * y / (1 + np.exp(2 * y * margin)) if turn else y
+            part = boosting._drawn(draws, m.seed, turn) & (fold != m.fold)
+            assert 0.7 < part.sum() / (fold != m.fold).sum() < 0.9
+            rng = np.random.default_rng((m.seed, turn, m.fold + 1))
+            at = np.zeros(len(y), int)
+            for level in range(depth):
+                turns = np.zeros(len(y), int)
+                for n in range(2**level):
+                    chosen, here = sorted(rng.permutation(3)[:3]), (at == n) & part
+                    if not here.any():
+                        continue
+                    cost = {}
+                    for c in chosen:
+                        for b in range(31):
+                            sides = [here & (bins[c] <= b), here & (bins[c] > b)]
+                            if all(s.any() for s in sides):
+                                cost[c, b] = sum((w[s] * (g[s] - np.average(g[s], weights=w[s])) ** 2).sum() for s in sides)
+                    c, b = (tree.column[2**level - 1 + n], tree.bound[2**level - 1 + n])
+                    if b == 255:
+                        mean = np.average(g[here], weights=w[here])
+                        assert min(cost.values(), default=1e9) > (w[here] * (g[here] - mean) ** 2).sum() - 1e-6
+                    else:
+                        assert cost[c, b] == pytest.approx(min(cost.values()), abs=1e-4)
+                    turns[(at == n) & (bins[c] > b)] = 1
+                at = 2 * at + turns
+            assert (tree.place(bins, depth) == at).all()
+            for leaf in set(at[part].tolist()):
+                s = part & (at == leaf)
+                assert tree.value[leaf] == pytest.approx(np.average(g[s], weights=w[s]), abs=1e-5)
+            margin += (rate if turn else 1.0) * np.array(tree.value)[at]
+        assert np.allclose(m.margin(bins, rate), margin)
+
+
+def test_a_single_fold_or_class_and_no_rows(spark):
+    rows = _labelled(spark)
+    one = ensemble.cross_validated(rows.filter("id = 's1'"), ["a", "b"], rounds=2, depth=2)
+    assert one.count() == 30 and {r.score for r in one.collect()} == {0.0}  # no other series to learn from
+    same = ensemble.cross_validated(rows.withColumn("label", F.lit(1)), ["a"], seeds=(0,), rounds=2, depth=2)
+    assert same.count() == 1200 and all(r.score > 0 for r in same.collect())
+    assert ensemble.cross_validated(rows.limit(0), ["a"]) is None
